@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,66 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seqloom-"))
     return df.checkpoint(eager=True)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before in any column; the first row is True."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables that together are the batches, none of which ends within a run of equal (non-null) keys.
+
+    A group must fit in memory; callers bound its size.
+    """
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        columns = [table[k].to_numpy() for k in keys]
+        last = [h[-1] for h in columns]
+        if held and all(held[0][k][0].as_py() == v for k, v in zip(keys, last)) and all(c[0] == v for c, v in zip(columns, last)):
+            held.append(table)
+            continue
+        begin = int(np.flatnonzero(changes(*columns))[-1])
+        if begin or held and any(held[0][k][0].as_py() != v for k, v in zip(keys, last)):
+            yield pa.concat_tables([*held, table.slice(0, begin)]).combine_chunks()
+            held = []
+        held.append(table.slice(begin))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+class Forest:
+    """Union-find over n nodes that remembers which links joined two trees: a spanning forest of all links seen."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return self.parent
+            self.parent = up
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            roots = self.roots()
+            ra, rb = roots[a], roots[b]
+            new = ra != rb
+            a, b, ra, rb = a[new], b[new], ra[new], rb[new]
+            if not len(a):
+                return
+            # of all links into a tree one is taken at a time, so that taken links form no circle
+            high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+            _, one = np.unique(high, return_index=True)
+            self.parent = roots.copy()
+            self.parent[high[one]] = low[one]
+            self.links += zip(a[one].tolist(), b[one].tolist())
