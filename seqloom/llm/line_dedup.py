@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, text_of
+from .common import changes, checkpointed, partitions, text_of
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 LINES = "doc_id bigint, text_hash bigint, n_lines int, pos int, h1 bigint, h2 bigint"
@@ -73,15 +73,6 @@ def _explode(min_points: int):
     return run
 
 
-def _changes(*columns: np.ndarray) -> np.ndarray:
-    """True where a row differs from the one before in any column; the first row is True."""
-    out = np.zeros(len(columns[0]), bool)
-    out[:1] = True
-    for c in columns:
-        out[1:] |= c[1:] != c[:-1]
-    return out
-
-
 def _stream_runs(min_docs: int):
     """Sorted rows of a partition -> rows to drop (state 1), and the rows (0) and partial counts (2) of its end runs."""
 
@@ -104,7 +95,7 @@ def _stream_runs(min_docs: int):
         def count_docs(table: pa.Table) -> int:
             doc = table["doc_id"]
             value, null = pc.fill_null(doc, 0).to_numpy(), doc.is_null().to_numpy()
-            return int(_changes(value, null).sum())
+            return int(changes(value, null).sum())
 
         names = [x.split(" ")[0] for x in RUNS.split(", ")]
         for batch in batches:
@@ -116,12 +107,12 @@ def _stream_runs(min_docs: int):
             doc = table["doc_id"]
             value, null = pc.fill_null(doc, 0).to_numpy(), doc.is_null().to_numpy()
             h1, h2 = table["h1"].to_numpy(), table["h2"].to_numpy()
-            new_hash = _changes(h1, h2)
+            new_hash = changes(h1, h2)
             starts = np.flatnonzero(new_hash)
             held = table.slice(int(starts[-1]))
             if len(starts) == 1:
                 continue
-            new_doc = new_hash | _changes(value, null)
+            new_doc = new_hash | changes(value, null)
             n_docs = np.add.reduceat(new_doc.astype(np.int64), starts)
             begin = 0
             if first_run:
@@ -150,7 +141,7 @@ def _bitmaps(batches):
             return
         doc, text = table["doc_id"], table["text_hash"].to_numpy()
         value, null = pc.fill_null(doc, 0).to_numpy(), doc.is_null().to_numpy()
-        starts = np.flatnonzero(_changes(value, null, text))
+        starts = np.flatnonzero(changes(value, null, text))
         pos, sizes = table["pos"].to_numpy(), table["n_lines"].to_numpy()
         maps, dropped = [], []
         for a, b in zip(starts, np.append(starts[1:], len(table))):

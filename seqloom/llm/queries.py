@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_groups
 from .line_dedup import line_report
+from .mixing import mix_report
 from .packing import pack_documents
+from .quality import quality_report
+from .secret_scan import secret_report
 from .simhash_dedup import near_copies
 from .suffix_dedup import repeat_report
 from .token_counts import token_counts
@@ -24,6 +28,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories are sources by language, owners are sources."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_report(docs, F.concat_ws("/", docs["source"], docs["lang"]), docs["source"])
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -52,10 +70,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup,
+        op2_source_mixing,
         op3_suffix_array_dedup,
         op4_best_fit_packing,
         op5_simhash_near_dedup,
         op6_exact_dedup,
+        op7_secret_scan,
+        op8_quality_classifier,
         op9_token_counts,
         op10_line_dedup,
     )
