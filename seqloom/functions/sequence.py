@@ -174,7 +174,7 @@ def run_id(arm: Column, seed: Column, scale: Column, batch_nt: Column) -> Column
 
 def formatted(x: Column, digits: int = 4) -> Column:
     """A number with fixed digits, - for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", x.cast("double")), F.lit("-"))
+    return F.when(x.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
 
 
 def prefix_edges(max_len: int, bins: int = 8) -> list[int]:

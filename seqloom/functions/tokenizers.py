@@ -55,13 +55,14 @@ def token_lengths(tokens: Column, overlap_k: int | None = None) -> Column:
 
 def next_token_window(ids: Column, lengths: Column, context: int) -> Column:
     """Context and target of next-token prediction, the last `context` targets, with the letters of each target."""
-    keep = lambda c, start: F.slice(c, F.greatest(F.lit(1), F.size(c) - start - F.lit(context) + 1), F.least(F.size(c) - 1, F.lit(context)))
+    n = F.least(F.size(ids) - 1, F.lit(context))
+    keep = lambda c, later: F.slice(c, F.size(c) - n + later, n)
     some = F.size(ids) > 1
     none = F.array().cast("array<int>")
     return F.struct(
-        F.when(some, keep(ids, 1)).otherwise(none).alias("context"),
-        F.when(some, keep(ids, 0)).otherwise(none).alias("target"),
-        F.when(some, keep(lengths, 0)).otherwise(none).alias("weight"),
+        F.when(some, keep(ids, 0)).otherwise(none).alias("context"),
+        F.when(some, keep(ids, 1)).otherwise(none).alias("target"),
+        F.when(some, keep(lengths, 1)).otherwise(none).alias("weight"),
     )
 
 
