@@ -82,7 +82,61 @@ QUERIES = {
     )
 }
 
+_Z = "list_sum([x ** {a} for x in p])"
+_ENTROPY = f"((ln({_Z}) - {{a}} * list_sum([x ** {{a}} * ln(x) for x in p]) / {_Z}) / ln(len(p)))"
+_REPEATS = f"(list_max([x ** {{a}} / x for x in p]) / {_Z})"
+
+
+def _bisect(name: str, good: str) -> str:
+    """A recursive table that bisects [0, 1] fifty times for a condition on {a}."""
+    return f"""{name}(step, lo, hi) AS (
+          SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+          SELECT step + 1, CASE WHEN g THEN mid ELSE lo END, CASE WHEN g THEN hi ELSE mid END
+          FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid, {good.format(a='((lo + hi) / 2)')} AS g FROM {name}, one WHERE step < 50))"""
+
+
+def _digits(parts: str) -> str:
+    return f"('0x' || substr(sha256('mix-1|' || {parts}), 1, 8))::BIGINT"
+
+
 SQL = {
+    "op1_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+          WHERE label IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+        l AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98),
+        reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+        c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op2_source_mixing": rf"""
+        WITH RECURSIVE r AS (
+          SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+                 coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS ident FROM documents),
+        s AS (SELECT source, count(*) AS n_rows, sum(n_tokens)::BIGINT AS tokens FROM r GROUP BY source),
+        one AS (SELECT list(tokens / total ORDER BY source) AS p, any_value(total)::BIGINT AS total
+                FROM (SELECT source, tokens, sum(tokens) OVER () AS total FROM s WHERE tokens > 0)),
+        {_bisect("even", _ENTROPY + " >= 0.95")},
+        {_bisect("spare", _REPEATS + " > 2.0")},
+        ex AS (SELECT total, p, round(greatest(
+                 CASE WHEN len(p) < 2 OR {_ENTROPY.format(a='1.0')} >= 0.95 THEN 1.0 ELSE (SELECT lo FROM even WHERE step = 50) END,
+                 CASE WHEN {_REPEATS.format(a='0.0')} <= 2.0 THEN 0.0 WHEN {_REPEATS.format(a='1.0')} > 2.0 THEN 1.0 ELSE (SELECT lo FROM spare WHERE step = 50) END), 9) AS a FROM one),
+        w AS (SELECT source, n_rows, tokens, CASE WHEN tokens > 0 THEN round((tokens / total) ** a / list_sum([x ** a for x in p]), 9) ELSE 0 END AS weight, total FROM s, ex),
+        plan AS (SELECT source, weight, tokens, ceil(n_rows / 2048.0)::BIGINT AS n_blocks,
+                        CASE WHEN tokens > 0 THEN floor(weight * total)::BIGINT // tokens ELSE 0 END AS whole, floor(weight * total)::BIGINT AS budget FROM w),
+        dealt AS (SELECT r.*, weight, whole, budget - whole * tokens AS rest, {_digits("'block|' || ident")} % n_blocks AS block FROM r JOIN plan USING (source)),
+        sums AS (SELECT source, block, any_value(whole) AS whole, any_value(rest) AS rest, sum(n_tokens)::BIGINT AS inside FROM dealt GROUP BY source, block),
+        ahead AS (SELECT *, coalesce(sum(inside) OVER (PARTITION BY source ORDER BY {_digits("'order|' || source || '|' || whole || '|' || block")}, block
+                                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sums),
+        last AS (SELECT d.*, a.before + coalesce(sum(d.n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY {_digits("'row|' || d.whole || '|' || ident")}, ident
+                                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen, a.before + inside <= a.rest AS fits
+                 FROM dealt d JOIN ahead a ON a.source = d.source AND a.block = d.block WHERE a.before < a.rest)
+        SELECT doc_id, source, e::INT AS epoch, block, n_tokens, weight FROM dealt, unnest(range(0, whole)) AS u(e)
+        UNION ALL SELECT doc_id, source, whole::INT, block, n_tokens, weight FROM last WHERE fits OR seen < rest""",
     "op6_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
