@@ -74,11 +74,11 @@ def reverse_complement(canon: Column) -> Column:
 
 
 def kmers(canon: Column, k: int) -> Column:
-    """All k-mers in order, repeats included; none for sequences shorter than k."""
-    return F.when(
-        F.length(canon) >= k,
-        F.transform(F.sequence(F.lit(1), F.length(canon) - k + 1), lambda i: F.substr(canon, i, F.lit(k))),
-    ).otherwise(F.array().cast("array<string>"))
+    """All k-mers in order, repeats included; none for sequences shorter than k.
+
+    One pass of a look-ahead pattern: taking substrings by position would walk each string anew.
+    """
+    return F.regexp_extract_all(canon, F.lit(f"(?=([ACGU]{{{k}}}))"), F.lit(1))
 
 
 def matches(a: Column, b: Column) -> Column:

@@ -20,16 +20,18 @@ SUMS = ("nll_bits", "valid_nt", "sequence_count", "invalid_count", "truncation_c
 
 
 def positions(rows: DataFrame, keys: list[str], order: int, start: int) -> DataFrame:
-    """keys, pos (from 0), ctx (the order letters before, fewer near the start), sym, from canonical_sequence."""
+    """keys, pos (from 0), ctx, sym, from canonical_sequence.
+
+    ctx are the `order` letters before; start is 0 (fewer letters near the start) or order (positions
+    with a full context only).
+    """
     seq = F.col("canonical_sequence")
-    each = F.when(F.length(seq) > start, F.sequence(F.lit(start), F.length(seq) - 1)).otherwise(F.array().cast("array<int>"))
-    out = rows.where(is_primary(seq)).select(*keys, "canonical_sequence", F.explode(each).alias("pos"))
-    begin = F.greatest(F.lit(0), F.col("pos") - order)
+    filled = seq if start == order else F.concat(F.lit("^" * order), seq)
+    windows = F.regexp_extract_all(filled, F.lit(f"(?=([ACGU^]{{{order + 1}}}))"), F.lit(1))
+    out = rows.where(is_primary(seq)).select(*keys, F.posexplode(windows).alias("_at", "_w"))
     return out.select(
-        *keys, "pos",
-        F.substr(seq, begin + 1, F.col("pos") - begin).alias("ctx"),
-        F.substr(seq, F.col("pos") + 1, F.lit(1)).alias("sym"),
-    )
+        *keys, (F.col("_at") + start).alias("pos"), F.ltrim(F.substring("_w", 1, order), F.lit("^")).alias("ctx"), F.substring("_w", order + 1, 1).alias("sym")
+    )
 
 
 def context_counts(positions_: DataFrame) -> DataFrame:
@@ -65,11 +67,9 @@ def bits_per_letter(bits: DataFrame) -> DataFrame:
 
 def ppm_fit(train: DataFrame, order: int) -> DataFrame:
     """Counts of all contexts of 0 to order letters, each row of `train` giving each position once per context length."""
-    seq = F.col("canonical_sequence")
     at = positions(train, [], order, 0).select("ctx", "sym")
     lengths = F.sequence(F.lit(0), F.length("ctx"))
     each = at.select(F.explode(F.transform(lengths, lambda d: F.right(F.col("ctx"), d))).alias("ctx"), "sym")
-    del seq
     return context_counts(each)
 
 

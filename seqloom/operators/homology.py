@@ -15,11 +15,11 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers
-
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage in the session's checkpoint folder (a temporary one only where none is set)."""
@@ -30,23 +30,52 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kmer_codes(k: int):
+    """A column function from canonical sequence to its distinct k-mers as ascending base-4 numbers (k up to 31)."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(seqs: pd.Series) -> pd.Series:
+        digit = np.zeros(256, np.int64)
+        digit[np.frombuffer(b"ACGU", np.uint8)] = range(4)
+
+        def one(s: str) -> np.ndarray:
+            x = digit[np.frombuffer(s.encode(), np.uint8)]
+            n = len(x) - k + 1
+            if n < 1:
+                return np.zeros(0, np.int64)
+            code = np.zeros(n, np.int64)
+            for i in range(k):
+                code = code * 4 + x[i : i + n]
+            return np.unique(code)
+
+        return seqs.map(one)
+
+    return run
+
+
 def kmer_sets(rows: DataFrame, ident: str, k: int = 16) -> DataFrame:
-    """ident, kmers (distinct), n for rows with canonical_sequence of k letters or more."""
-    sets = rows.select(F.col(ident), F.array_distinct(kmers(F.col("canonical_sequence"), k)).alias("kmers"))
-    return sets.withColumn("n", F.size("kmers")).where("n > 0")
+    """ident, kmers (distinct, as numbers), n for rows with canonical_sequence of k letters or more."""
+    sets = rows.where(F.length("canonical_sequence") >= k).select(F.col(ident), kmer_codes(k)(F.col("canonical_sequence")).alias("kmers"))
+    return sets.withColumn("n", F.size("kmers"))
+
+
+def _probes(each: DataFrame, spread: DataFrame, ident: str, least: float) -> DataFrame:
+    """Of each set the prefix in order of rarity, without the k-mers that nothing else holds (they come first)."""
+    shared = each.join(spread, "kmer")
+    rank = F.row_number().over(Window.partitionBy(ident).orderBy("df", "kmer"))
+    kept = F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("n") - F.count("*").over(Window.partitionBy(ident)))
+    return shared.withColumn("rank", rank).withColumn("kept", kept).where("rank <= kept").drop("rank", "kept", "df")
 
 
 def containment_pairs(rows: DataFrame, ident: str = "ord", k: int = 16, least: float = 0.8) -> DataFrame:
     """a, b (a < b), shared, containment of all linked pairs."""
-    sets = kmer_sets(rows, ident, k).withColumnRenamed(ident, "id")
+    sets = checkpointed(kmer_sets(rows, ident, k).withColumnRenamed(ident, "id"))
     each = sets.select("id", "n", F.explode("kmers").alias("kmer"))
     spread = each.groupBy("kmer").agg(F.count("*").alias("df")).where("df > 1")
-    each = each.join(spread, "kmer", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "kmer"))
-    probe = each.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1")
-    probe = probe.select(F.col("id").alias("x"), F.col("n").alias("nx"), "kmer")
-    found = each.where("df > 1").select(F.col("id").alias("y"), F.col("n").alias("ny"), "kmer").join(probe, "kmer")
-    found = found.where("x <> y and (nx < ny or nx = ny)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    probe = _probes(each, spread, "id", least).select(F.col("id").alias("x"), F.col("n").alias("nx"), "kmer")
+    # only sets whose prefix holds a shared k-mer are probes; they meet all sets that hold it
+    found = each.select(F.col("id").alias("y"), F.col("n").alias("ny"), "kmer").join(probe, "kmer")
+    found = found.where("x <> y and nx <= ny").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     own = lambda c: sets.select(F.col("id").alias(c), F.col("kmers").alias(f"k{c}"), F.col("n").alias(f"n{c}"))
     joined = found.join(own("a"), "a").join(own("b"), "b").withColumn("shared", F.size(F.array_intersect("ka", "kb")).cast("long"))
     joined = joined.withColumn("containment", F.col("shared") / F.least("na", "nb"))
@@ -55,16 +84,14 @@ def containment_pairs(rows: DataFrame, ident: str = "ord", k: int = 16, least: f
 
 def cross_hits(queries: DataFrame, targets: DataFrame, ident: str = "ord", k: int = 16, least: float = 0.8) -> DataFrame:
     """Distinct query idents that share `least` of their distinct k-mers with some target."""
-    q = kmer_sets(queries, ident, k).select(F.col(ident).alias("q"), "n", F.explode("kmers").alias("kmer"))
-    t = kmer_sets(targets, ident, k).select(F.col(ident).alias("t"), F.explode("kmers").alias("kmer"))
-    spread = t.groupBy("kmer").agg(F.count("*").alias("df"))
-    q = q.join(spread, "kmer", "left")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "kmer"))
-    probe = q.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 0")
-    pairs = probe.select("q", "kmer").join(t, "kmer").select("q", "t").distinct()
-    sets = lambda rows, c: kmer_sets(rows, ident, k).select(F.col(ident).alias(c), F.col("kmers").alias(f"k{c}"))
-    pairs = pairs.join(sets(queries, "q"), "q").join(sets(targets, "t"), "t")
-    return pairs.where(F.size(F.array_intersect("kq", "kt")) >= F.lit(least) * F.size("kq")).select("q").distinct()
+    q = checkpointed(kmer_sets(queries, ident, k).withColumnRenamed(ident, "q"))
+    t = checkpointed(kmer_sets(targets, ident, k).select(F.col(ident).alias("t"), F.col("kmers").alias("kt")))
+    each = t.select("t", F.explode("kt").alias("kmer"))
+    spread = each.groupBy("kmer").agg(F.count("*").alias("df"))
+    probe = _probes(q.select("q", "n", F.explode("kmers").alias("kmer")), spread, "q", least)
+    pairs = probe.select("q", "kmer").join(each, "kmer").select("q", "t").distinct()
+    pairs = pairs.join(q, "q").join(t, "t")
+    return pairs.where(F.size(F.array_intersect("kmers", "kt")) >= F.lit(least) * F.col("n")).select("q").distinct()
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
