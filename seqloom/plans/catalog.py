@@ -393,7 +393,7 @@ def sequence_ids(spark, d):
 
 
 @query(f"""WITH {SEQS}, t AS (SELECT ord, unnest(string_split(canonical_sequence, '')) AS c FROM seqs WHERE length > 0)
-SELECT c AS token, instr('ACGU', c) - 1 AS id, count(*) AS n FROM t GROUP BY 1""")
+SELECT c AS token, (instr('ACGU', c) - 1)::INT AS id, count(*) AS n FROM t GROUP BY 1""")
 def nuc_tokens(spark, d):
     each = seqs(spark, d).select(F.explode(K.nuc_tokens(F.col("canonical_sequence"))).alias("token"))
     return each.groupBy("token").agg(F.count("*").alias("n")).withColumn("id", K.base4(F.col("token")))
