@@ -18,14 +18,19 @@ Names. A run is named twice: by the gram, and by a 128-bit fingerprint of all
 bytes its windows cover. Fingerprints are names that need no global ranking.
 Runs whose full name recurs repeat as a whole. A gram that recurs under a single
 full name is settled by that. Only for grams with several full names the
-remaining windows matter: one run per full name is unrolled into its windows,
-named by 128-bit fingerprints of their LENGTH bytes.
+remaining windows matter, and one run per full name stands for all of them. Up
+to FEW names, their bytes are brought together by gram and compared to the left
+and right of the sampled position. Beyond that a run is unrolled into its
+windows, named by 128-bit fingerprints of their LENGTH bytes.
 
 Sort. Window names are range-partitioned and sorted; a name equal to its
 neighbour's marks a repeated window. A name with many windows spreads over many
 partitions; at partition borders (two names each) neighbours are compared in a
 table of that size. Marked intervals are merged per document and cut out.
 
+Texts are compressed before they are shuffled to the runs or intervals that are
+wanted of them.
+
 Every row is a document of its own: rows that repeat id and text repeat each
 other's strings. Null text counts as empty; texts shorter than LENGTH lose
 nothing; matches never cross documents.
@@ -41,11 +46,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import changes, checkpointed, partitions, text_of
+from .common import changes, checkpointed, partitions, text_of, whole_groups
 
 LENGTH = 400
 GRAM = 64
 CHUNK = 1 << 20
+#: Full names of one gram that are compared in one task, of LENGTH bytes and a half each, about.
+FEW = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 KEY = ["doc_id", "text_hash"]
 
@@ -75,7 +82,7 @@ class _Sampler:
         return h ^ (h >> np.uint64(32))
 
     def runs(self, x: np.ndarray):
-        """Yields arrays (gram hash, first window, last window); texts are cut every CHUNK windows."""
+        """Yields arrays (gram hash, sampled position, first window, last window); texts are cut every CHUNK windows."""
         for begin in range(0, len(x) - self.length + 1, CHUNK):
             part = x[begin : begin + CHUNK + self.length - 1]
             h, wide = self._grams(part), self.length - self.gram + 1
@@ -91,41 +98,117 @@ class _Sampler:
             least = np.minimum(back[: n - wide + 1], ahead[wide - 1 : n]) & np.uint64(0xFFFFFFFF)
             first = np.flatnonzero(changes(least))
             last = np.append(first[1:], len(least)) - 1
-            yield h[least[first].astype(np.int64)].view(np.int64), begin + first, begin + last
+            at = least[first].astype(np.int64)
+            yield h[at].view(np.int64), begin + at, begin + first, begin + last
+
+
+RUNS = "g bigint, h1 bigint, h2 bigint, doc_id bigint, text_hash int, p bigint, lo bigint, hi bigint"
 
 
 def _name_runs(length: int, gram: int):
+    names_ = [c.split(" ")[0] for c in RUNS.split(", ")]
+
     def run(batches):
         import xxhash
 
         digest, sampler = xxhash.xxh3_128_digest, _Sampler(length, gram)
         for batch in batches:
-            grams, names, counts, firsts, lasts = [], [], [], [], []
+            names, counts, found = [], [], [[], [], [], []]
             for text in batch.column(2):
-                data, found = text.as_py().encode(), 0
+                data, n = text.as_py().encode(), 0
                 if len(data) >= length:
-                    for g, lo, hi in sampler.runs(np.frombuffer(data, np.uint8)):
-                        names += [digest(data[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist())]
-                        grams.append(g)
-                        firsts.append(lo)
-                        lasts.append(hi)
-                        found += len(g)
-                counts.append(found)
+                    for part in sampler.runs(np.frombuffer(data, np.uint8)):
+                        names += [digest(data[a : b + length]) for a, b in zip(part[2].tolist(), part[3].tolist())]
+                        n += len(part[0])
+                        for kept, x in zip(found, part):
+                            kept.append(x)
+                counts.append(n)
             take = pa.array(np.repeat(np.arange(len(counts)), counts))
-            flat = [np.concatenate(a) if a else np.zeros(0, np.int64) for a in (grams, firsts, lasts)]
+            g, p, lo, hi = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in found)
             two = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(flat[0]),
-                    pa.array(np.ascontiguousarray(two[:, 0])),
-                    pa.array(np.ascontiguousarray(two[:, 1])),
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
-                    pa.array(flat[1].astype(np.int64)),
-                    pa.array(flat[2].astype(np.int64)),
-                ],
-                ["g", "h1", "h2", "doc_id", "text_hash", "lo", "hi"],
-            )
+            h1, h2 = (pa.array(np.ascontiguousarray(two[:, k])) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([g, h1, h2, batch.column(0).take(take), batch.column(1).take(take), p, lo, hi], names_)
+
+    return run
+
+
+def _squeeze(batches):
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        data = pa.array([squeeze(t.as_py().encode()) for t in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], [*KEY, "data"])
+
+
+def _unsqueezed(column):
+    import zstandard
+
+    back = zstandard.ZstdDecompressor().decompress
+    return (back(x.as_py()) for x in column)
+
+
+CONTEXTS = "g bigint, doc_id bigint, text_hash int, p bigint, lo bigint, solo boolean, context binary"
+
+
+def _contexts(length: int):
+    """Documents with the runs wanted of them -> the bytes that each run's windows cover."""
+
+    def run(batches):
+        for batch in batches:
+            rows, columns = [], [[], [], [], [], []]
+            for k, (data, runs) in enumerate(zip(_unsqueezed(batch.column(2)), batch.column(3))):
+                for r in runs.as_py():
+                    rows.append(k)
+                    for kept, x in zip(columns, (r["g"], r["p"], r["lo"], r["solo"], data[r["lo"] : r["hi"] + length])):
+                        kept.append(x)
+            take = pa.array(rows, pa.int64())
+            g, p, lo, solo, context = (pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())))
+            own = [batch.column(0).take(take), batch.column(1).take(take)]
+            yield pa.RecordBatch.from_arrays([g, *own, p, lo, solo, context], ["g", *KEY, "p", "lo", "solo", "context"])
+
+    return run
+
+
+def _agreement(contexts: list[bytes], before: list[int], wanted: list[int], length: int):
+    """For each wanted context the bytes that it shares to the left and right of its sampled position with others, at the most."""
+    n = len(contexts)
+    left, right = max(before), max(len(c) - b for c, b in zip(contexts, before))
+    # what lies outside a context agrees with nothing: numbers below zero, one for each row
+    a = np.repeat(-1 - np.arange(n, dtype=np.int16)[:, None], left + 1, axis=1)
+    z = np.repeat(-1 - np.arange(n, dtype=np.int16)[:, None], right + 1, axis=1)
+    for k, (c, b) in enumerate(zip(contexts, before)):
+        x = np.frombuffer(c, np.uint8)
+        a[k, :b] = x[:b][::-1]
+        z[k, : len(x) - b] = x[b:]
+    for k in wanted:
+        others = np.arange(n) != k
+        to_left = (a != a[k]).argmax(axis=1)
+        to_right = (z != z[k]).argmax(axis=1)
+        good = others & (to_left + to_right >= length)
+        if good.any():
+            yield k, int(to_left[good].max()), int(to_right[good].max())
+
+
+def _compare(length: int):
+    """Contexts sorted by gram -> the intervals of solo runs that another run repeats."""
+
+    def run(batches):
+        for table in whole_groups(batches, ["g"]):
+            bounds = np.flatnonzero(changes(table["g"].to_numpy()))
+            p, lo = table["p"].to_numpy(), table["lo"].to_numpy()
+            solo = table["solo"].to_numpy()
+            contexts, rows, starts, ends = table["context"].to_pylist(), [], [], []
+            for i, j in zip(bounds.tolist(), np.append(bounds[1:], len(table)).tolist()):
+                wanted = np.flatnonzero(solo[i:j]).tolist()
+                for k, to_left, to_right in _agreement(contexts[i:j], (p[i:j] - lo[i:j]).tolist(), wanted, length):
+                    rows.append(i + k)
+                    starts.append(int(p[i + k]) - to_left)
+                    ends.append(int(p[i + k]) + to_right)
+            at = table.select(KEY).take(pa.array(rows, pa.int64()))
+            for name, values in (("start", starts), ("end", ends)):
+                at = at.append_column(name, pa.array(values, pa.int64()))
+            yield from at.to_batches()
 
     return run
 
@@ -148,8 +231,7 @@ def _name_windows(length: int):
 
         for batch in batches:
             rows, at, solo, found = [], [], [], []
-            for k, (text, runs) in enumerate(zip(batch.column(2), batch.column(3))):
-                data = text.as_py().encode()
+            for k, (data, runs) in enumerate(zip(_unsqueezed(batch.column(2)), batch.column(3))):
                 for r in runs.as_py():
                     found += [digest(data[i : i + length]) for i in range(r["lo"], r["hi"] + 1)]
                     n = r["hi"] - r["lo"] + 1
@@ -254,18 +336,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.shiftright(F.xxhash64("text"), 32).cast("int").alias("text_hash"), "text")
 
 
-def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text_hash, starts, ends: the maximal byte intervals covered by repeated strings, for documents that have any."""
-    spark, texts = docs.sparkSession, _texts(docs)
-    long = texts.where(F.octet_length("text") >= length)
-    runs = long.mapInArrow(_name_runs(length, gram), "g bigint, h1 bigint, h2 bigint, doc_id bigint, text_hash int, lo bigint, hi bigint")
-    runs = checkpointed(runs)
-    named = runs.groupBy("g", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo", "hi")).alias("one"))
-    named = checkpointed(named.withColumn("solo", F.col("n") == 1))
-    several = named.groupBy("g").agg(F.count("*").alias("names")).where("names > 1").select("g")
-    unrolled = named.join(several, "g", "left_semi").select("one.*", "solo")
-    per_row = unrolled.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "solo")).alias("runs"))
-    wanted = long.alias("t").join(per_row.alias("r").hint("shuffle_hash"), _same_row("t", "r")).select("t.doc_id", "t.text_hash", "text", "runs")
+def _unrolled(wanted: DataFrame, length: int) -> DataFrame:
+    """Intervals of the repeated windows of solo runs, by sorting the names of all windows of the wanted runs."""
+    spark = wanted.sparkSession
     windows = wanted.mapInArrow(_name_windows(length), "w1 bigint, w2 bigint, doc_id bigint, text_hash int, at bigint, solo boolean")
     order = ["w1", "w2", *KEY, "at"]
     marks = windows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, MARKS)
@@ -273,10 +346,35 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     # names at the borders of partitions: two rows of each partition at most
     borders = marks.where("state = 2").groupBy("w1", "w2").agg(F.count("*").alias("n"))
     met = marks.where("state = 0").dropDuplicates(order).join(F.broadcast(borders.where("n > 1")), ["w1", "w2"], "left_semi")
+    found = marks.where("state = 1").select(*KEY, "at").union(met.select(*KEY, "at"))
+    return found.select(*KEY, F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+
+
+def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
+    """doc_id, text_hash, starts, ends: the maximal byte intervals covered by repeated strings, for documents that have any."""
+    spark = docs.sparkSession
+    long = _texts(docs).where(F.octet_length("text") >= length)
+    runs = long.mapInArrow(_name_runs(length, gram), RUNS)
+    again = runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    runs = checkpointed(runs.join(again, "g", "left_semi"))
+    named = runs.groupBy("g", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "p", "lo", "hi")).alias("one"))
+    named = checkpointed(named.select("g", "h1", "h2", "one", (F.col("n") == 1).alias("solo")))
+    several = checkpointed(named.groupBy("g").agg(F.count("*").alias("names")).where("names > 1"))
+
+    def wanted(names: str) -> DataFrame:
+        some = named.join(several.where(names), "g", "left_semi").select("g", "one.*", "solo")
+        per_row = some.groupBy(*KEY).agg(F.collect_list(F.struct("g", "p", "lo", "hi", "solo")).alias("runs"))
+        packed = long.mapInArrow(_squeeze, "doc_id bigint, text_hash int, data binary")
+        joined = packed.alias("t").join(per_row.alias("r").hint("shuffle_hash"), _same_row("t", "r"))
+        return joined.select("t.doc_id", "t.text_hash", "data", "runs")
+
     whole = runs.join(named.where("not solo"), ["g", "h1", "h2"], "left_semi")
     found = whole.select(*KEY, F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    for part in (marks.where("state = 1"), met):
-        found = found.union(part.select(*KEY, F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+    contexts = wanted(f"names <= {few}").mapInArrow(_contexts(length), CONTEXTS)
+    contexts = contexts.repartition(partitions(spark), "g").sortWithinPartitions("g")
+    found = found.union(contexts.mapInArrow(_compare(length), "doc_id bigint, text_hash int, start bigint, end bigint"))
+    if not several.where(f"names > {few}").isEmpty():
+        found = found.union(_unrolled(wanted(f"names > {few}"), length))
     found = found.repartition(partitions(spark), *KEY).sortWithinPartitions(*KEY, "start")
     return found.mapInArrow(_merge, "doc_id bigint, text_hash int, starts array<bigint>, ends array<bigint>")
 
@@ -288,18 +386,19 @@ def _kept(data: bytes, starts, ends) -> bytes:
 def _report(batches):
     for batch in batches:
         out = []
-        for text, starts, ends in zip(*(batch.column(k) for k in (1, 2, 3))):
-            data, starts, ends = text.as_py().encode(), starts.as_py() or [], ends.as_py() or []
+        for data, starts, ends in zip(_unsqueezed(batch.column(1)), batch.column(2), batch.column(3)):
+            starts, ends = starts.as_py() or [], ends.as_py() or []
             out.append((len(data), sum(ends) - sum(starts), len(starts), hashlib.sha256(_kept(data, starts, ends)).hexdigest()))
         columns = list(zip(*out)) or [[]] * 4
         kinds = [pa.int64()] * 3 + [pa.string()]
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    spans = repeated_intervals(docs, length, gram).alias("s").hint("shuffle_hash")
-    rows = _texts(docs).alias("t").join(spans, _same_row("t", "s"), "left").select("t.doc_id", "text", "starts", "ends")
+    spans = repeated_intervals(docs, length, gram, few).alias("s").hint("shuffle_hash")
+    packed = _texts(docs).mapInArrow(_squeeze, "doc_id bigint, text_hash int, data binary").alias("t")
+    rows = packed.join(spans, _same_row("t", "s"), "left").select("t.doc_id", "data", "starts", "ends")
     return rows.mapInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 

@@ -51,9 +51,9 @@ def test_repeats(spark):
         rows = make(length)
         docs = spark.createDataFrame([(d, t, 1, "z") for d, t in rows], "doc_id long, text string, lo int, ends string")
         want, gone = brute(rows, length)
-        for n in (1, 4, 23):
+        for n, few in ((1, 2), (4, 256), (23, 1)):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            got = [tuple(r) for r in repeat_report(docs, length, gram).collect()]
+            got = [tuple(r) for r in repeat_report(docs, length, gram, few).collect()]
             assert sorted(got, key=str) == sorted(want, key=str)
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         assert any(0 < w[2] < w[1] for w in want)
