@@ -20,13 +20,10 @@ Runs whose full name recurs repeat as a whole. A gram that recurs under a single
 full name is settled by that. Only for grams with several full names the
 remaining windows matter, and one run per full name stands for all of them. Up
 to FEW names, their bytes are brought together by gram and compared to the left
-and right of the sampled position. Beyond that a run is unrolled into its
-windows, named by 128-bit fingerprints of their LENGTH bytes.
-
-Sort. Window names are range-partitioned and sorted; a name equal to its
-neighbour's marks a repeated window. A name with many windows spreads over many
-partitions; at partition borders (two names each) neighbours are compared in a
-table of that size. Marked intervals are merged per document and cut out.
+and right of the sampled position. Beyond that the recursion is on names of
+ranges of windows: those that share their bytes are settled together, those that
+share nothing are dropped, and what is left is cut in eight until single windows
+remain. Marked intervals are merged per document and cut out.
 
 Texts are compressed before they are shuffled to the runs or intervals that are
 wanted of them.
@@ -213,84 +210,45 @@ def _compare(length: int):
     return run
 
 
-def _name_windows(length: int):
-    """Documents with the runs to unroll -> one row per window; solo runs (full name not repeated) want the answer."""
+KEYED = "rid bigint, a int, wanted boolean, c1 bigint, c2 bigint, f1 bigint, f2 bigint, doc_id bigint, text_hash int, p bigint"
+
+
+def _range_names(length: int, width: int):
+    """Contexts with a range of windows (from offset a on, width many) -> names of what all these windows share and of all they cover.
+
+    Offsets count from the sampled position. A range outside the context is left out; one that is only
+    partly inside has no second name.
+    """
 
     def run(batches):
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        names = ["w1", "w2", "doc_id", "text_hash", "at", "solo"]
-
-        def flush(batch, rows, at, solo, found):
-            two = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-            take = pa.array(rows, pa.int64())
-            columns = [np.ascontiguousarray(two[:, k]) for k in (0, 1)]
-            own = [batch.column(0).take(take), batch.column(1).take(take)]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *own, pa.array(at, pa.int64()), pa.array(solo, pa.bool_())], names)
-
+        names_ = [c.split(" ")[0] for c in KEYED.split(", ")]
         for batch in batches:
-            rows, at, solo, found = [], [], [], []
-            for k, (data, runs) in enumerate(zip(_unsqueezed(batch.column(2)), batch.column(3))):
-                for r in runs.as_py():
-                    found += [digest(data[i : i + length]) for i in range(r["lo"], r["hi"] + 1)]
-                    n = r["hi"] - r["lo"] + 1
-                    rows += [k] * n
-                    at += range(r["lo"], r["hi"] + 1)
-                    solo += [r["solo"]] * n
-                    if len(found) > 200_000:
-                        yield flush(batch, rows, at, solo, found)
-                        rows, at, solo, found = [], [], [], []
-            yield flush(batch, rows, at, solo, found)
+            rows, shared, whole = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("a", "p", "lo", "context")]
+            for k, (a, p, lo, context) in enumerate(zip(*columns)):
+                b = a + width - 1
+                first, last = lo - p, lo - p + len(context) - length  # offsets of the context's windows
+                if b < first or a > last:
+                    continue
+                rows.append(k)
+                shared.append(digest(context[b - first : max(b - first, a - first + length)]))
+                whole.append(digest(context[a - first : b - first + length]) if first <= a and b <= last else None)
+            take = pa.array(rows, pa.int64())
+            c = np.frombuffer(b"".join(shared), "<i8").reshape(-1, 2)
+            f = np.frombuffer(b"".join(x or bytes(16) for x in whole), "<i8").reshape(-1, 2)
+            none = np.array([x is None for x in whole], bool)
+            own = lambda name: batch.column(name).take(take)  # noqa: B023, E731
+            columns = [own("rid"), own("a"), own("wanted")]
+            columns += [pa.array(np.ascontiguousarray(c[:, i])) for i in (0, 1)]
+            columns += [pa.array(np.ascontiguousarray(f[:, i]), mask=none) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, own("doc_id"), own("text_hash"), own("p")], names_)
 
     return run
 
 
-MARKS = "w1 bigint, w2 bigint, doc_id bigint, text_hash int, at bigint, state int"
-
-
-def _neighbours(batches):
-    """Sorted window rows -> repeated solo windows (state 1); single rows at a border that want an answer (0); border names (2)."""
-    held, first = None, True
-    names = ["w1", "w2", "doc_id", "text_hash", "at"]
-
-    def out(table: pa.Table, state: int):
-        return table.select(names).append_column("state", pa.array(np.full(len(table), state, np.int32))).to_batches()
-
-    def border(table: pa.Table):
-        """A run at a border: repeated if it has two rows here, else open."""
-        yield from out(table.slice(0, 1), 2)
-        solo = table.filter(table["solo"])
-        yield from out(solo, 1 if len(table) > 1 else 0)
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if not len(table):
-            continue
-        if held is not None:
-            table = pa.concat_tables([held, table]).combine_chunks()
-        starts = np.flatnonzero(changes(table["w1"].to_numpy(), table["w2"].to_numpy()))
-        held = table.slice(int(starts[-1]))
-        if len(held) > 50_000:
-            # a very long run: two rows stand for it, the others are repeated in any case
-            yield from out(held.slice(2).filter(held.slice(2)["solo"]), 1)
-            held = held.slice(0, 2)
-        if len(starts) == 1:
-            continue
-        begin = 0
-        if first:
-            first, begin = False, int(starts[1])
-            yield from border(table.slice(0, begin))
-        sizes = np.diff(np.append(starts, len(table)))
-        repeated = np.repeat(sizes > 1, sizes) & table["solo"].to_numpy(zero_copy_only=False)
-        repeated[:begin] = False
-        repeated[starts[-1] :] = False
-        if repeated.any():
-            yield from out(table.filter(pa.array(repeated)), 1)
-    if held is not None:
-        yield from border(held)
-
-
 def _merge(batches):
     """Intervals sorted by document and start -> one row per document with disjoint intervals."""
     held = None
@@ -336,18 +294,40 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.shiftright(F.xxhash64("text"), 32).cast("int").alias("text_hash"), "text")
 
 
-def _unrolled(wanted: DataFrame, length: int) -> DataFrame:
-    """Intervals of the repeated windows of solo runs, by sorting the names of all windows of the wanted runs."""
-    spark = wanted.sparkSession
-    windows = wanted.mapInArrow(_name_windows(length), "w1 bigint, w2 bigint, doc_id bigint, text_hash int, at bigint, solo boolean")
-    order = ["w1", "w2", *KEY, "at"]
-    marks = windows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, MARKS)
-    marks = checkpointed(marks)
-    # names at the borders of partitions: two rows of each partition at most
-    borders = marks.where("state = 2").groupBy("w1", "w2").agg(F.count("*").alias("n"))
-    met = marks.where("state = 0").dropDuplicates(order).join(F.broadcast(borders.where("n > 1")), ["w1", "w2"], "left_semi")
-    found = marks.where("state = 1").select(*KEY, "at").union(met.select(*KEY, "at"))
-    return found.select(*KEY, F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+def _narrowed(contexts: DataFrame, length: int, span: int) -> DataFrame:
+    """Intervals of solo contexts that others repeat, by recursion on ranges of windows.
+
+    A context starts with all its ranges of 8^3 windows. In each round a range is named by the bytes that
+    all its windows share and by the bytes that they cover. Without another range of the first name it
+    is dropped; with another of the second name it is repeated as a whole, and one of these goes on for
+    the others' sake; what is left is cut in eight. A context has at most two ranges that are partly
+    repeated, so a round has rows in proportion to the number of contexts, whatever shares one gram.
+    """
+    contexts = checkpointed(contexts.withColumn("rid", F.monotonically_increasing_id()))
+    width = 8**3
+    starts = [1 - width * (k + 1) for k in range(-(-span // width))]
+    active = contexts.select("rid", F.explode(F.array(*map(F.lit, starts))).alias("a"), F.col("solo").alias("wanted"))
+    found = None
+    while True:
+        keyed = active.join(contexts, "rid").select("rid", "a", "wanted", "doc_id", "text_hash", "p", "lo", "context")
+        keyed = checkpointed(keyed.mapInArrow(_range_names(length, width), KEYED))
+        whole = keyed.where("f1 is not null").groupBy("a", "f1", "f2").agg(F.count("*").alias("same"), F.min("rid").alias("first"))
+        whole = whole.where("same > 1")
+        marked = keyed.where("wanted").join(whole, ["a", "f1", "f2"], "left_semi")
+        end = F.col("p") + F.col("a") + (width - 1 + length)
+        marked = marked.select(*KEY, (F.col("p") + F.col("a")).alias("start"), end.alias("end"))
+        found = marked if found is None else found.union(marked)
+        if width == 1:
+            return found
+        shared = keyed.groupBy("a", "c1", "c2").agg(
+            F.count("*").alias("n"), F.count("f1").alias("nf"), F.bool_or("wanted").alias("any"),
+            ((F.min("f1") == F.max("f1")) & (F.min("f2") == F.max("f2"))).alias("alike"),
+        )
+        shared = shared.where("n > 1 and any and not (nf = n and alike)").select("a", "c1", "c2")
+        rest = keyed.join(shared, ["a", "c1", "c2"], "left_semi").join(whole, ["a", "f1", "f2"], "left").where("same is null or rid = first")
+        parts = F.explode(F.array(*[F.col("a") + k * (width // 8) for k in range(8)]))
+        active = rest.select("rid", parts.alias("a"), (F.col("wanted") & F.col("same").isNull()).alias("wanted"))
+        width //= 8
 
 
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
@@ -374,7 +354,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     contexts = contexts.repartition(partitions(spark), "g").sortWithinPartitions("g")
     found = found.union(contexts.mapInArrow(_compare(length), "doc_id bigint, text_hash int, start bigint, end bigint"))
     if not several.where(f"names > {few}").isEmpty():
-        found = found.union(_unrolled(wanted(f"names > {few}"), length))
+        found = found.union(_narrowed(wanted(f"names > {few}").mapInArrow(_contexts(length), CONTEXTS), length, length - gram + 1))
     found = found.repartition(partitions(spark), *KEY).sortWithinPartitions(*KEY, "start")
     return found.mapInArrow(_merge, "doc_id bigint, text_hash int, starts array<bigint>, ends array<bigint>")
 
