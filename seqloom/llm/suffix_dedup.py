@@ -43,11 +43,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import changes, checkpointed, partitions, text_of, whole_groups
+from .common import changes, checkpointed, partitions, small_batches, text_of, whole_groups
 
 LENGTH = 400
 GRAM = 64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Full names of one gram that are compared in one task, of LENGTH bytes and a half each, about.
 FEW = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -333,9 +333,11 @@ def _narrowed(contexts: DataFrame, length: int, span: int) -> DataFrame:
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
     """doc_id, text_hash, starts, ends: the maximal byte intervals covered by repeated strings, for documents that have any."""
     spark = docs.sparkSession
+    small_batches(spark)
     long = _texts(docs).where(F.octet_length("text") >= length)
     runs = long.mapInArrow(_name_runs(length, gram), RUNS)
-    again = runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # written, so that both sides of the join have a shuffle of their own and a gram that many runs share can be split
+    again = checkpointed(runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     runs = checkpointed(runs.join(again, "g", "left_semi"))
     named = runs.groupBy("g", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "p", "lo", "hi")).alias("one"))
     named = checkpointed(named.select("g", "h1", "h2", "one", (F.col("n") == 1).alias("solo")))
