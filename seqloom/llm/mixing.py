@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_CLASS, text_of
+from .common import checkpointed, text_of
 
 SEED = "mix-1"
 ENTROPY = 0.95
 MAX_REPEATS = 2.0
 BLOCK_ROWS = 2048
 STEPS = 50
+#: Sources up to which their table (a row each) is broadcast, and the parts of a source beyond that.
+BROADCAST_SOURCES, SALTS = 10_000, 256
 
 
 def word_count(text: Column) -> Column:
@@ -88,13 +90,19 @@ def mixed_rows(docs: DataFrame, keys: list[str], budget_part: float = 1.0, entro
     docs: columns keys (kept), `source`, `n_tokens`, `ident` (a string that tells rows apart).
     The budget is budget_part times all tokens.
     """
-    sources = docs.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("tokens"))
+    docs = checkpointed(docs)  # fixed-width rows: the texts are read once
+    sources = checkpointed(docs.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("tokens")))
     plan = weights(sources, F.floor(F.col("total") * budget_part), entropy, max_repeats)
     plan = plan.withColumn("n_blocks", F.ceil(F.col("n_rows") / block_rows))
     plan = plan.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)))
     plan = plan.withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
     digits = lambda *parts: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), *parts), 256), 1, 8), 16, 10).cast("long")
-    dealt = docs.join(plan, "source").withColumn("block", F.pmod(digits(F.lit("block"), "ident"), F.col("n_blocks")))
+    if sources.count() <= BROADCAST_SOURCES:
+        dealt = docs.join(F.broadcast(plan), "source")
+    else:  # a large source is spread over SALTS tasks
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"]).drop("salt")
+    dealt = dealt.withColumn("block", F.pmod(digits(F.lit("block"), "ident"), F.col("n_blocks")))
     # whole epochs
     columns = [*keys, "source", "epoch", "block", "n_tokens", "weight"]
     whole = dealt.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))

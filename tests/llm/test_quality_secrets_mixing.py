@@ -116,7 +116,7 @@ def mix_rows():
     return rows + [rows[0], rows[0]]
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     rows = mix_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_tokens", F.lit("n")).withColumn("epoch", F.lit(0))
     tokens, n = Counter(), len(rows)
@@ -145,6 +145,9 @@ def test_mixing(spark):
         own = Counter(d for d, _, x in rows if (x or "") == s)
         for e in range(full):
             assert {d: k for (x, d), k in epochs.items() if x == e} == own
+    monkeypatch.setattr("seqloom.llm.mixing.BROADCAST_SOURCES", 1)
+    salted = mix_report(docs, entropy=0.9, max_repeats=3.0, block_rows=16).collect()
+    assert sorted(map(str, salted)) == sorted(map(str, got))
     assert Counter((r.doc_id) for r in mix(docs, entropy=0.9, max_repeats=3.0, block_rows=16).collect()).keys() == {r.doc_id for r in got}
     assert mix(docs).columns == docs.columns
     assert mix_report(docs.limit(0)).count() == 0 == mix(docs.limit(0)).count()
