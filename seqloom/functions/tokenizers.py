@@ -2,8 +2,8 @@
 
 Fixed k-mer, overlapping k-mer and single-letter tokens, and greedy longest
 match over a vocabulary, are Spark expressions. Byte-pair encoding merges step
-by step, so it is fitted on a bounded weighted table of distinct sequences and
-applied by an Arrow function that closes over the merge list.
+by step: operators.bpe fits it on all rows of a table, fit_bpe on a small weighted
+one in one process; an Arrow function that closes over the merge list applies it.
 """
 
 from __future__ import annotations

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from ..functions import sequence as S
 from ..functions import tokenizers as K
 from ..functions.splitmix import splitmix_draw
 from ..operators import baselines as B
-from ..operators import coding, corpus, homology, metrics, runs, segments, splits
+from ..operators import bpe, coding, corpus, homology, metrics, runs, segments, splits
 from ..sources.readers import union_releases
 from ..streaming import ingest
 from ..views import SEQS, seqs, table
@@ -436,11 +435,9 @@ def unigram_encode(spark, d):
     return rows.select("ord", F.size("x").cast("long").alias("n_tokens"), F.md5(F.array_join("x", " ")).alias("tokens_md5"))
 
 
-def bpe_merges(spark, d, merges=64, words=4000, letters=64):
-    """Merges fitted on a bounded table: the `words` heaviest segments of `letters` letters (a parameter of the fit)."""
-    pieces = seqs(spark, d).select(F.explode(F.regexp_extract_all("canonical_sequence", F.lit(f"[ACGU]{{1,{letters}}}"), F.lit(0))).alias("w"))
-    top = pieces.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(words).collect()
-    return K.fit_bpe(Counter({r.w: r.n for r in top}), merges)
+def bpe_merges(spark, d, merges=64, letters=64):
+    """Merges fitted on all segments of `letters` letters (a parameter of the fit)."""
+    return bpe.fit_bpe_rows(seqs(spark, d), merges, letters)
 
 
 @query()

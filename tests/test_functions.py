@@ -123,6 +123,23 @@ def test_bpe_equals_the_naive_form(spark):
     assert each(spark, K.bpe_tokens(order), words[:10]) == parts[:10]
 
 
+def test_bpe_is_fitted_on_all_segments(spark, tmp_path):
+    from seqloom.operators.bpe import fit_bpe_rows
+    from seqloom.plans.catalog import bpe_merges
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("ACGU", weights=[4, 2, 1, 1], k=rng.randint(1, 90))) for _ in range(80)] + ["AAAAAAA", "A" * 64 + "AAAC", "", None]
+    segments = Counter(w[k : k + 64] for w in words if w for k in range(0, len(w), 64))
+    rows = spark.createDataFrame([(w,) for w in words], "canonical_sequence string")
+    assert fit_bpe_rows(rows, 25, 64) == K.fit_bpe(segments, 25)
+    assert fit_bpe_rows(rows.limit(0), 25, 64) == []
+    # more segments than one process was given before, the later ones in order of letters unlike the first
+    texts = ["A" + "".join(rng.choices("AC", k=63)) for _ in range(4_050)] + ["U" + "".join(rng.choices("GU", weights=[1, 3], k=63)) for _ in range(6_000)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert bpe_merges(spark, str(tmp_path), merges=6) == K.fit_bpe(Counter(texts), 6)
+
+
 def test_next_token_window(spark):
     ids, nt = F.array(*map(F.lit, [5, 6, 7, 8])), F.array(*map(F.lit, [3, 3, 3, 1]))
     full = one(spark, K.next_token_window(ids, nt, 10))
