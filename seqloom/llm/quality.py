@@ -78,7 +78,7 @@ def votes(text: str) -> list[int]:
     lines = [x for x in data.split(b"\n") if x.strip()]
     out.append(bad(len(lines) >= 4 and len(set(lines)) < 0.6 * len(lines)))
     out.append(bad(letters >= MIN_LETTERS and not 2 <= letters / n <= 14))
-    out.append(bad(10 <= n <= 2000 and max(Counter(words).values()) > 0.3 * n))
+    out.append(bad(n >= 10 and max(Counter(words).values()) > 0.3 * n))
     out.append(bad(n >= 10 and stutter(words) > 0.2))
     if n < 10:
         return out + [NONE, NONE]

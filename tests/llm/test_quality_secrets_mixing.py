@@ -59,6 +59,11 @@ def test_quality(spark):
     assert len(votes("")) == len(LABELLERS)
 
 
+def test_top_word_of_texts_of_any_length():
+    top = LABELLERS.index("top_word")
+    assert [votes("the word " * n)[top] for n in (4, 900, 60_000)] == [0, 2, 2]
+
+
 SECRETS = [
     'password = "hunter2hunter2" and API_KEY:abcdEFGH1234 token=short secret = x',
     "token:secret:abcdefghijklmnop PASSWD=secret=abcdefghijklm",
