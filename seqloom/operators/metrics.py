@@ -16,22 +16,8 @@ def continuation_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def nearest_identity(rows: DataFrame, train: DataFrame, key: str = "ord") -> DataFrame:
-    """key, best: the largest positional identity with any training sequence, which is a stated, small set of queries by a training set.
-
-    Identity is positional, so candidates need equal letters at equal places: rows and training
-    sequences meet on (place, 4 letters) blocks over the first 64 letters, then are compared in full.
-    A row without any common block has best 0 here only if no block agrees; `brute` compares all.
-    """
-    blocks = lambda c: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.concat_ws(":", i, F.substr(c, i * 4 + 1, F.lit(4))))
-    left = rows.select(key, F.col("canonical_sequence").alias("x"), F.explode(blocks(F.col("canonical_sequence"))).alias("block"))
-    right = train.select(F.col("canonical_sequence").alias("y"), F.explode(blocks(F.col("canonical_sequence"))).alias("block"))
-    met = left.join(right, "block").select(key, "x", "y").distinct()
-    return met.groupBy(key).agg(F.max(positional_identity(F.col("x"), F.col("y"))).alias("best"))
-
-
 def nearest_identity_all(rows: DataFrame, train: DataFrame, key: str = "ord") -> DataFrame:
-    """The same against every training sequence: for a stated set of queries, in blocks of the training set."""
+    """key, best: the largest positional identity with any of all training sequences, for a stated set of queries."""
     pairs = rows.select(key, F.col("canonical_sequence").alias("x")).crossJoin(train.select(F.col("canonical_sequence").alias("y")))
     return pairs.groupBy(key).agg(F.max(positional_identity(F.col("x"), F.col("y"))).alias("best"))
 

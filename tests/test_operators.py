@@ -222,6 +222,14 @@ def test_generation_and_continuation(spark):
     assert row.mean_edit_distance == 1.5 and row.mean_accuracy == pytest.approx(0.625)
 
 
+def test_nearest_identity_looks_at_whole_sequences(spark):
+    items = spark.createDataFrame([(1, "A" * 70 + "CGU" * 10), (2, "C")], "ord long, canonical_sequence string")
+    train = spark.createDataFrame([("G" * 70 + "CGU" * 10,), ("U",)], "canonical_sequence string")
+    got = {r.ord: round(r.best, 9) for r in metrics.nearest_identity_all(items, train).collect()}
+    assert got == {1: 0.3, 2: 0.0}
+    assert not hasattr(metrics, "nearest_identity")  # it met candidates by the first 64 letters only
+
+
 def test_contained_items(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, "x " + item + " y"), (2, item[:-2]), (3, "short item"), (4, "no"), (5, "z" + item)], "doc_id long, text string")
