@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,25 +29,46 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of an Arrow batch of texts, at the most: 10,000 long texts would not fit beside an executor's heap.
-BATCH_ROWS = 2_000
+#: Bytes of text (or of other long values) that a batch function works on at a time, but for a single longer row.
+SLICE_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def sliced(batches: Iterable[pa.RecordBatch], column: int | str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose values of a string or binary column hold up to limit bytes, or are one row.
+
+    What a function makes of a batch is then bounded whatever the length of the texts, and the session's
+    own batch size can stay as it is.
+    """
+    for batch in batches:
+        values = batch.column(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin, n = 0, batch.num_rows
+        if not n:
+            yield batch
+        while begin < n:
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name of a helper column can clash with one of theirs."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (single machine, tests) a temporary folder is made.
+    Only on a single machine (a local master, tests) a temporary folder is made where that is unset; on a
+    cluster nobody else would see it, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seqloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seqloom-"))
     return context.getCheckpointDir()
 
 
@@ -55,6 +78,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Parts of the rows of one key, for keys that many rows share.
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str, spread: str) -> DataFrame:
+    """rows with the smallest value of their key as column name; null values count as none.
+
+    A key that a third of all rows hold is no task of its own: rows are dealt by (key, salt), a hash of
+    the column spread, and each such part asks for the key's minimum as one row.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(F.min(value).alias(name))
+    least = parts.groupBy(key).agg(F.min(name).alias(name))
+    return salted.join(parts.select(key, "salt").join(least, key), [key, "salt"]).drop("salt")
+
+
 def changes(*columns: np.ndarray) -> np.ndarray:
     """True where a row differs from the one before in any column; the first row is True."""
     out = np.zeros(len(columns[0]), bool)

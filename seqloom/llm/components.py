@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
-Every round is two aggregations with map-side combine and two equi-joins, so a
-hub that holds a third of all links is summed up before it is shuffled and its
-join partition can be split by adaptive execution. No link, node or component
+Every round sends each node's smallest neighbour back to its links. A hub that
+holds a third of all links is summed up before it is shuffled, and its links are
+dealt by (node, salt), so no task holds them all. No link, node or component
 is ever brought to the driver; only a row count and a checksum are.
 """
 
@@ -11,19 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, with_least
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = with_least(both, "u", "v", "m", "v")
+    return least.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    # u is the larger end of its links: itself and all smaller neighbours go to the smallest of these
+    least = with_least(edges, "u", "v", "m", "v")
+    ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+    return least.select(ends).select("e.u", "e.v").where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
