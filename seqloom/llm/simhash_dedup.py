@@ -2,35 +2,42 @@
 
 Only distinct fingerprints are searched; copies of a text are one point.
 
-Partition. On 64 random-looking bits a plain tree hardly prunes at radius 4:
-distances to any vantage point lie within a few bits of 32, so nearly every
-ball overlaps both sides of a split. The forest therefore starts from masked
-Hamming metrics: the bits form BLOCKS = 6 blocks, and there is one metric for
-each pair of blocks, counting differing bits there only. Two fingerprints that
-differ in at most 4 bits agree on at least two blocks, so under at least one of
-the 15 metrics their distance is 0 and, by the triangle bound, so is the
-difference of their distances to every vantage point. The shard of a point is
-hence the ball of radius 0 round its own masked value, no ball overlaps a
-border at this level, and shards hold about N / 2^21 random points.
-
-Oversized shards (more than SHARD_LIMIT points) are split by the rings of
-unmasked distance to one vantage point; a point whose radius-4 ball overlaps
-the next ring is also sent there, so that every pair meets in the ring of its
-outer point. A ring that is still oversized is dealt into pairs of hash blocks.
-
-Search. Within a shard a vantage-point tree over the unmasked metric splits at
-the median distance, prunes by the triangle bound and compares the overlapping
-sides exactly. A pair is taken up only under the first metric that joins it,
-and of all links of a shard only a spanning forest is sent on, so a group of
-near copies gives links in proportion to its size, not to its square.
-
-Null text counts as empty; no words give fingerprint zero. Rows that repeat an
-id are each returned. A null id never is the smallest unless all ids of its
-component are null.
+Partition. The bits form blocks, one more than the radius for up to some ten
+million points: two fingerprints that differ in at most 4 bits then agree on a
+whole block. There is one masked Hamming metric for each block (beyond that for
+each pair of six blocks, or each three of seven), on its first bits only, as
+many as leave about TARGET points in a ball of radius 0. That ball is a shard:
+under at least one of the metrics linked points have distance 0, so by the
+triangle bound their distances to every vantage point are the same and both lie
+in one shard. The number of bits grows with the logarithm of the number of
+points; nothing else changes with the size.
+
+Search. In a shard a vantage-point tree over the unmasked metric splits the
+points at the median distance from a vantage point. Partners across the cut lie
+within the radius of it on both sides, by the triangle bound; all others are
+pruned, and the two borders are compared exactly. (On 64 random-looking bits
+distances to any vantage point lie within a few bits of 32, so a level keeps
+about 0.73 of the pairs. As the only structure the tree would grow almost with
+the square of the points; this is why shards come first.) A pair is taken up
+only under the first metric that joins it, and of all links of a shard only a
+spanning forest is sent on, so a group of near copies gives links in proportion
+to its size, not to its square.
+
+Oversized shards (more than SHARD_LIMIT points: distinct near copies of one
+text) are split by the rings of unmasked distance to one vantage point; a point
+whose radius-4 ball overlaps the next ring is also sent there, so that every
+pair meets in the ring of its outer point. A ring that is still oversized is
+dealt into pairs of hash blocks.
+
+Null text counts as empty; no words give fingerprint zero. Texts of any length
+are fingerprinted whole. Rows that repeat an id, or an id and a text, are each
+returned. A null id never is the smallest unless all ids of its component are
+null. An empty table gives no rows. Other columns of docs may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
@@ -38,14 +45,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, changes, checkpointed, partitions, text_of, whole_groups
+from .common import Forest, changes, checkpointed, partitions, sliced, text_of, whole_groups, whole_row, with_least
 from .components import connected_components
 
 RADIUS = 4
-BLOCKS = 6
-SHARD_LIMIT = 20_000
-LEAF = 768
-SMALL = 24
+#: Points of a shard that the number of masked bits aims at, and those from which a shard is split.
+TARGET, SHARD_LIMIT = 2_048, 20_000
+#: Points of a leaf of the tree, which are compared with each other.
+LEAF = 256
+#: Points of a side of one comparison in numpy.
+TILE = 768
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -73,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, text_hash, fp) for each row of docs; fp holds the 64 bits as a signed long, text_hash is xxhash64."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = [fingerprint(t.as_py().encode(), width) for t in batch.column(1)]
             prints = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), prints], ["doc_id", "text_hash", "fp"])
@@ -82,18 +91,26 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
-def masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
-    """One mask for each choice of blocks - radius blocks, as unsigned 64-bit numbers."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    bits = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(bits, blocks - radius)]
+def masks(points: int, radius: int = RADIUS, target: int = TARGET) -> list[int]:
+    """The masks of the metrics, as unsigned 64-bit numbers, for a number of points."""
+    bits = max(0, math.ceil(math.log2(max(1, points / target))))
+    for blocks in range(radius + 1, radius + 4):
+        edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+        chosen = [[b for x in c for b in range(edges[x], edges[x + 1])] for c in combinations(range(blocks), blocks - radius)]
+        if bits <= min(map(len, chosen)):
+            break
+    return list(dict.fromkeys(sum(1 << b for b in c[:bits]) for c in chosen))
 
 
-class _Shards:
-    """Finds a spanning forest of the links in each (metric, shard) of sorted points."""
+class Shards:
+    """Finds a spanning forest of the links in each (metric, shard) of sorted points.
 
-    def __init__(self, radius: int):
-        self.radius, self.masks = radius, np.array(masks(radius), np.uint64)
+    compared and pruned count the pairs that were compared and those that the triangle bound spared.
+    """
+
+    def __init__(self, radius: int, metrics: list[int]):
+        self.radius, self.masks = radius, np.array(metrics, np.uint64)
+        self.compared = self.pruned = 0
 
     def _own(self, x: np.ndarray, y: np.ndarray, metric: np.ndarray) -> np.ndarray:
         """Pairs that no metric before theirs joins."""
@@ -106,9 +123,10 @@ class _Shards:
         """Compares all of a with all of b, or a with itself, in tiles."""
         same = b is None
         b = a if same else b
-        for i in range(0, len(a), LEAF):
-            for j in range(i if same else 0, len(b), LEAF):
-                ia, jb = a[i : i + LEAF], b[j : j + LEAF]
+        self.compared += len(a) * (len(a) - 1) // 2 if same else len(a) * len(b)
+        for i in range(0, len(a), TILE):
+            for j in range(i if same else 0, len(b), TILE):
+                ia, jb = a[i : i + TILE], b[j : j + TILE]
                 p, q = np.nonzero(np.bitwise_count(x[ia][:, None] ^ x[jb][None, :]) <= self.radius)
                 p, q = ia[p], jb[q]
                 if same and i == j:
@@ -116,8 +134,8 @@ class _Shards:
                 own = self._own(x[p], x[q], np.full(len(p), metric))
                 forest.add(p[own], q[own])
 
-    def _tree(self, x, of, metric, forest) -> None:
-        todo = [of]
+    def _tree(self, x, metric, forest) -> None:
+        todo = [np.arange(len(x))]
         while todo:
             of = todo.pop()
             if len(of) <= LEAF:
@@ -131,6 +149,7 @@ class _Shards:
             if not len(high) or len(edge_low) * len(edge_high) > 0.45 * len(of) ** 2 / 2:
                 self._cross(x, of, None, metric, forest)
                 continue
+            self.pruned += len(low) * len(high) - len(edge_low) * len(edge_high)
             todo += [low, high]
             self._cross(x, edge_low, edge_high, metric, forest)
 
@@ -138,23 +157,10 @@ class _Shards:
         x = table["fp"].to_numpy().view(np.uint64)
         metric = table["metric"].to_numpy()
         starts = np.flatnonzero(changes(metric, *(table[c].to_numpy() for c in ("shard", "part"))))
-        sizes = np.diff(np.append(starts, len(x)))
         u, v = [], []
-        # all small shards at once: each point with the k-th one after it
-        left = np.repeat(np.where(sizes <= SMALL, starts + sizes, 0), sizes)
-        at = np.flatnonzero(left)
-        for k in range(1, SMALL):
-            at = at[at + k < left[at]]
-            if not len(at):
-                break
-            p = at[np.bitwise_count(x[at] ^ x[at + k]) <= self.radius]
-            p = p[(x[p] != x[p + k]) & self._own(x[p], x[p + k], metric[p])]
-            u.append(x[p])
-            v.append(x[p + k])
-        for s in np.flatnonzero(sizes > SMALL):
-            own = x[starts[s] : starts[s] + sizes[s]]
-            forest = Forest(len(own))
-            self._tree(own, np.arange(len(own)), int(metric[starts[s]]), forest)
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(x)).tolist()):
+            own, forest = x[a:b], Forest(b - a)
+            self._tree(own, int(metric[a]), forest)
             if forest.links:
                 p, q = np.array(forest.links).T
                 u.append(own[p])
@@ -163,9 +169,10 @@ class _Shards:
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
 
-def hamming_links(points: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+def hamming_links(points: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, target: int = TARGET) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) at most radius bits apart, enough of them to join every component."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
+    metrics = masks(points.count(), radius, target)
+    signed = [m - (1 << 64) if m >> 63 else m for m in metrics]
     keyed = points.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("metric", "shard"))
     large = keyed.groupBy("metric", "shard").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where(F.col("n") > shard_limit)
     large = checkpointed(large)
@@ -187,7 +194,7 @@ def hamming_links(points: DataFrame, radius: int = RADIUS, shard_limit: int = SH
     dealt = dealt.repartition(partitions(points.sparkSession), *order).sortWithinPartitions(*order, "fp")
 
     def run(batches):
-        shards = _Shards(radius)
+        shards = Shards(radius, metrics)
         for table in whole_groups(batches, order):
             yield shards.links(table)
 
@@ -200,8 +207,7 @@ def near_copies(docs: DataFrame, width: int = 4, radius: int = RADIUS, shard_lim
     points = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = connected_components(hamming_links(points.select("fp"), radius, shard_limit))
     named = points.join(found, points.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("key"))
-    least = named.groupBy("key").agg(F.min("first").alias("component_id"))
-    names = named.join(least, "key").select("fp", "component_id")
+    names = with_least(named, "key", "first", "component_id", "fp").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(names, "fp").select("doc_id", digits, "component_id", "text_hash")
 
@@ -209,6 +215,7 @@ def near_copies(docs: DataFrame, width: int = 4, radius: int = RADIUS, shard_lim
 def drop_near_copies(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
     """The rows of docs whose id is the smallest of their component, all columns untouched."""
     kept = near_copies(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_th")).distinct().hint("shuffle_hash")
-    same = docs["doc_id"].eqNullSafe(F.col("_kept")) & (F.xxhash64(text_of(docs)) == F.col("_th"))
-    return docs.join(kept, same, "left_semi")
+    kept = kept.select(F.col("doc_id").alias("id"), "text_hash").distinct().hint("shuffle_hash").alias("k")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_of(docs)).alias("text_hash"), whole_row(docs).alias("row")).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.text_hash") == F.col("k.text_hash"))
+    return rows.join(kept, same, "left_semi").select("row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 
 from seqloom.llm.components import connected_components
 from seqloom.llm.embedding_dedup import near_vectors
-from seqloom.llm.simhash_dedup import drop_near_copies, fingerprint, hamming_links, near_copies
+from seqloom.llm.simhash_dedup import Shards, drop_near_copies, fingerprint, hamming_links, masks, near_copies
 
 
 def components(n, pairs):
@@ -72,12 +72,38 @@ def test_hamming_links_join_the_same_components(spark):
     signed = x.view(np.int64).tolist()
     place = {s: k for k, s in enumerate(signed)}
     frame = spark.createDataFrame([(s,) for s in signed], "fp long")
-    for limit in (20_000, 50):
-        links = [(place[r.u], place[r.v]) for r in hamming_links(frame, shard_limit=limit).collect()]
+    for limit, target in ((20_000, 2_048), (50, 2_048), (20_000, 20), (30, 1)):
+        links = [(place[r.u], place[r.v]) for r in hamming_links(frame, shard_limit=limit, target=target).collect()]
         assert all(bin(points[a] ^ points[b]).count("1") <= 4 for a, b in links)
         assert components(len(points), links) == want
 
 
+def test_masks_join_every_pair():
+    rng = random.Random(5)
+    for points in (1, 2_048, 9_000, 10**6, 10**8, 10**10, 10**12):
+        metrics = masks(points)
+        assert len(metrics) == len(set(metrics))
+        for _ in range(300):
+            different = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(different & m == 0 for m in metrics)
+
+
+def test_the_tree_prunes_and_loses_no_link():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    points = hamming_rows(rng, 1000)
+    x = np.array(points, np.uint64)
+    shards = Shards(4, masks(len(points)))
+    zero = np.zeros(len(x), np.int64)
+    found = shards.links(pa.table({"fp": x.view(np.int64), "metric": zero.astype(np.int32), "shard": zero, "part": zero}))
+    place = {s: k for k, s in enumerate(x.view(np.int64).tolist())}
+    links = [(place[a], place[b]) for a, b in zip(found.column(0).to_pylist(), found.column(1).to_pylist())]
+    pairs = np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4, 1)).tolist()
+    assert components(len(x), links) == components(len(x), pairs)
+    assert shards.pruned > 0.2 * len(x) ** 2 / 2 and shards.pruned + shards.compared == len(x) * (len(x) - 1) // 2
+
+
 def test_near_copies(spark):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(400)]
