@@ -8,16 +8,20 @@ of these coordinates, and the sorted sequence is cut into blocks that know the
 box of their coordinates.
 
 Blocks are joined in two steps: runs of blocks (strips) whose boxes are farther
-apart than eps are skipped, then single blocks of the strips left. In a task a
-pair of blocks is joined recursively: the two intervals are halved until their
-boxes are provably distant or small enough for one matrix product in double
-precision. A pair of blocks sends on the number of links of each vector and a
-spanning forest of the links, never the links.
+apart than eps are skipped, then single blocks of the strips left. Strips are
+dealt in a triangular grid: a pair of strips is one group, to which each block
+that has a near block on the other side is sent once, so in a dense cell a
+vector is moved once for each near strip of up to STRIP blocks, not for each
+near block. In a task the two sorted intervals are joined recursively: halved
+until their boxes are provably distant or small enough for one matrix product in
+double precision. A pair of strips sends on the number of links of each vector
+and a spanning forest of the links, never the links.
 
 Rows with equal label and vector are one point with a weight. Vectors that are
 null, zero, or hold null or non-finite components, and rows with a null label,
 link with nothing: n_links 0, component_id = vec_id. Rows that repeat an id are
-each returned, equal ones as links of each other.
+each returned, equal ones as links of each other. Vectors of different lengths
+do not link. An empty table gives no rows. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ from .components import connected_components
 
 LEADING = 6
 BLOCK = 2048
-STRIP = 32
+STRIP = 16
+#: Tasks over which the strip pairs of one label are dealt.
+LABEL_SALTS = 64
 TILE = 256
 SLACK = 1e-9
 
@@ -112,7 +118,7 @@ def _join_pairs(threshold: float, eps2: float):
     """Rows sorted by pair and side -> (u, null, w): u links with weight w here; (u, v, null): a link of the forest."""
 
     def pair(x, y, w, split: int):
-        """split: rows of the first block; all rows are one block if that is none."""
+        """split: rows of the first side; all rows are one side if that is none."""
         links, forest = np.zeros(len(x), np.int64), Forest(len(x))
         whole = np.arange(len(x))
         todo = [(whole, whole)] if split == len(x) else [(whole[:split], whole[split:])]
@@ -189,19 +195,22 @@ def _linked(points: DataFrame, size: int, threshold: float) -> DataFrame:
         return sum((g * g for g in gap), F.lit(0.0)) <= eps * eps
 
     same = lambda a, b: F.col(f"{a}.label") == F.col(f"{b}.label")
-    s = strips.alias("s").join(strips.alias("t"), same("s", "t") & (F.col("s.strip") <= F.col("t.strip")) & close("s", "t"))
+    # a label that a third of all vectors share is dealt over LABEL_SALTS tasks: one side by its strip, the other to each
+    one_salt = strips.withColumn("salt", F.pmod(F.col("strip"), F.lit(LABEL_SALTS)).cast("int"))
+    all_salts = strips.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
+    s = one_salt.alias("s").join(all_salts.alias("t"), same("s", "t") & (F.col("s.salt") == F.col("t.salt")) & (F.col("s.strip") <= F.col("t.strip")) & close("s", "t"))
     s = s.select(F.col("s.label").alias("label"), F.col("s.strip").alias("strip_a"), F.col("t.strip").alias("strip_b"))
     a = s.join(one.alias("p"), (F.col("strip_a") == F.col("p.strip")) & (s["label"] == F.col("p.label"))).select("strip_b", "p.*")
     pairs = (
         a.alias("p")
         .join(one.alias("q"), (F.col("p.strip_b") == F.col("q.strip")) & same("p", "q") & (F.col("p.block") <= F.col("q.block")) & close("p", "q"))
-        .select(F.col("p.block").alias("a"), F.col("q.block").alias("b"))
+        .select(F.col("p.strip").alias("a"), F.col("q.strip").alias("b"), F.array("p.block", "q.block").alias("both"))
     )
-    sides = pairs.select(
-        "a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")
-    ).withColumn("block", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
-    rows = blocks.drop("label").join(sides, "block").drop("block")
-    rows = rows.repartition(partitions(spark), "a", "b").sortWithinPartitions("a", "b", "side", "node")
+    # each block once for a pair of strips, and only if it has a near one there; within one strip both are side 0
+    sides = pairs.select("a", "b", F.posexplode("both").alias("side", "block"))
+    sides = sides.withColumn("side", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("side"))).distinct()
+    rows = blocks.drop("label").join(sides, "block")
+    rows = rows.repartition(partitions(spark), "a", "b").sortWithinPartitions("a", "b", "side", "block", "node").drop("block")
     return rows.mapInArrow(_join_pairs(threshold, eps * eps), "u bigint, v bigint, w bigint")
 
 
