@@ -6,13 +6,19 @@ a text are the concatenation of the ids of its pre-tokens; each worker keeps a
 bounded table from pre-token to the little-endian bytes of its ids and asks the
 library only for the ones it has not seen.
 
-Packing works on lengths alone: pieces are dealt by a hash into shards of a
-bounded number of documents, each shard is packed by itself, and the text is
-never shuffled. Within a shard pieces go in falling length; each is put where
+Packing works on lengths alone, and the text is never shuffled. Pieces of full
+capacity are a sequence each and are numbered where they are. Of the others each
+document has one at the most; they are dealt by a hash into shards of a bounded
+number of documents, and each shard is packed by itself. Within a shard pieces go in falling length; each is put where
 the sum over gaps g of N(g)^2 becomes smallest, N(g) being the number of open
 bins with g free places (ties: the smallest gap; an open bin before a new one).
 A shard can waste a few bins, so shards are large and their number grows with
 the input: the share of waste does not.
+
+Null text counts as empty and gives one piece of the end id alone; a null id is
+carried through; repeated rows are packed each on its own; texts of any length
+are tokenised whole. An empty table gives no rows. Other columns of docs may
+have any names.
 """
 
 from __future__ import annotations
@@ -29,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import checkpointed, sliced, text_of
 
 CAPACITY = 4096
-#: Documents of one packing shard, about; a row of a shard is 40 bytes.
+#: Documents, and so pieces at the most, of one packing shard, about; a row of a shard is 40 bytes.
 SHARD_DOCS = 60_000
 #: Pre-tokens that a worker remembers.
 TABLE_LIMIT = 400_000
@@ -109,7 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 
     def run(batches):
         table = PretokenTable(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, out = batch.column(0).to_pylist(), []
             for doc, text in zip(ids, batch.column(1)):
                 out += [(doc, *x) for x in cut(table.encode(text.as_py()) + end, capacity)]
@@ -149,13 +155,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """pieces with sequence_id and offset: a gapless layout of sequences of at most capacity tokens.
 
-    Pieces of full capacity fill a sequence each. sequence_id is the shard times
-    2^32 plus the bin's number in it.
+    sequence_id is the shard times 2^32 plus the bin's number in it; pieces of
+    full capacity count down from -1.
     """
-    shards = max(1, -(-n_docs // SHARD_DOCS))
+    pieces = checkpointed(pieces)  # 40 bytes a row: the texts are tokenised once for both kinds
+    whole, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    shards = max(1, -(-rest.count() // shard_docs))
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
@@ -163,14 +171,12 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY) -> DataFrame:
         group["sequence_id"] = (key[0] << 32) + bins
         return group.drop(columns="shard")
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, f"{PIECES}, offset bigint, sequence_id bigint")
-
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(shards)))
+    packed = dealt.groupBy("shard").applyInPandas(run, f"{PIECES}, offset bigint, sequence_id bigint")
+    alone = whole.select("*", F.lit(0).cast("long").alias("offset"), (-1 - F.monotonically_increasing_id()).alias("sequence_id"))
+    return packed.unionByName(alone)
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of every document: doc_id, piece, start, length, ids_crc32, offset, sequence_id.
 
-    Null text counts as empty and gives one piece of the end id alone; a null id
-    is carried through; repeated rows are packed each on its own.
-    """
-    return pack(token_pieces(docs, tokenizer, end_id, capacity), docs.count(), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """One row per piece of every document: doc_id, piece, start, length, ids_crc32, offset, sequence_id."""
+    return pack(token_pieces(docs, tokenizer, end_id, capacity), capacity, shard_docs)

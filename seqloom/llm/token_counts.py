@@ -11,7 +11,13 @@ counting as its UTF-8 bytes.
 All occurrences of a sequence's lowest pair are merged in one step only if no
 pair that the merge creates can have the same or a lower rank; where one can
 (runs of spaces, whose pieces share one score), only the leftmost is merged, as
-the library does. Very long pre-tokens go through the same rule with a heap.
+the library does. Pre-tokens of LONG symbols and more, rare as they are, go
+through the same rule with a heap, as a step of the arrays for each of their
+merges would be quadratic; the counts are the same.
+
+Null text counts as empty (0 tokens), a null id is carried through, and rows that
+repeat an id or a text are each counted. Texts of any length are counted whole.
+An empty table gives no rows. Other columns of docs may have any names.
 """
 
 from __future__ import annotations

@@ -96,3 +96,58 @@ def test_packing_round_trip(spark):
         assert end <= 4096
     assert len(sequences) <= -(-sum(r.length for r in out) // 4096) + 1
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), WORD).count() == 0
+
+
+def plain_sum_of_squares(lengths, capacity):
+    """Tries each gap for each piece and counts the squares anew."""
+    bins, out = [], []
+    for s in lengths:
+        counts = {}
+        for b in bins:
+            if b < capacity:
+                counts[capacity - b] = counts.get(capacity - b, 0) + 1
+        best = None
+        for gap in sorted({g for g in counts if g >= s} | {capacity}):
+            after = dict(counts)
+            if gap < capacity:
+                after[gap] -= 1
+            if gap > s:
+                after[gap - s] = after.get(gap - s, 0) + 1
+            squares = sum(n * n for n in after.values())
+            if best is None or squares < best[0]:
+                best = squares, gap
+        gap = best[1]
+        if gap == capacity:
+            bins.append(s)
+        else:
+            b = max(k for k, x in enumerate(bins) if capacity - x == gap)
+            bins[b] += s
+        out.append(capacity - gap)
+    return len(bins), out
+
+
+def test_sum_of_squares_against_a_plain_version():
+    rng = np.random.default_rng(3)
+    for capacity in (10, 37, 100):
+        lengths = np.sort(rng.integers(1, capacity + 1, 120))[::-1]
+        bins, offsets = sum_of_squares(lengths, capacity)
+        n, plain = plain_sum_of_squares(lengths.tolist(), capacity)
+        assert offsets.tolist() == plain and bins.max() + 1 == n
+
+
+def test_packing_in_several_shards(spark):
+    rows = [(k, "wx " * (k * 37 % 3000)) for k in range(300)] + [(400 + k, "wx " * 4095 * 2) for k in range(3)] + [(500, "same")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (pack_documents(docs, WORD, shard_docs=n).collect() for n in (10_000, 40))
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, one)) == sorted(map(key, many))
+    assert len({r.sequence_id >> 32 for r in many if r.sequence_id >= 0}) > 4
+    for out in (one, many):
+        sequences = {}
+        for r in out:
+            sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in sequences.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
+        assert all(len(parts) == 1 for s, parts in sequences.items() if s < 0)
+        assert len(sequences) <= -(-sum(r.length for r in out) // 4096) + (1 if out is one else 9)
