@@ -5,7 +5,8 @@ document and the position. The rows are range-partitioned and sorted by (hash,
 document, position), so a line that a third of all documents hold is spread
 over as many partitions as its rows fill. One streaming pass over a partition
 sees every hash as one run, its first occurrences first, and counts its
-documents. Only the first and the last run of a partition can go on elsewhere:
+documents; rows leave as soon as the run has enough of them, so at most the
+lines of the first few documents of one run are held. Only the first and the last run of a partition can go on elsewhere:
 their partial counts (at most two rows per partition) are summed and broadcast,
 the one table that is broadcast, bounded by the number of partitions. What is
 left are the positions to drop, from which each document gets a compressed
@@ -13,7 +14,8 @@ bitmap of the lines it keeps; text is read again only to apply the bitmaps.
 
 A document is a distinct (id, text): rows that repeat both count once and get
 the same bitmap. A null id is an id like any other, null text one empty line.
-Empty keys are never dropped.
+Empty keys are never dropped. Texts of any length are cut whole. An empty table
+gives no rows. Other columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import changes, checkpointed, partitions, text_of
+from .common import changes, checkpointed, partitions, sliced, text_of, whole_row
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 LINES = "doc_id bigint, text_hash bigint, n_lines int, pos int, h1 bigint, h2 bigint"
@@ -44,7 +46,7 @@ def _explode(min_points: int):
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in sliced(batches, 1):
             docs, counts, sizes, positions, hashes = [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
                 lines = text.as_py().encode().split(b"\n")
@@ -74,60 +76,78 @@ def _explode(min_points: int):
 
 
 def _stream_runs(min_docs: int):
-    """Sorted rows of a partition -> rows to drop (state 1), and the rows (0) and partial counts (2) of its end runs."""
+    """Sorted rows of a partition -> rows to drop (state 1), and the other rows (0) and partial counts (2) of its end runs.
+
+    A run with min_docs documents in this partition alone is dropped whatever other partitions hold, so from
+    then on its rows are sent on as they come; until then they wait, as they are those of fewer documents.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        held, first_run = None, True  # rows of the run that is not over yet
+        names = [x.split(" ")[0] for x in RUNS.split(", ")]
+        waiting: list[pa.Table] = []  # rows of the run at hand that are not sent on yet
+        n_docs, first_row, last_row, first_run = 0, None, None, True
 
-        def rows(table: pa.Table, state: int):
-            n = len(table)
-            more = [pa.array(np.full(n, v, np.int32)) for v in (pid, state)] + [pa.nulls(n, pa.int64())] * 3
-            return pa.Table.from_arrays([*table.columns, *more], names=names)
+        def rows(tables: list[pa.Table], state: int):
+            for table in tables:
+                n = len(table)
+                more = [pa.array(np.full(n, v, np.int32)) for v in (pid, state)] + [pa.nulls(n, pa.int64())] * 3
+                yield from pa.Table.from_arrays([*table.columns, *more], names=names).to_batches()
 
-        def partial(table: pa.Table, n: int):
-            one, last = table.slice(0, 1), table.slice(len(table) - 1, 1)
-            more = [pa.array([pid], pa.int32()), pa.array([2], pa.int32()), pa.array([n], pa.int64()), one["doc_id"], last["doc_id"]]
-            return pa.Table.from_arrays([*one.columns, *more], names=names)
+        def close(at_end: bool):
+            """What is still to be said of the run at hand when it is over."""
+            if first_run or at_end:
+                yield from rows(waiting, 0)
+                more = [pa.array([pid], pa.int32()), pa.array([2], pa.int32()), pa.array([n_docs], pa.int64()), first_row["doc_id"], last_row["doc_id"]]
+                yield from pa.Table.from_arrays([*first_row.columns, *more], names=names).to_batches()
 
-        def count_docs(table: pa.Table) -> int:
-            doc = table["doc_id"]
-            value, null = pc.fill_null(doc, 0).to_numpy(), doc.is_null().to_numpy()
-            return int(changes(value, null).sum())
+        def same(a, b, columns):
+            return all(a[c][0].as_py() == b[c][0].as_py() for c in columns)
 
-        names = [x.split(" ")[0] for x in RUNS.split(", ")]
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if not len(table):
                 continue
-            if held is not None:
-                table = pa.concat_tables([held, table]).combine_chunks()
-            doc = table["doc_id"]
-            value, null = pc.fill_null(doc, 0).to_numpy(), doc.is_null().to_numpy()
-            h1, h2 = table["h1"].to_numpy(), table["h2"].to_numpy()
-            new_hash = changes(h1, h2)
-            starts = np.flatnonzero(new_hash)
-            held = table.slice(int(starts[-1]))
-            if len(starts) == 1:
-                continue
-            new_doc = new_hash | changes(value, null)
-            n_docs = np.add.reduceat(new_doc.astype(np.int64), starts)
-            begin = 0
-            if first_run:
-                begin, first_run = 1, False
-                head = table.slice(0, int(starts[1]))
-                yield from rows(head, 0).to_batches()
-                yield from partial(head, int(n_docs[0])).to_batches()
-            drop = np.repeat(n_docs >= min_docs, np.diff(np.append(starts, len(table))))
-            drop[: starts[begin]] = False
-            drop[starts[-1] :] = False
-            if drop.any():
-                yield from rows(table.filter(pa.array(drop)), 1).to_batches()
-        if held is not None:
-            yield from rows(held, 0).to_batches()
-            yield from partial(held, count_docs(held)).to_batches()
+            value, null = pc.fill_null(table["doc_id"], 0).to_numpy(), table["doc_id"].is_null().to_numpy()
+            starts = np.flatnonzero(changes(table["h1"].to_numpy(), table["h2"].to_numpy()))
+            sizes = np.diff(np.append(starts, len(table)))
+            new_doc = changes(value, null)
+            new_doc[starts] = True
+            docs = np.add.reduceat(new_doc.astype(np.int64), starts)
+            head = table.slice(0, 1)
+            goes_on = last_row is not None and same(head, last_row, ("h1", "h2"))
+            if last_row is not None and not goes_on:
+                yield from close(False)
+                first_run = False
+            # the first run of the batch, which may go on from before
+            part = table.slice(0, int(sizes[0]))
+            if goes_on:
+                n_docs += int(docs[0]) - same(head, last_row, ("doc_id",))
+                waiting.append(part)
+            else:
+                n_docs, waiting, first_row = int(docs[0]), [part], head
+            if n_docs >= min_docs:
+                yield from rows(waiting, 1)
+                waiting = []
+            if len(starts) > 1:
+                last_row = part.slice(len(part) - 1)
+                yield from close(False)
+                first_run = False
+                # runs that begin and end in this batch
+                drop = np.repeat(docs >= min_docs, sizes)
+                drop[: starts[1]] = drop[starts[-1] :] = False
+                if drop.any():
+                    yield from rows([table.filter(pa.array(drop))], 1)
+                part = table.slice(int(starts[-1]))
+                n_docs, waiting, first_row = int(docs[-1]), [part], part.slice(0, 1)
+                if n_docs >= min_docs:
+                    yield from rows(waiting, 1)
+                    waiting = []
+            last_row = table.slice(len(table) - 1)
+        if last_row is not None:
+            yield from close(True)
 
     return run
 
@@ -207,7 +227,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> Da
 
 
 def _apply(batches):
-    for batch in batches:
+    for batch in sliced(batches, 1):
         sizes, dropped, digests = [], [], []
         for text, keep in zip(batch.column(1), batch.column(2)):
             lines, keep = text.as_py().encode().split(b"\n"), keep.as_py()
@@ -224,10 +244,12 @@ def _apply(batches):
 
 
 def _joined(docs: DataFrame, maps: DataFrame) -> DataFrame:
-    """docs' columns, `_text` and `_keep`; the bitmaps are the hashed side, the texts stream past and are not sorted."""
-    d = docs.withColumn("_text", text_of(docs)).withColumn("_hash", F.xxhash64("_text")).alias("d")
-    m = maps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("keep").alias("_keep")).hint("shuffle_hash")
-    return d.join(m, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left")
+    """row (all columns of docs), text, keep; the bitmaps are the hashed side, the texts stream past and are not sorted."""
+    d = docs.select(F.col("doc_id").alias("id"), text_of(docs).alias("text"), whole_row(docs).alias("row"))
+    d = d.withColumn("text_hash", F.xxhash64("text")).alias("d")
+    m = maps.select(F.col("doc_id").alias("id"), "text_hash", "keep").hint("shuffle_hash").alias("m")
+    joined = d.join(m, F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.text_hash") == F.col("m.text_hash")), "left")
+    return joined.select("d.id", "d.text", "d.row", "m.keep")
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> DataFrame:
@@ -236,23 +258,23 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1)
     columns = docs.columns
 
     def cut(batches):
-        for batch in batches:
+        for batch in sliced(batches, 0):
             out = []
-            for text, keep in zip(batch.column("_text"), batch.column("_keep")):
+            for text, keep in zip(batch.column(0), batch.column(1)):
                 text, keep = text.as_py(), keep.as_py()
                 if keep is not None:
                     lines = text.split("\n")
                     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines)).tolist()
                     text = "\n".join(x for x, b in zip(lines, bits) if b)
                 out.append(text)
-            kept = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in columns]
-            yield pa.RecordBatch.from_arrays(kept, columns)
+            own = dict(zip(columns, batch.column(2).flatten()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else own[n] for n in columns], columns)
 
     joined = _joined(docs, keep_bitmaps(docs, min_docs, min_points))
-    return joined.select(*[F.col(f"d.{c}") for c in docs.columns], "_text", "_keep").mapInArrow(cut, docs.schema)
+    return joined.select("text", "keep", "row").mapInArrow(cut, docs.schema)
 
 
 def line_report(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 for each row of docs."""
-    joined = _joined(docs, keep_bitmaps(docs, min_docs, min_points)).select("d.doc_id", "_text", "_keep")
+    joined = _joined(docs, keep_bitmaps(docs, min_docs, min_points)).select("id", "text", "keep")
     return joined.mapInArrow(_apply, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")

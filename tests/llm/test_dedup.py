@@ -79,3 +79,20 @@ def test_bitmaps_are_compressed_and_per_document(spark):
     # of 5 lines the first and last are common to 31 documents, the empty and the others stay (30 share ÉTÉ lines in halves)
     assert bits.tolist() == [0, 1, 1, 0, 0] and maps[1].n_dropped == 3
     assert 303 not in maps and 100 not in maps
+
+
+def test_a_line_of_all_rows_in_small_batches(spark):
+    """Runs that fill whole batches and partitions, long ones of one document, and documents at partition borders."""
+    rows = [(k, f"common to all\n{'pair ' if k % 7 else ''}line {k // 3}") for k in range(400)]
+    rows += [(1000 + k, "again\n" * 70 + "again") for k in range(9)] + [(2000, "alone\n" * 95), (None, "common to all")]
+    want = [(d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute(rows)]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, 10)
+        for n in (1, 3, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted(map(tuple, line_report(frame(spark, rows)).collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set(batch, before)
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
