@@ -6,12 +6,15 @@ mixed characters and high entropy. Each candidate is hashed; the hashes are
 counted over the whole corpus by distinct repositories and owners, in two
 aggregations with map-side combine, so a string that a third of all documents
 hold is a few rows when it is shuffled. A candidate known to at least
-WIDE_OWNERS owners is an example that was copied about; one known to fewer that
-looks random is owner-specific and live-looking and adds a span of kind `live`
-(on its token, unless a base span covers just that).
+WIDE_OWNERS owners, or found in at least WIDE_REPOSITORIES repositories, is an
+example that was copied about; one known to fewer that looks random is
+owner-specific and live-looking and adds a span of kind `live` (on its token,
+unless a base span covers just that).
 
 Null text counts as empty, a null repository or owner as a value of its own.
-Rows that repeat an id are each scanned and returned.
+Rows that repeat an id, or an id and a text, are each scanned and returned.
+Texts of any length are scanned whole. An empty table gives no rows. Other
+columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_of
+from .common import checkpointed, sliced, text_of
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,7 +36,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # shorter maximal runs would fail anyway
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_BITS = 3.5
-WIDE_OWNERS = 3
+#: Owners, and repositories of however few owners, from which a string counts as copied about.
+WIDE_OWNERS, WIDE_REPOSITORIES = 3, 4
 
 
 def base_spans(text: str) -> list[tuple[int, str, int, str]]:
@@ -60,7 +64,7 @@ def joined(spans) -> str:
 
 def _scan(batches):
     one = pa.struct([("hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("random", pa.bool_()), ("base", pa.bool_())])
-    for batch in batches:
+    for batch in sliced(batches, 1):
         rows = []
         for text in batch.column(1):
             text = text.as_py()
@@ -112,19 +116,21 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_repository.join(by_owner, "hash")
 
 
-def secret_report(docs: DataFrame, repository: Column, owner: Column, wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for each row of docs.
+def secret_report(docs: DataFrame, repository: Column, owner: Column, wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners, most_repositories for each row of docs.
 
-    n_live and n_example count the row's candidates that are live-looking and owner-specific, and widely copied.
+    n_live and n_example count the row's candidates that are live-looking and owner-specific, and widely
+    copied; the last two are the largest counts among its candidates (0: it has none).
     """
     scanned = scan(docs, repository, owner)
     each = scanned.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     judged = each.join(ownership(scanned), "hash")
-    wide = F.col("n_owners") >= wide_owners
+    wide = (F.col("n_owners") >= wide_owners) | (F.col("n_repositories") >= wide_repositories)
     live = ~wide & F.col("random")
     added = F.when(live & ~F.col("base"), F.struct("start", "end"))
     per_row = judged.groupBy("row").agg(
-        F.count_if(live).alias("n_live"), F.count_if(wide).alias("n_example"), F.array_distinct(F.collect_list(added)).alias("added")
+        F.count_if(live).alias("n_live"), F.count_if(wide).alias("n_example"), F.array_distinct(F.collect_list(added)).alias("added"),
+        F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"),
     )
     # base spans are listed in order already; added ones go behind all base spans of the same start
     base = F.transform(
@@ -138,4 +144,4 @@ def secret_report(docs: DataFrame, repository: Column, owner: Column, wide_owner
     spans = F.array_join(F.array_sort(F.concat(base, F.coalesce(more, F.array().cast("array<struct<at: bigint, kind: int, text: string>>"))))["text"], ",")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
-    return scanned.drop("candidates").join(per_row, "row", "left").select(*columns, spans.alias("spans"), zero("n_live"), zero("n_example"))
+    return scanned.drop("candidates").join(per_row, "row", "left").select(*columns, spans.alias("spans"), *map(zero, ("n_live", "n_example", "most_owners", "most_repositories")))
