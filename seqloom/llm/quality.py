@@ -8,15 +8,19 @@ good and on bad documents and the share of good ones, and gives every pattern a
 posterior.
 
 Scorer. A logistic model on hashed byte trigrams (shares of 2^BITS buckets, as
-square roots) is fitted to posteriors, in one task, on about FIT_ROWS documents
-taken by a hash of the text, half of them from either side as far as there are;
-only the weights come back to the driver. All documents are then scored in one
-pass; those with a probability below THRESHOLD are rejected.
+square roots) is fitted to posteriors, in one task, on at most FIT_ROWS distinct
+texts: of either side the FIT_ROWS / 2 with the smallest hash, or all there are.
+Copies of a text count once there, so that no text fills the sample, however
+many rows hold it; patterns are counted over all rows. The fit sees its rows in
+the order of their hashes, so two runs agree. All documents are then scored in
+one pass; those with a probability below THRESHOLD are rejected.
 
 Null text counts as empty. Short texts hold too little to judge: most labellers
 abstain on them, and their features are damped, which leaves them near the
-model's bias. Rows that repeat an id are each scored. An empty
-table, and one on which all posteriors agree, gives a model that rejects nothing.
+model's bias. Texts of any length are judged whole. Rows that repeat an id, or
+an id and a text, are each scored, alike if the text is. An empty table, and one
+on which all posteriors agree, gives a model that rejects nothing. Other columns
+of docs may have any names.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import checkpointed, sliced, text_of, whole_row
 
 BITS = 12
 FIT_ROWS = 8_000
@@ -152,87 +157,94 @@ def fit(rows: np.ndarray, good: np.ndarray, rounds: int = 300, rate: float = 4.0
     return w.astype(float)
 
 
+def _draw(data: bytes) -> int:
+    """The seeded hash of a text by which texts are drawn, as a signed long."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(data, 77) - (1 << 63)
+
+
 def _patterns(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pattern(t.as_py()) for t in batch.column(0)], pa.int32())], ["pattern"])
+        for batch in sliced(batches, 0):
+            texts = batch.column(0).to_pylist()
+            draws = pa.array([_draw(t.encode()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([draws, pa.array(map(pattern, texts), pa.int32())], ["draw", "pattern"])
 
-    return docs.select(text_of(docs).alias("text")).mapInArrow(run, "pattern int")
+    return docs.select(text_of(docs).alias("text")).mapInArrow(run, "draw bigint, pattern int")
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[int, float], np.ndarray]:
     """Posterior of each pattern, and the scorer's weights."""
-    counts = {r.pattern: r["count"] for r in _patterns(docs).groupBy("pattern").count().collect()}  # 19,683 rows at most
+    seen = checkpointed(_patterns(docs))  # 12 bytes a document
+    counts = {r.pattern: r["count"] for r in seen.groupBy("pattern").count().collect()}  # 19,683 rows at most
     good = posteriors(counts)
-    sides = [sum(n for k, n in counts.items() if (good[k] > 0.5) == side) for side in (False, True)]
-    # the share of each side that is wanted for the fit
-    shares = [min(1.0, fit_rows / 2 / n) if n else 0.0 for n in sides]
+    chosen = {}
+    for side in (False, True):
+        own = [k for k, p in good.items() if (p > 0.5) == side]
+        if own:
+            listed = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in own], "pattern int"))
+            texts = seen.join(listed, "pattern").groupBy("draw").agg(F.min("pattern").alias("pattern"))
+            chosen |= {r.draw: good[r.pattern] for r in texts.orderBy("draw").limit(fit_rows // 2).collect()}
 
     def sample(batches):
-        import xxhash
-
-        for batch in batches:
-            labels, texts = [], []
+        sent = set()
+        for batch in sliced(batches, 0):
+            draws, used, values = [], [], []
             for t in batch.column(0):
                 data = t.as_py().encode()
-                draw = xxhash.xxh3_64_intdigest(data, 77) / 2**64
-                if draw < max(shares):
-                    p = good.get(pattern(t.as_py()), 1.0)
-                    if draw < shares[p > 0.5]:
-                        labels.append(p)
-                        texts.append(data)
-            # sparse: places and values of the buckets in use
-            found = [buckets(t) for t in texts]
-            used = [np.flatnonzero(b).astype(np.int32) for b in found]
-            values = [b[u].astype(np.float32) for b, u in zip(found, used)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(labels), np.int32)), pa.array(labels, pa.float64()), pa.array(used, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
-                ["one", "good", "used", "vals"],
-            )
+                draw = _draw(data)
+                if draw in chosen and draw not in sent:
+                    sent.add(draw)
+                    found = buckets(data)
+                    # sparse: places and values of the buckets in use
+                    draws.append(draw)
+                    used.append(np.flatnonzero(found).astype(np.int32))
+                    values.append(found[used[-1]].astype(np.float32))
+            columns = [pa.array(draws, pa.int64()), pa.array(used, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["draw", "used", "vals"])
 
     def fit_group(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("draw")
         rows = np.zeros((len(group), SIZE), np.float32)
         for row, used, values in zip(rows, group["used"], group["vals"]):
             row[used] = values
-        return pd.DataFrame({"w": [fit(rows, group["good"].to_numpy())]})
+        return pd.DataFrame({"w": [fit(rows, group["draw"].map(chosen).to_numpy(float))]})
 
-    rows = docs.select(text_of(docs).alias("text")).mapInArrow(sample, "one int, good double, used array<int>, vals array<float>")
-    found = rows.groupBy("one").applyInPandas(fit_group, "w array<double>").collect()  # one row
+    rows = docs.select(text_of(docs).alias("text")).mapInArrow(sample, "draw bigint, used array<int>, vals array<float>")
+    # a task sends a text once, the aggregate keeps one of all tasks: fit_rows rows reach the fit at the most
+    rows = rows.groupBy("draw").agg(F.first("used").alias("used"), F.first("vals").alias("vals"))
+    found = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit_group, "w array<double>").collect()  # one row
     return good, np.array(found[0].w) if found else np.append(np.zeros(SIZE), 1.0)
 
 
-def _scored(docs: DataFrame, text, columns: list[str], keep_below: bool, fit_rows: int, threshold: float) -> DataFrame:
-    good, weights = train(docs, fit_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((good, weights))  # 19,683 numbers and 2^BITS + 2
-
-    def run(batches):
-        good, w = shared.value
-        for batch in batches:
-            scores, weak = [], []
-            for t in batch.column("_text"):
-                t = t.as_py()
-                scores.append(1 / (1 + np.exp(-np.clip(buckets(t.encode()) @ w[:-1] + w[-1], -30, 30))))
-                if keep_below:
-                    weak.append(good.get(pattern(t), 1.0))
-            scores = np.array(scores, float)
-            own = [batch.column(c) for c in columns]
-            if keep_below:
-                added = [pa.array(weak, pa.float64()), pa.array(scores), pa.array(scores >= threshold)]
-                yield pa.RecordBatch.from_arrays([*own, *added], [*columns, "weak_label", "score", "accepted"])
-            else:
-                yield pa.RecordBatch.from_arrays(own, columns).filter(pa.array(scores >= threshold))
-
-    rows = docs.select(*columns, text.alias("_text"))
-    if keep_below:
-        return rows.mapInArrow(run, "doc_id bigint, weak_label double, score double, accepted boolean")
-    return rows.mapInArrow(run, docs.schema)
+def _scores(texts: list[str], w: np.ndarray) -> np.ndarray:
+    return np.array([1 / (1 + np.exp(-np.clip(buckets(t.encode()) @ w[:-1] + w[-1], -30, 30))) for t in texts], float)
 
 
 def quality_report(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, weak_label (posterior), score (probability of good), accepted for each row of docs."""
-    return _scored(docs, text_of(docs), ["doc_id"], True, fit_rows, threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, fit_rows))  # 19,683 numbers and 2^BITS + 2
+
+    def run(batches):
+        good, w = shared.value
+        for batch in sliced(batches, 1):
+            texts = batch.column(1).to_pylist()
+            weak = pa.array([good.get(pattern(t), 1.0) for t in texts], pa.float64())
+            scores = _scores(texts, w)
+            yield pa.RecordBatch.from_arrays([batch.column(0), weak, pa.array(scores), pa.array(scores >= threshold)], ["doc_id", "weak_label", "score", "accepted"])
+
+    rows = docs.select("doc_id", text_of(docs).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, weak_label double, score double, accepted boolean")
 
 
 def keep_good(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the scorer accepts, all columns untouched."""
-    return _scored(docs, text_of(docs), docs.columns, False, fit_rows, threshold)
+    shared, columns = docs.sparkSession.sparkContext.broadcast(train(docs, fit_rows)[1]), docs.columns
+
+    def run(batches):
+        for batch in sliced(batches, 0):
+            accepted = _scores(batch.column(0).to_pylist(), shared.value) >= threshold
+            yield pa.RecordBatch.from_arrays(batch.column(1).flatten(), columns).filter(pa.array(accepted))
+
+    return docs.select(text_of(docs).alias("text"), whole_row(docs).alias("row")).mapInArrow(run, docs.schema)

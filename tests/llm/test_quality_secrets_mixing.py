@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seqloom.llm.mixing import mix, mix_report
-from seqloom.llm.quality import LABELLERS, keep_good, posteriors, quality_report, votes
+from seqloom.llm.quality import LABELLERS, SIZE, buckets, fit, keep_good, pattern, posteriors, quality_report, train, votes
 from seqloom.llm.secret_scan import base_spans, secret_report
 
 
@@ -114,6 +114,119 @@ def test_secret_report(spark):
     assert secret_report(docs.limit(0), docs["source"], docs["source"]).count() == 0
 
 
+def test_spans_and_counts_against_a_plain_version(spark):
+    rng = random.Random(12)
+    tokens = ["".join(rng.choices("ABCDEFGHabcdefgh0123456789", k=rng.choice([20, 24, 40]))) for _ in range(40)] + ["a" * 30, "abcdefghij" * 3, "0123456789" * 3]
+    words = ["plain", "é", "token =", "password:", "key", "AKIA" + "Z" * 16, "deadbeef" * 3]
+    rows = []
+    for k in range(300):
+        t = " ".join(rng.choice(tokens if rng.random() < 0.3 else words) for _ in range(rng.randint(0, 12)))
+        rows.append((k, t, f"o{rng.choice([0, 0, 0, 0, 1, 2, 3])}", f"r{rng.randrange(6)}"))
+    rows += [rows[0], rows[1]]
+
+    def entropy_of(s):
+        return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
+
+    def random_looking(s):
+        return bool(re.search("[0-9]", s)) and bool(re.search("[A-Za-z]", s)) and entropy_of(s) >= 3.5
+
+    def candidates(t):
+        found = {}
+        for s in brute_spans(t):
+            kind, a, b = s.split(":")
+            a, b = int(a), int(b)
+            secret = re.search(r"[A-Za-z0-9+/_.=-]+$", t[a:b][re.match(r"\w+[\"']?\x20*[:=]\x20*[\"']?", t[a:b]).end() :])[0] if kind == "assign" else t[a:b]
+            found[b - len(secret), b] = secret
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+            if random_looking(m[0]):
+                found.setdefault(m.span(), m[0])
+        return found
+
+    owners, repositories = {}, {}
+    for _, t, o, r in rows:
+        for c in candidates(t).values():
+            owners.setdefault(c, set()).add(o)
+            repositories.setdefault(c, set()).add((o, r))
+    want = []
+    for d, t, _, _ in rows:
+        base, own = brute_spans(t), candidates(t)
+        wide = {span for span, c in own.items() if len(owners[c]) >= 3 or len(repositories[c]) >= 4}
+        live = {span for span, c in own.items() if span not in wide and random_looking(c)}
+        whole = {tuple(map(int, s.split(":")[1:])) for s in base}
+        order = ["assign", "access", "hex", "live"]
+        spans = base + [f"live:{a}:{b}" for a, b in live - whole]
+        spans.sort(key=lambda s: (int(s.split(":")[1]), order.index(s.split(":")[0])))
+        want.append((d, ",".join(spans), len(live), len(wide)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = secret_report(docs, F.concat_ws("/", "source", "lang"), docs["source"]).select("doc_id", "spans", "n_live", "n_example").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert any("live" in w[1] for w in want) and any(w[3] for w in want) and any(w[2] for w in want)
+
+
+def test_quality_against_a_plain_version(spark):
+    """Plain expectation-maximisation row by row, and a plain gradient descent on the same distinct texts."""
+    import xxhash
+
+    rows = quality_rows()
+    texts = [t for _, t, _ in rows] + [rows[0][1]] * 30
+    votes_of = [votes(t) for t in texts]
+    m, prior = len(LABELLERS), 0.8
+    start = [[[0.93, 0.02, 0.05], [0.58, 0.02, 0.4]]] * (m - 2) + [[[0.35, 0.6, 0.05], [0.35, 0.15, 0.5]]] * 2
+    chance = start
+    for _ in range(200):
+        good = []
+        for v in votes_of:
+            p, q = prior, 1 - prior
+            for j, x in enumerate(v):
+                if x or j < m - 2:
+                    p, q = p * chance[j][0][x], q * chance[j][1][x]
+            good.append(p / (p + q))
+        prior = min(max(sum(good) / len(good), 1e-3), 1 - 1e-3)
+        new = []
+        for j in range(m):
+            both = []
+            for c in (0, 1):
+                seen = [2 * s for s in start[j][c]]
+                for v, g in zip(votes_of, good):
+                    if v[j] or j < m - 2:
+                        seen[v[j]] += g if c == 0 else 1 - g
+                both.append([s / sum(seen) for s in seen])
+            new.append(both)
+        chance = new
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found, w = train(docs)
+    for t, g in zip(texts, good):
+        assert abs(found[pattern(t)] - g) < 1e-6
+    by_draw = sorted({xxhash.xxh3_64_intdigest(t.encode(), 77): t for t in texts}.items())
+    weak = np.array([found[pattern(t)] for _, t in by_draw])
+    x = np.array([[*buckets(t.encode()), 1.0] for _, t in by_draw])
+    balance = np.where(weak > 0.5, 0.5 / (weak > 0.5).mean(), 0.5 / (weak <= 0.5).mean())
+    plain, speed = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
+    for _ in range(300):
+        gradient = ((balance * (1 / (1 + np.exp(-(x @ plain))) - weak)) @ x) / len(x) + 1e-5 * plain
+        speed = 0.9 * speed - 4.0 * gradient
+        plain = plain + speed
+    assert np.abs(1 / (1 + np.exp(-(x @ plain))) - 1 / (1 + np.exp(-(x @ w)))).max() < 1e-3
+    again = {r.doc_id: r.score for r in quality_report(docs.repartition(3)).collect()}
+    assert again == {r.doc_id: r.score for r in quality_report(docs.repartition(7)).collect()}
+    assert fit(np.zeros((0, SIZE)), np.zeros(0))[-1] == 1.0
+
+
+def test_the_fit_sample_is_bounded_whatever_copies_there_are(spark, tmp_path, monkeypatch):
+    rows = [(k, t) for k, (_, t, _) in enumerate(quality_rows())]
+    hot = [(10_000 + k, rows[k % 3][1]) for k in range(3_000)]
+    docs = spark.createDataFrame(rows + hot, "doc_id long, text string").repartition(4)
+
+    def noted(x, good):
+        (tmp_path / "size").write_text(f"{len(x)} {int((good > 0.5).sum())}")
+        return fit(x, good)
+
+    monkeypatch.setattr("seqloom.llm.quality.fit", noted)
+    train(docs, fit_rows=20)
+    assert (tmp_path / "size").read_text() == "20 10"
+    assert np.array_equal(train(docs, fit_rows=20)[1], train(docs.repartition(7), fit_rows=20)[1])
+
+
 def mix_rows():
     rng = random.Random(3)
     rows = [(k, prose(rng, rng.randint(1, 60)), "big") for k in range(600)] + [(1000 + k, prose(rng, 30), "mid") for k in range(90)]
@@ -153,7 +266,11 @@ def test_mixing(spark, monkeypatch):
     monkeypatch.setattr("seqloom.llm.mixing.BROADCAST_SOURCES", 1)
     salted = mix_report(docs, entropy=0.9, max_repeats=3.0, block_rows=16).collect()
     assert sorted(map(str, salted)) == sorted(map(str, got))
-    assert Counter((r.doc_id) for r in mix(docs, entropy=0.9, max_repeats=3.0, block_rows=16).collect()).keys() == {r.doc_id for r in got}
+    assert Counter(r.doc_id for r in mix(docs, entropy=0.9, max_repeats=3.0, block_rows=16).collect()) == Counter(r.doc_id for r in got)
+    ties = spark.createDataFrame([(1, "same words here", "a")] * 30 + [(k, f"other {k} x", "b") for k in range(2, 200)], "doc_id long, text string, source string")
+    for block_rows in (8, 2048):
+        report = Counter(r.doc_id for r in mix_report(ties, block_rows=block_rows).collect())
+        assert report[1] > 30 and Counter(r.doc_id for r in mix(ties, block_rows=block_rows).collect()) == report
     assert mix(docs).columns == docs.columns
     assert mix_report(docs.limit(0)).count() == 0 == mix(docs.limit(0)).count()
 
