@@ -20,7 +20,12 @@ block of rows, however large a source is.
 
 Tokens are counted as white-space words. A null source is the source ''; null
 text counts as empty; rows without words weigh nothing and follow the epochs.
-Rows that repeat an id and a text are each taken, as they tie.
+Rows that repeat an id and a text tie: they share a block and follow each other
+in it, each is read and counted on its own. Texts of any length are counted
+whole. An empty table gives no rows. Other columns of docs may have any names.
+
+Up to BROADCAST_SOURCES sources their table is broadcast, beyond that it is
+joined by (source, salt); the rows are the same.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, text_of
+from .common import checkpointed, text_of, whole_row
 
 SEED = "mix-1"
 ENTROPY = 0.95
@@ -87,10 +92,10 @@ def weights(sources: DataFrame, budget: Column, entropy: float = ENTROPY, max_re
 def mixed_rows(docs: DataFrame, keys: list[str], budget_part: float = 1.0, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, seed: str = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows to read: keys, source, epoch (from 0), block, n_tokens, weight.
 
-    docs: columns keys (kept), `source`, `n_tokens`, `ident` (a string that tells rows apart).
+    docs: columns keys (kept), `source`, `n_tokens`, `ident` (a string that tells rows apart), written
+    before, as they are read several times.
     The budget is budget_part times all tokens.
     """
-    docs = checkpointed(docs)  # fixed-width rows: the texts are read once
     sources = checkpointed(docs.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("tokens")))
     plan = weights(sources, F.floor(F.col("total") * budget_part), entropy, max_repeats)
     plan = plan.withColumn("n_blocks", F.ceil(F.col("n_rows") / block_rows))
@@ -121,26 +126,39 @@ def mixed_rows(docs: DataFrame, keys: list[str], budget_part: float = 1.0, entro
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def _ident(docs: DataFrame) -> Column:
+    """The id, and the text, which tells rows apart that share an id."""
+    return F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(text_of(docs)))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = text_of(docs)
     return docs.select(
         "doc_id",
         F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"),
         word_count(text).cast("long").alias("n_tokens"),
-        # the text tells rows apart that share an id
-        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)).alias("ident"),
+        _ident(docs).alias("ident"),
     )
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, epoch, block, n_tokens, weight: one row for each time a row of docs is read."""
-    return mixed_rows(_rows(docs), ["doc_id"], **options)
+    return mixed_rows(checkpointed(_rows(docs)), ["doc_id"], **options)  # the texts are read once
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows as often as the mix reads them, all columns untouched; rows that tie with each other follow one another's count."""
-    read = mixed_rows(_rows(docs), ["ident"], **options).groupBy("ident", "epoch").agg(F.lit(1).alias("_one"))
-    text = text_of(docs)
-    ident = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(text))
-    read = read.select(F.col("ident").alias("_ident")).hint("shuffle_hash")
-    return docs.withColumn("_own", ident).join(read, F.col("_own") == F.col("_ident")).select(*[docs[c] for c in docs.columns])
+    """docs' rows as often as the mix reads them, all columns untouched.
+
+    Rows that tie (equal id and text) are read equally often; what is left over when the last epoch takes
+    some of them only is read from one of them, the smallest by its other columns' hash.
+    """
+    rows = checkpointed(_rows(docs))
+    read = mixed_rows(rows, ["ident"], **options).groupBy("ident").agg(F.count("*").alias("n"))
+    plan = rows.groupBy("ident").agg(F.count("*").alias("ties")).join(read, "ident")
+    plan = plan.select("ident", F.floor(F.col("n") / F.col("ties")).cast("int").alias("each"), (F.col("n") % F.col("ties")).cast("int").alias("over"))
+    own = docs.select(_ident(docs).alias("ident"), whole_row(docs).alias("row"))
+    held = own.alias("d").join(plan.hint("shuffle_hash").alias("p"), F.col("d.ident") == F.col("p.ident"))
+    each = held.where("each > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("each"))))
+    # of one ident for each source at the most
+    over = held.where("over > 0").groupBy("p.ident").agg(F.min_by("row", F.xxhash64("row")).alias("row"), F.first("over").alias("over"))
+    return each.select("row.*").union(over.select("row", F.explode(F.sequence(F.lit(1), F.col("over")))).select("row.*"))
