@@ -30,7 +30,9 @@ wanted of them.
 
 Every row is a document of its own: rows that repeat id and text repeat each
 other's strings. Null text counts as empty; texts shorter than LENGTH lose
-nothing; matches never cross documents.
+nothing, texts of any length are searched whole; matches never cross documents.
+A null id is carried through. An empty table gives no rows. Other columns of docs
+may have any names.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import changes, checkpointed, partitions, small_batches, text_of, whole_groups
+from .common import changes, checkpointed, partitions, sliced, text_of, whole_groups, whole_row
 
 LENGTH = 400
 GRAM = 64
@@ -109,7 +111,7 @@ def _name_runs(length: int, gram: int):
         import xxhash
 
         digest, sampler = xxhash.xxh3_128_digest, _Sampler(length, gram)
-        for batch in batches:
+        for batch in sliced(batches, 2):
             names, counts, found = [], [], [[], [], [], []]
             for text in batch.column(2):
                 data, n = text.as_py().encode(), 0
@@ -133,7 +135,7 @@ def _squeeze(batches):
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in sliced(batches, 2):
         data = pa.array([squeeze(t.as_py().encode()) for t in batch.column(2)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], [*KEY, "data"])
 
@@ -152,7 +154,7 @@ def _contexts(length: int):
     """Documents with the runs wanted of them -> the bytes that each run's windows cover."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2, 1 << 20):  # compressed
             rows, columns = [], [[], [], [], [], []]
             for k, (data, runs) in enumerate(zip(_unsqueezed(batch.column(2)), batch.column(3))):
                 for r in runs.as_py():
@@ -225,7 +227,7 @@ def _range_names(length: int, width: int):
 
         digest = xxhash.xxh3_128_digest
         names_ = [c.split(" ")[0] for c in KEYED.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches, "context"):
             rows, shared, whole = [], [], []
             columns = [batch.column(c).to_pylist() for c in ("a", "p", "lo", "context")]
             for k, (a, p, lo, context) in enumerate(zip(*columns)):
@@ -333,7 +335,6 @@ def _narrowed(contexts: DataFrame, length: int, span: int) -> DataFrame:
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, few: int = FEW) -> DataFrame:
     """doc_id, text_hash, starts, ends: the maximal byte intervals covered by repeated strings, for documents that have any."""
     spark = docs.sparkSession
-    small_batches(spark)
     long = _texts(docs).where(F.octet_length("text") >= length)
     runs = long.mapInArrow(_name_runs(length, gram), RUNS)
     # written, so that both sides of the join have a shuffle of their own and a gram that many runs share can be split
@@ -366,7 +367,7 @@ def _kept(data: bytes, starts, ends) -> bytes:
 
 
 def _report(batches):
-    for batch in batches:
+    for batch in sliced(batches, 1, 1 << 20):  # compressed
         out = []
         for data, starts, ends in zip(_unsqueezed(batch.column(1)), batch.column(2), batch.column(3)):
             starts, ends = starts.as_py() or [], ends.as_py() or []
@@ -389,15 +390,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     columns = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 0):
             out = []
-            for text, starts, ends in zip(*(batch.column(c) for c in ("_text", "_starts", "_ends"))):
+            for text, starts, ends in zip(*(batch.column(k) for k in range(3))):
                 data = text.as_py().encode()
                 out.append(_kept(data, starts.as_py() or [], ends.as_py() or []).decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
+            own = dict(zip(columns, batch.column(3).flatten()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else own[c] for c in columns], columns)
 
-    spans = repeated_intervals(docs, length, gram)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    rows = docs.withColumn("_text", text_of(docs))
-    same = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.shiftright(F.xxhash64("_text"), 32).cast("int") == F.col("_th"))
-    return rows.join(spans.hint("shuffle_hash"), same, "left").select(*columns, "_text", "_starts", "_ends").mapInArrow(run, docs.schema)
+    spans = repeated_intervals(docs, length, gram).alias("s").hint("shuffle_hash")
+    rows = docs.select("doc_id", text_of(docs).alias("text"), whole_row(docs).alias("row"))
+    rows = rows.withColumn("text_hash", F.shiftright(F.xxhash64("text"), 32).cast("int")).alias("t")
+    return rows.join(spans, _same_row("t", "s"), "left").select("text", "starts", "ends", "row").mapInArrow(run, docs.schema)
