@@ -48,14 +48,14 @@ def quantise(probs: Sequence[float], total: int = TOTAL) -> list[int]:
 
 class Encoder:
     def __init__(self):
-        self.low, self.span, self.held, self.pending, self.out = 0, MASK, None, 0, bytearray()
+        # a zero byte is held from the start, so that a carry out of the first symbol has where to go: it leads every stream
+        self.low, self.span, self.held, self.pending, self.out = 0, MASK, 0, 0, bytearray()
 
     def _shift(self) -> None:
         carry = self.low >> 64
         top = (self.low >> 56) & 0xFF
         if carry or top != 0xFF:
-            if self.held is not None:
-                self.out.append((self.held + carry) & 0xFF)
+            self.out.append((self.held + carry) & 0xFF)
             self.out += bytes([(0xFF + carry) & 0xFF]) * self.pending
             self.held, self.pending = top, 0
         else:
@@ -78,7 +78,7 @@ class Encoder:
 
 class Decoder:
     def __init__(self, data: bytes):
-        self.data, self.at, self.span, self.code = data, 0, MASK, 0
+        self.data, self.at, self.span, self.code = data, 1, MASK, 0  # behind the leading byte
         for _ in range(8):
             self.code = self.code << 8 | self._byte()
 
@@ -101,13 +101,27 @@ class Decoder:
         return low
 
 
-def encode_stream(sequences: Sequence[Sequence[int]], probs: Callable[[Sequence[int]], Sequence[float]]) -> tuple[bytes, dict]:
-    """Bits of a stream of symbol sequences, the context starting anew with each, and its sums."""
+class Contexts:
+    """Probabilities and cumulative frequencies by the last `order` symbols, each worked out once."""
+
+    def __init__(self, probs: Callable[[Sequence[int]], Sequence[float]], order: int):
+        self.probs, self.order, self.known = probs, order, {}
+
+    def at(self, seq: Sequence[int], i: int) -> tuple[Sequence[float], list[int]]:
+        context = tuple(seq[max(0, i - self.order) : i])
+        if context not in self.known:
+            p = self.probs(context)
+            self.known[context] = (p, quantise(p))
+        return self.known[context]
+
+
+def encode_stream(sequences: Sequence[Sequence[int]], probs: Callable[[Sequence[int]], Sequence[float]], order: int = 1 << 30) -> tuple[bytes, dict]:
+    """Bits of a stream of symbol sequences, the context (up to order symbols) starting anew with each, and its sums."""
     coder, sums = Encoder(), {"sequence_count": 0, "token_count": 0, "nll_bits": 0.0, "quantised_bits": 0.0}
+    contexts = Contexts(probs, order)
     for seq in sequences:
         for i, s in enumerate(seq):
-            p = probs(seq[:i])
-            cdf = quantise(p)
+            p, cdf = contexts.at(seq, i)
             coder.put(cdf, s)
             sums["nll_bits"] -= math.log2(max(p[s], 1e-300))
             sums["quantised_bits"] -= math.log2((cdf[s + 1] - cdf[s]) / cdf[-1])
@@ -117,9 +131,14 @@ def encode_stream(sequences: Sequence[Sequence[int]], probs: Callable[[Sequence[
     return data, sums | {"stream_bits": 8 * len(data)}
 
 
-def decodes(data: bytes, sequences: Sequence[Sequence[int]], probs: Callable[[Sequence[int]], Sequence[float]]) -> bool:
-    coder = Decoder(data)
-    return all(coder.take(quantise(probs(seq[:i]))) == s for seq in sequences for i, s in enumerate(seq))
+def decodes(data: bytes, sequences: Sequence[Sequence[int]], probs: Callable[[Sequence[int]], Sequence[float]], order: int = 1 << 30) -> bool:
+    """True if the stream gives the sequences back; each symbol is decoded after those that were decoded before it."""
+    coder, contexts = Decoder(data), Contexts(probs, order)
+    for seq in sequences:
+        for i, s in enumerate(seq):
+            if coder.take(contexts.at(seq, i)[1]) != s:
+                return False
+    return True
 
 
 def consistency(sums: dict, nt: int, decoded: bool, tight_bits: int = 64, loose_bits: int = 128, tolerance: float = 1e-4) -> dict:

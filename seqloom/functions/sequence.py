@@ -23,7 +23,13 @@ def canonical(seq: Column) -> Column:
 
 def is_primary(canon: Column) -> Column:
     """True if the canonical sequence holds A, C, G and U only; the empty one does."""
-    return canon.rlike("^[ACGU]*$")
+    return canon.rlike(r"^[ACGU]*\z")  # a $ would let a line end through
+
+
+def strict_canonical(seq: Column) -> Column:
+    """The canonical form; a sequence outside the alphabet is an error of the query."""
+    canon = canonical(seq)
+    return F.when(is_primary(canon), canon).otherwise(F.raise_error(F.concat(F.lit("not a primary sequence: "), F.substring(seq, 1, 60))).cast("string"))
 
 
 def alphabet_status(canon: Column) -> Column:

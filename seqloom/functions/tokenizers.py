@@ -163,3 +163,51 @@ def spec(name: str, vocabulary: int, lossless: bool, **parameters) -> Column:
         F.lit(name).alias("name"), F.lit(vocabulary).alias("vocab_size"), F.lit(lossless).alias("lossless"),
         F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(parameters.items())] or [F.lit(0).alias("none")])).alias("parameters"),
     )
+
+
+def kmer_of(number: Column, k: int) -> Column:
+    """The k-mer of a number in base 4, A first."""
+    return F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), k, "0"), "0123", ALPHABET)
+
+
+def overlap_decode(ids: Column, k: int) -> Column:
+    """The sequence of overlapping k-mers: the first one, then the last letter of each."""
+    letters = F.transform(F.slice(ids, 2, F.greatest(F.lit(0), F.size(ids) - 1)), lambda x: F.substr(F.lit(ALPHABET), (x % 4 + 1).cast("int"), F.lit(1)))
+    return F.when(F.size(ids) > 0, F.concat(kmer_of(F.get(ids, F.lit(0)), k), F.array_join(letters, ""))).otherwise("")
+
+
+def block_token(number: Column, k: int) -> Column:
+    """The token of a block id: full k-mers first, then tails by length and letters."""
+    out, base = F.when(number < 4**k, kmer_of(number, k)), 4**k
+    for n in range(1, k):
+        out = out.when(number < base + 4**n, kmer_of(number - base, n))
+        base += 4**n
+    return out
+
+
+def block_decode(ids: Column, k: int) -> Column:
+    return F.array_join(F.transform(ids, lambda x: block_token(x, k)), "")
+
+
+def listed_ids(tokens: Column, vocabulary: list[str]) -> Column:
+    """Ids of tokens of a listed vocabulary (of fixed size), by place in the list."""
+    table = F.create_map(*[x for k, t in enumerate(vocabulary) for x in (F.lit(t), F.lit(k))])
+    return F.transform(tokens, lambda t: table[t])
+
+
+def listed_decode(ids: Column, vocabulary: list[str]) -> Column:
+    table = F.array(*map(F.lit, vocabulary))
+    return F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+
+
+def tokenizer(kind: str, k: int | None = None, vocabulary: list[str] | None = None, merges: list[tuple[str, str]] | None = None):
+    """(tokens of a column, spec) of an arm's tokenizer; vocabulary and merges come from a fit on training rows."""
+    if kind == "overlap_mer":
+        return (lambda c: overlap_tokens(c, k)), spec(kind, 4**k, True, k=k)
+    if kind == "nonoverlap_mer":
+        return (lambda c: block_tokens(c, k)), spec(kind, sum(4**n for n in range(1, k + 1)), True, k=k)
+    if kind == "Unigram":
+        return (lambda c: greedy_tokens(c, vocabulary)), spec(kind, len({*vocabulary, *ALPHABET}), True)
+    if kind == "BPE":
+        return bpe_tokens(merges), spec(kind, len(ALPHABET) + len(merges), True, merges=len(merges))
+    return nuc_tokens, spec("NUC", len(ALPHABET), True)  # segment arms see single letters

@@ -99,8 +99,11 @@ def ppm_bits(rows: DataFrame, counts: DataFrame, keys: list[str], order: int) ->
 
 
 def score_sums(rows: DataFrame, bits: DataFrame, key: str, max_len: int = 4096) -> DataFrame:
-    """Mergeable sums of each row: nll_bits, nll_nats, valid_nt, sequence_count, invalid_count, truncation_count."""
-    per = bits.groupBy(key).agg(F.sum("bits").alias("nll_bits"), F.count("*").alias("valid_nt"))
+    """Mergeable sums of each row: nll_bits, nll_nats, valid_nt, sequence_count, invalid_count, truncation_count.
+
+    Letters from max_len on count as cut off: they are not scored.
+    """
+    per = bits.where(F.col("pos") < max_len).groupBy(key).agg(F.sum("bits").alias("nll_bits"), F.count("*").alias("valid_nt"))
     invalid = ~is_primary(F.col("canonical_sequence"))
     out = rows.select(key, invalid.alias("_bad"), (F.length("canonical_sequence") > max_len).alias("_long")).join(per, key, "left")
     bits_ = F.when(F.col("_bad"), 0.0).otherwise(F.coalesce("nll_bits", F.lit(0.0)))

@@ -26,9 +26,9 @@ def code_streams(streams: DataFrame, model: dict[str, list[float]], order: int)
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         rows = [[ALPHABET.index(c) for c in s] for s in group.sort_values("ord")["canonical_sequence"]]
-        probs = lambda seq: model.get("".join(ALPHABET[x] for x in seq[-order:]) if order else "", uniform)
-        data, sums = encode_stream(rows, probs)
-        gates = consistency(sums, sums["token_count"], decodes(data, rows, probs))
+        probs = lambda context: model.get("".join(ALPHABET[x] for x in context), uniform)
+        data, sums = encode_stream(rows, probs, order)
+        gates = consistency(sums, sums["token_count"], decodes(data, rows, probs, order))
         return pd.DataFrame([{
             "stream_id": key[0], "sequence_count": sums["sequence_count"], "valid_nt": sums["token_count"], "stream_bits": sums["stream_bits"],
             "quantised_bits": sums["quantised_bits"], "nll_bits": sums["nll_bits"], **gates, "bits": data,

@@ -51,6 +51,17 @@ def strata(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
 
 
+def strata_summary(rows: DataFrame, columns: list[str], cluster: str) -> DataFrame:
+    """strata() and one more row (value null) with the number of distinct clusters."""
+    distinct = rows.select(cluster).distinct().agg(F.count(cluster).alias("n"))
+    return strata(rows, columns).union(distinct.select(F.lit(cluster), F.lit(None).cast("string"), "n"))
+
+
+def chunk_of(row: Column, n: int, chunks: int) -> Column:
+    """Number of the chunk of ceil(n / chunks) rows that an explicit row number from 0 falls into."""
+    return F.floor(row / max(1, -(-n // chunks))).cast("long")
+
+
 def stratified_subsample(rows: DataFrame, cluster: str, ident: str, per_cluster: int, limit: int) -> DataFrame:
     """The per_cluster smallest idents of each cluster, then the first rows by (cluster, ident) up to the limit."""
     rank = F.row_number().over(Window.partitionBy(cluster).orderBy(ident))

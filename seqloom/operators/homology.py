@@ -13,20 +13,29 @@ of the join without dropping any pair.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one only on a single machine where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.mkdtemp(prefix="seqloom-"), "checkpoints"))
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the session's checkpoint folder (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.mkdtemp(prefix="seqloom-"), "checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
+    """df cut from its lineage in the session's checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -58,16 +58,19 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """doc_id, item_id where a document's text contains an item's whole text.
 
-    Pairs are found by a shared run of `words` words (the item's first), then compared; items of fewer
-    words are compared with all documents.
+    Pairs are found by the hash of a run of `words` words (the item's second to the next ones), so only ids
+    and hashes meet; their texts are then brought back and compared. Items of fewer words are compared with
+    all documents.
     """
     split = lambda c: F.split(c, " ")
     items = items.select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("w"))
-    long = items.where(F.size("w") >= words + 2).select("item_id", "item", F.array_join(F.slice("w", 2, words), " ").alias("run"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " "))
-    d = docs.select("doc_id", "text", split(F.col("text")).alias("w"))
-    each = d.where(F.size("w") >= words).select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("run"))
-    met = each.join(long, "run").where(F.contains("text", "item")).select("doc_id", "item_id")
+    long = items.where(F.size("w") >= words + 2)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.slice("w", i, words)))
+    d = docs.select("doc_id", split(F.col("text")).alias("w"))
+    each = d.where(F.size("w") >= words).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+    found = each.join(long.select("item_id", F.xxhash64(F.slice("w", 2, words)).alias("run")), "run").select("doc_id", "item_id").distinct()
+    met = found.join(long.select("item_id", "item"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    met = met.where(F.contains("text", "item")).select("doc_id", "item_id")
     short = items.where(F.size("w") < words + 2).select("item_id", "item")
     rest = docs.select("doc_id", "text").join(short, F.contains("text", "item")).select("doc_id", "item_id")
     return met.union(rest).distinct()

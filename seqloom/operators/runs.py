@@ -7,32 +7,44 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import within
 
-#: Directory names of runs: arm, seed, optional restart and time stamp.
-RUN_NAME = r"^([FPB]\d)_s(\d+)(?:_restart)?(?:_(\d{8}T\d{6}))?$"
+# Fixed value: directory names of runs are phase4, arm, seed, time stamp, and restart for a run that was taken up again.
+RUN_NAME = r"^phase4_(F[1-7]|P[1-3]|B1)_s(\d+)_(\d{8}T\d{6})(_restart)?$"
 
 
 def parse_run_name(name: Column) -> list[Column]:
-    """arm and seed of a run directory's name; null if it is none."""
+    """arm, seed, stamp and restarted of a run directory's name; null if it is none."""
     is_run = name.rlike(RUN_NAME)
-    return [F.when(is_run, F.regexp_extract(name, RUN_NAME, 1)).alias("arm"), F.when(is_run, F.regexp_extract(name, RUN_NAME, 2).cast("int")).alias("seed")]
+    field = lambda k: F.when(is_run, F.regexp_extract(name, RUN_NAME, k))
+    return [field(1).alias("arm"), field(2).cast("int").alias("seed"), field(3).alias("stamp"), (field(4) != "").alias("restarted")]
+
+
+def latest_run(runs: DataFrame, keys: list[str], name: str = "run_dir") -> DataFrame:
+    """One run per cell: the last by name, whose stamp sorts by time."""
+    return furthest(runs, keys, name, name)
+
+
+def finished_means(cells: DataFrame, value: str) -> DataFrame:
+    """arm, mean, n over the cells that have a value."""
+    return cells.where(F.col(value).isNotNull()).groupBy("arm").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+
+#: What makes a manifest unacceptable: a code and, given the wanted arm and seed, the condition. Nulls are faults.
+FAULTS = {
+    "not_done": lambda arm, seed: ~F.col("status").eqNullSafe("DONE"),
+    "other_arm": lambda arm, seed: ~F.col("arm").eqNullSafe(arm),
+    "other_seed": lambda arm, seed: ~F.col("seed").eqNullSafe(seed),
+    "no_budget": lambda arm, seed: F.col("budget_nt").isNull() | F.col("final_nt").isNull(),
+    "under_budget": lambda arm, seed: F.col("final_nt") < F.col("budget_nt"),
+    "cpu_fallback": lambda arm, seed: ~F.col("cpu_fallback_count").eqNullSafe(0),
+    "no_loss": lambda arm, seed: F.col("best_val_loss").isNull(),
+    "no_checkpoint": lambda arm, seed: F.coalesce("best_checkpoint", F.lit("")) == "",
+    "no_params": lambda arm, seed: ~(F.coalesce("params", F.lit(0)) > 0),
+}
 
 
 def issues(arm: Column, seed: Column) -> Column:
-    """Acceptance violations of a manifest row that should be of the given arm and seed; empty if it passes."""
-    c = F.col
-    text = lambda v: F.coalesce(v.cast("string"), F.lit("None"))
-    rules = [
-        (~c("status").eqNullSafe("DONE"), F.concat(F.lit("status!=DONE ("), text(c("status")), F.lit(")"))),
-        (~c("arm").eqNullSafe(arm), F.concat(F.lit("arm mismatch ("), text(c("arm")), F.lit(")"))),
-        (~c("seed").eqNullSafe(seed), F.concat(F.lit("seed mismatch ("), text(c("seed")), F.lit(")"))),
-        (c("budget_nt").isNull() | c("final_nt").isNull(), F.lit("missing budget_nt/final_nt")),
-        (c("final_nt") < c("budget_nt"), F.concat(F.lit("final_nt "), text(c("final_nt")), F.lit(" < budget "), text(c("budget_nt")))),
-        (~c("cpu_fallback_count").eqNullSafe(0), F.concat(F.lit("cpu_fallback_count="), text(c("cpu_fallback_count")))),
-        (c("best_val_loss").isNull(), F.lit("no best_val_loss")),
-        (F.coalesce(c("best_checkpoint"), F.lit("")) == "", F.lit("no best_checkpoint")),
-        (~(F.coalesce(c("params"), F.lit(0)) > 0), F.lit("no params")),
-    ]
-    return F.filter(F.array(*[F.when(bad, said) for bad, said in rules]), lambda x: x.isNotNull())
+    """Codes of the faults of a manifest row that should be of the given arm and seed; empty if it passes."""
+    return F.array_compact(F.array(*[F.when(rule(arm, seed), code) for code, rule in FAULTS.items()]))
 
 
 def ledger(runs: DataFrame, keys: list[str], order: str) -> DataFrame:

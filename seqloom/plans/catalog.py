@@ -68,13 +68,12 @@ def canonicalize_docs(spark, d):
 
 
 @query(r"""
-WITH w AS (SELECT regexp_extract(coalesce(text, ''), '^[^ \n]*') AS seq FROM documents)
+WITH w AS (SELECT coalesce(text, '') AS seq FROM documents)
 SELECT CASE WHEN regexp_full_match(translate(seq, 'acgtuT', 'ACGUUU'), '[ACGU]*') THEN 'primary' ELSE 'ambiguous' END AS alphabet_status, count(*) AS n,
        sum(length(seq))::BIGINT AS letters FROM w GROUP BY 1""")
 def qc_alphabet_split(spark, d):
-    """Alphabet status of each document's first word."""
-    word = F.regexp_extract(F.coalesce(F.col("text"), F.lit("")), r"^[^ \n]*", 0)
-    rows = table(spark, d, "documents").select(word.alias("seq"))
+    """Alphabet status of each document's whole text."""
+    rows = table(spark, d, "documents").select(F.coalesce(F.col("text"), F.lit("")).alias("seq"))
     status = S.alphabet_status(F.translate("seq", "acgtuT", "ACGUUU"))
     return rows.groupBy(status.alias("alphabet_status")).agg(F.count("*").alias("n"), F.sum(F.length("seq")).cast("long").alias("letters"))
 
@@ -126,9 +125,11 @@ def stratified_subsample(spark, d):
     return corpus.stratified_subsample(rows, "cluster_id", "canonical_sequence_hash", 2, 100).select("cluster_id", "canonical_sequence_hash", "length")
 
 
-@query(f"""WITH {UNIQUE} SELECT count(*) AS n, sha256(string_agg(canonical_sequence_hash, '' ORDER BY canonical_sequence_hash)) AS selection_hash FROM uniq""")
+@query(f"""WITH {SEQS}, s AS (SELECT canonical_sequence_hash FROM seqs ORDER BY sha256('42:' || ord), ord LIMIT 100)
+SELECT count(*) AS n, sha256(string_agg(canonical_sequence_hash, '' ORDER BY canonical_sequence_hash)) AS selection_hash FROM s""")
 def selection_hash(spark, d):
-    return corpus.selection_hash(unique(spark, d), "canonical_sequence_hash")
+    """One hash for the sample of 100 rows: a hash over a sorted list is for selections of bounded size."""
+    return corpus.selection_hash(hash_sample(spark, d), "canonical_sequence_hash")
 
 
 @query(f"""WITH {SEQS}, s AS (SELECT ord, length, coalesce(sum(length) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seen FROM seqs)
@@ -521,7 +522,7 @@ def uniform_bpn(spark, d):
 
 
 @query(f"""WITH {MARKOV.format(unique=UNIQUE, k=2)},
-per AS (SELECT ord, sum(bits) AS b, count(*) AS n FROM bits GROUP BY 1),
+per AS (SELECT ord, sum(bits) AS b, count(*) AS n FROM bits WHERE pos < 4096 GROUP BY 1),
 s AS (SELECT rna_type, coalesce(b, 0) AS b, coalesce(n, 0) AS n, length > 4096 AS long FROM parted LEFT JOIN per USING (ord) WHERE part = 'holdout')
 SELECT rna_type, round(sum(b), 5) AS nll_bits, sum(n)::BIGINT AS valid_nt, count(*) AS sequence_count, 0::BIGINT AS invalid_count, count(*) FILTER (WHERE long) AS truncation_count,
        CASE WHEN sum(n) > 0 THEN round(sum(b) / sum(n), 8) END AS bpn FROM s GROUP BY 1""")
@@ -549,14 +550,16 @@ def markov_probs(spark, d, order=2):
 @query()
 def quantized_cdf(spark, d):
     rows = coding.quantised(markov_probs(spark, d))
-    return rows.select("ctx", "cdf", F.round(S.symbol_bits(F.col("cdf"), F.lit(0)), 9).alias("bits_of_a"), S.find_symbol(F.col("cdf"), F.lit(1 << 23)).alias("middle"))
+    text = F.array_join(F.transform("cdf", lambda x: x.cast("string")), ",").alias("cdf")
+    return rows.select("ctx", text, F.round(S.symbol_bits(F.col("cdf"), F.lit(0)), 9).alias("bits_of_a"), S.find_symbol(F.col("cdf"), F.lit(1 << 23)).alias("middle"))
 
 
 @query()
 def range_codec_roundtrip(spark, d):
-    """One stream for each source of the held-out part."""
+    """One stream for each source and block of 65,536 ids of the held-out part, so that no stream grows with the table."""
     model = {r.ctx: list(r.probs) for r in markov_probs(spark, d).collect()}  # 16 contexts
-    streams = parted(spark, d)[1].select(F.col("source_database").alias("stream_id"), "ord", "canonical_sequence")
+    stream = F.concat_ws("/", "source_database", F.floor(F.col("ord") / 65_536).cast("string"))
+    streams = parted(spark, d)[1].select(stream.alias("stream_id"), "ord", "canonical_sequence")
     return coding.code_streams(streams, model, 2).drop("bits")
 
 
@@ -793,21 +796,16 @@ def fairness_report(spark, d):
     return runs.fairness(rows.withColumn("cpu_fallback_count", F.lit(0)))
 
 
-@query()
-def budget_batches(spark, d):
-    """Batches of at most 16,384 letters (rows times the longest) within each source."""
-    rows = seqs(spark, d).select("source_database", "ord", "length")
-    out = coding.budget_batches(rows, "source_database", "ord", "length", 16_384)
-    return out.groupBy("source_database", "batch").agg(F.count("*").alias("n"), F.max("length").alias("longest"))
+# ---- streams -----------------------------------------------------------------------------------------------------
 
 
-# ---- streams -----------------------------------------------------------------------------------------------------
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that driver and executors share."""
+    return f"{homology.checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def streamed(spark, stream: DataFrame, mode: str) -> DataFrame:
-    homology.checkpointed(spark.range(0))  # sets the checkpoint folder where none is set
-    name = f"stream_{uuid.uuid4().hex}"
-    return ingest.run_to_table(stream, name, f"{spark.sparkContext.getCheckpointDir()}/{name}", mode)
+def streamed(spark, stream: DataFrame, mode: str, poll: str | None = None) -> DataFrame:
+    return ingest.run_to_table(stream, scratch(spark, "stream"), mode, poll)
 
 
 @query("""WITH w AS (SELECT lang, length(coalesce(text, '')) AS n FROM documents)
@@ -823,7 +821,7 @@ def stream_ingest(spark, d):
 @query("SELECT user_id, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1, 2")
 def stream_dedup(spark, d):
     events = ingest.stream_table(spark, f"{d}/events.parque[t]").select("event_id", "ts", "user_id", "event_type")
-    return streamed(spark, ingest.dedup_events(events, ["event_id"], delay="3650 days"), "append").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return streamed(spark, ingest.dedup_events(events, ["event_id"], delay="3 days"), "append").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

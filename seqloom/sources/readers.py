@@ -1,7 +1,7 @@
 """Readers of sequence and annotation files; every one is a plain Spark scan.
 
 Where a rule depends on the order of lines, rows carry `file` and `line`: the
-file's name and the number of the row in it, counted by the scan.
+file's path and an orderable place in it. Files count in the order of their paths.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def header_fields(header: Column) -> list[Column]:
 def read_lines(spark: SparkSession, path: str | list[str], sep: str = "\t") -> DataFrame:
     """file, line (an orderable place in the file), f (array of the fields) of text files."""
     return spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line"),
         F.split("value", sep, -1).alias("f"),
     )
@@ -60,8 +60,8 @@ def read_family_hits(spark: SparkSession, path: str) -> DataFrame:
 
 def read_family_clans(spark: SparkSession, path: str) -> DataFrame:
     """family, clan: the last line of a family counts."""
-    rows = read_lines(spark, path).where(F.size("f") >= 2).select(F.col("f")[0].alias("family"), F.col("f")[1].alias("clan"), "line")
-    return rows.groupBy("family").agg(F.max_by("clan", "line").alias("clan"))
+    rows = read_lines(spark, path).where(F.size("f") >= 2).select(F.col("f")[0].alias("family"), F.col("f")[1].alias("clan"), "file", "line")
+    return rows.groupBy("family").agg(F.max_by("clan", F.struct("file", "line")).alias("clan"))
 
 
 def read_db_mapping(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -79,8 +79,8 @@ def first_db_mapping(rows: DataFrame) -> DataFrame:
 
 def read_md5_index(spark: SparkSession, path: str) -> DataFrame:
     """accession (lower case), md5: the last line of an accession counts."""
-    rows = read_lines(spark, path).where(F.size("f") >= 2).select(F.lower(F.col("f")[0]).alias("accession"), F.col("f")[1].alias("md5"), "line")
-    return rows.groupBy("accession").agg(F.max_by("md5", "line").alias("md5"))
+    rows = read_lines(spark, path).where(F.size("f") >= 2).select(F.lower(F.col("f")[0]).alias("accession"), F.col("f")[1].alias("md5"), "file", "line")
+    return rows.groupBy("accession").agg(F.max_by("md5", F.struct("file", "line")).alias("md5"))
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
@@ -100,11 +100,16 @@ def read_search_hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_removed(spark: SparkSession, path: str) -> DataFrame:
-    """chunk, row_id from lists named ..._<chunk>.txt, one row number a line."""
-    rows = read_lines(spark, path).select(F.regexp_extract("file", r"_(\d+)\.txt$", 1).cast("int").alias("chunk"), F.expr("try_cast(trim(f[0]) AS bigint)").alias("row_id"))
+    """chunk, row_id from lists named ..._<chunk>.txt (files, or folders of files), one row number a line."""
+    rows = read_lines(spark, path).select(F.regexp_extract("file", r"_(\d+)\.txt(?:/|$)", 1).cast("int").alias("chunk"), F.expr("try_cast(trim(f[0]) AS bigint)").alias("row_id"))
     return rows.where("row_id is not null").distinct()
 
 
+def without_removed(rows: DataFrame, removed: DataFrame, ident: str) -> DataFrame:
+    """rows whose explicit row number is in none of the lists, however many chunks they come in."""
+    return rows.join(removed.select(F.col("row_id").alias(ident)).distinct(), ident, "left_anti")
+
+
 def missing_chunks(removed: DataFrame, expected: int) -> DataFrame:
     """chunk: the numbers below `expected` of which no list is there."""
     spine = removed.sparkSession.range(expected).select(F.col("id").cast("int").alias("chunk"))
@@ -122,6 +127,11 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def read_matching(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
+    """All Parquet tables whose paths match a pattern (or several), columns matched by name."""
+    return spark.read.option("mergeSchema", True).parquet(*([pattern] if isinstance(pattern, str) else pattern))
+
+
 def union_releases(frames: list[DataFrame]) -> DataFrame:
     """All rows of the frames, columns matched by name, missing ones null."""
     out = frames[0]

@@ -42,6 +42,7 @@ def timed(events: DataFrame, column: str = "ts", delay: str = "1 hour") -> DataF
 
 
 def dedup_events(events: DataFrame, keys: list[str], column: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Events without repeats of a key that come within delay of the first; a key's state is kept that long."""
     return timed(events, column, delay).dropDuplicatesWithinWatermark(keys)
 
 
@@ -57,8 +58,28 @@ def best_so_far(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.min_by("event_id", F.struct("value", "event_id")).alias("event_id"), F.min("value").alias("value"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there into an in-memory result table and returns it."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, folder: str, mode: str = "complete", poll: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there into Parquet under a shared folder and returns the result table.
+
+    Each batch has its own directory, which a batch that is run again replaces. In append mode they are the
+    table together; in complete mode the last one is. poll: a processing-time interval at which the stream
+    looks for input as a daemon would; it is stopped once everything that is there has been taken.
+    """
+    numbers = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        numbers.append(number)
+
+    trigger = {"processingTime": poll} if poll else {"availableNow": True}
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(**trigger).foreachBatch(write).start()
+    if poll:
+        query.processAllAvailable()
+        query.stop()
+    else:
+        query.awaitTermination()
+    spark = stream.sparkSession
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    wanted = sorted(set(numbers)) if mode == "append" else [max(numbers)]
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/rows/batch={n}" for n in wanted])

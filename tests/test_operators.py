@@ -165,8 +165,8 @@ def test_score_sums_never_average_ratios(spark):
     bits = baselines.markov_bits(rows, baselines.markov_fit(rows, 0), ["ord"], 0)
     sums = baselines.score_sums(rows, bits, "ord", max_len=100)
     total = baselines.aggregate_sums(sums.withColumn("g", F.lit(1)), ["g"]).first()
-    assert (total.valid_nt, total.sequence_count, total.invalid_count, total.truncation_count) == (440, 4, 1, 1)
-    assert total.bpn == pytest.approx(total.nll_bits / 440)
+    assert (total.valid_nt, total.sequence_count, total.invalid_count, total.truncation_count) == (140, 4, 1, 1)
+    assert total.bpn == pytest.approx(total.nll_bits / 140)  # of the long sequence the first 100 letters only
 
 
 def test_segments(spark):
@@ -248,8 +248,12 @@ def test_run_records(spark):
     df = spark.createDataFrame([manifest(), *[manifest(**b) for b in bad]], schema)
     found = [r.i for r in df.select(runs.issues(F.lit("F1"), F.lit(17)).alias("i")).collect()]
     assert found[0] == [] and all(len(i) == 1 for i in found[1:])
-    names = spark.createDataFrame([(n,) for n in ("F1_s17", "B1_s29_restart", "P3_s43_20260809T101010", "other", "F1_sx")], "n string")
-    assert [tuple(r) for r in names.select(*runs.parse_run_name(F.col("n"))).collect()] == [("F1", 17), ("B1", 29), ("P3", 43), (None, None), (None, None)]
+    names = spark.createDataFrame([(n,) for n in ("phase4_F1_s17_20260809T101010", "phase4_B1_s29_20260810T000000_restart", "phase4_P4_s43_20260809T101010", "F1_s17", "phase4_F1_s17")], "n string")
+    nothing = (None, None, None, None)
+    assert [tuple(r) for r in names.select(*runs.parse_run_name(F.col("n"))).collect()] == [
+        ("F1", 17, "20260809T101010", False), ("B1", 29, "20260810T000000", True), nothing, nothing, nothing,
+    ]
+    assert found[1:4] == [["not_done"], ["other_arm"], ["other_seed"]] and set(sum(found, [])) == set(runs.FAULTS)
     log = spark.createDataFrame([("F1", 17, "FAILED", 1), ("F1", 17, "DONE", 2), ("F1", 17, "FAILED", 3), ("F2", 17, "FAILED", 1), ("F2", 17, "RUNNING", 2)], "arm string, seed int, status string, d int")
     assert values(runs.ledger(log, ["arm", "seed"], "d"), "arm", "status", "d") == [("F1", "DONE", 2), ("F2", "FAILED", 1)]
     assert values(runs.furthest(log, ["arm", "seed"], "d", "status"), "arm", "d") == [("F1", 3), ("F2", 2)]
