@@ -3,7 +3,8 @@
 Each stage takes all rows that its predecessor kept and returns the columns of
 `documents`; the last returns one row per packed piece. `run` writes every
 stage's rows as Parquet in the shared checkpoint folder and reads them again, so
-a lost executor costs the stage at hand at most.
+a lost executor costs the stage at hand at most; a stage's rows are deleted once
+the next one's are written.
 
     quality        rejects what the weak-label quality classifier finds bad
     exact_dedup    of equal normalised texts the smallest id stays
@@ -59,10 +60,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _delete(spark, before)
+        before = f"{folder}/{name}"
     return docs
