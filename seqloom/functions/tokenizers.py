@@ -77,9 +77,30 @@ def unigram_vocabulary(seqs: DataFrame, size: int, longest: int = 6) -> DataFram
 
 
 def greedy_tokens(canon: Column, vocabulary: list[str]) -> Column:
-    """Greedy longest match: an alternation that lists longer tokens first."""
-    ordered = sorted({*vocabulary, *ALPHABET}, key=lambda t: (-len(t), t))
-    return F.regexp_extract_all(canon, F.lit("(" + "|".join(ordered) + ")"), F.lit(0))
+    """Greedy longest match, a character that starts no token being passed over.
+
+    One look-up for each length at each token's start, in Arrow batches: a pattern of alternatives would try
+    them all at every letter.
+    """
+    known = {*vocabulary, *ALPHABET}
+    lengths = sorted({len(t) for t in known}, reverse=True)
+
+    def one(s: str) -> list[str]:
+        out, i = [], 0
+        while i < len(s):
+            for n in lengths:
+                token = s[i : i + n]
+                if token in known:
+                    out.append(token)
+                    break
+            i += len(token) if token in known else 1
+        return out
+
+    @pandas_udf("array<string>")
+    def run(seqs: pd.Series) -> pd.Series:
+        return seqs.map(one)
+
+    return run(canon)
 
 
 def fit_bpe(words: Counter, merges: int) -> list[tuple[str, str]]:
