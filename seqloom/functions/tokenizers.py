@@ -11,7 +11,9 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -69,10 +71,34 @@ def next_token_window(ids: Column, lengths: Column, context: int) -> Column:
 def unigram_vocabulary(seqs: DataFrame, size: int, longest: int = 6) -> DataFrame:
     """token, n of the most frequent k-mers (k from 2 to longest) after the four letters; ties by token.
 
-    seqs: column canonical_sequence. size counts the letters too.
+    seqs: column canonical_sequence. size counts the letters too. A batch sends on its counts, which are at
+    most 4^2 + ... + 4^longest rows, and no k-mers.
     """
-    grams = F.flatten(F.array(*[kmers(F.col("canonical_sequence"), k) for k in range(2, longest + 1)]))
-    counts = seqs.select(F.explode(grams).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def count(batches):
+        digit = np.full(256, -1, np.int64)
+        digit[np.frombuffer(ALPHABET.encode(), np.uint8)] = range(4)
+        for batch in batches:
+            # sequences end with a newline, which is no letter: no k-mer crosses it
+            text = "".join(f"{s}\n" for s in batch.column(0).to_pylist() if s)
+            x = digit[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+            tokens, counts = [], []
+            for k in range(2, longest + 1):
+                n = len(x) - k + 1
+                if n < 1:
+                    continue
+                code, good = np.zeros(n, np.int64), np.ones(n, bool)
+                for i in range(k):
+                    code = code * 4 + x[i : i + n]
+                    good &= x[i : i + n] >= 0
+                found = np.bincount(code[good], minlength=4**k)
+                some = np.flatnonzero(found)
+                letters = (some[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3
+                tokens += ["".join(ALPHABET[y] for y in row) for row in letters.tolist()]
+                counts += found[some].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], ["token", "n"])
+
+    counts = seqs.select("canonical_sequence").mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "token").limit(size - len(ALPHABET))
 
 
