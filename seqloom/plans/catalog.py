@@ -116,12 +116,65 @@ def composition_cube(spark, d):
     return rows.select(star("source_database").alias("source"), star("rna_type").alias("kind"), "n", "letters")
 
 
-@query(f"""WITH {UNIQUE}, r AS (SELECT *, substr(canonical_sequence, 1, 4) AS cluster_id FROM uniq),
+# ---- homology ----------------------------------------------------------------------------------------------------
+
+PAIRS = f"""{UNIQUE},
+km AS (SELECT DISTINCT ord, substr(canonical_sequence, i, 16) AS k FROM uniq, unnest(range(1, length - 14)) AS t(i) WHERE length >= 16),
+sz AS (SELECT ord, count(*) AS n FROM km GROUP BY ord),
+sh AS (SELECT x.ord AS a, y.ord AS b, count(*) AS shared FROM km x JOIN km y ON x.k = y.k AND x.ord < y.ord GROUP BY 1, 2),
+pairs AS (SELECT a, b, shared, shared / least(p.n, q.n) AS containment FROM sh JOIN sz p ON p.ord = a JOIN sz q ON q.ord = b WHERE shared / least(p.n, q.n) >= 0.8)"""
+
+
+def similar(spark, d):
+    return homology.containment_pairs(unique(spark, d))
+
+
+@query(f"WITH {PAIRS} SELECT a, b, shared, round(containment, 9) AS containment FROM pairs")
+def kmer_containment_pairs(spark, d):
+    return similar(spark, d).withColumn("containment", F.round("containment", 9))
+
+
+CLUSTERS = f"""{PAIRS},
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT ord, ord FROM uniq UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+comp AS (SELECT a AS ident, min(b) AS cluster_id FROM reach GROUP BY a)"""
+
+
+@query(f"WITH RECURSIVE {CLUSTERS} SELECT ident, cluster_id FROM comp")
+def homology_components(spark, d):
+    pairs = homology.checkpointed(similar(spark, d).select("a", "b"))
+    return homology.components(unique(spark, d).select(F.col("ord").alias("ident")), pairs)
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS} SELECT cluster_id, canonical_sequence_hash, length FROM comp JOIN uniq ON ord = ident
+QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY length DESC, canonical_sequence_hash) = 1""")
+def longest_per_cluster(spark, d):
+    rows = unique(spark, d)
+    clusters = homology_components(spark, d).withColumnRenamed("ident", "ord")
+    best = splits.longest_per_cluster(rows.select("ord", "canonical_sequence_hash", "length").join(clusters, "ord"))
+    return best.select("cluster_id", "canonical_sequence_hash", "length")
+
+
+def clustered(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """rows with cluster_id, the k-mer component of their canonical sequence."""
+    found = homology_components(spark, d).withColumnRenamed("ident", "ord")
+    found = unique(spark, d).select("ord", "canonical_sequence_hash").join(found, "ord").select("canonical_sequence_hash", "cluster_id")
+    return rows.join(found, "canonical_sequence_hash")
+
+
+#: The same for the rows of seqs.
+CLUSTERED = f"""{CLUSTERS}, member AS (SELECT canonical_sequence_hash, cluster_id FROM uniq JOIN comp ON ident = ord)"""
+
+
+# ---- composition and samples --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {CLUSTERED}, r AS (SELECT * FROM uniq JOIN member USING (canonical_sequence_hash)),
 k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY canonical_sequence_hash) <= 2)
 SELECT cluster_id, canonical_sequence_hash, length FROM k ORDER BY cluster_id, canonical_sequence_hash LIMIT 100""")
 def stratified_subsample(spark, d):
-    """A sampling operator: two of each prefix cluster, 100 in all."""
-    rows = unique(spark, d).withColumn("cluster_id", F.substring("canonical_sequence", 1, 4))
+    """A sampling operator: two of each cluster, 100 in all."""
+    rows = clustered(spark, d, unique(spark, d))
     return corpus.stratified_subsample(rows, "cluster_id", "canonical_sequence_hash", 2, 100).select("cluster_id", "canonical_sequence_hash", "length")
 
 
@@ -186,10 +239,10 @@ def hash_sample(spark, d):
 
 # ---- splits, leakage, releases -----------------------------------------------------------------------------------
 
-FAMILY_SQL = f"""{UNIQUE},
+FAMILY_SQL = f"""{CLUSTERED},
 fam AS (SELECT doc_id, 'F' || (doc_id * 7 % 23) AS model, quality + toxic AS score FROM labels),
 best AS (SELECT doc_id, arg_max(model, score) AS family FROM fam GROUP BY doc_id),
-clustered AS (SELECT u.*, b.family, substr(canonical_sequence, 1, 4) AS cluster_id FROM uniq u LEFT JOIN best b ON b.doc_id = u.ord),
+clustered AS (SELECT u.*, b.family, m.cluster_id FROM uniq u JOIN member m USING (canonical_sequence_hash) LEFT JOIN best b ON b.doc_id = u.ord),
 elig AS (SELECT family FROM clustered WHERE family IS NOT NULL GROUP BY family HAVING count(*) >= 10 AND count(DISTINCT cluster_id) >= 3),
 fate AS (SELECT family, CASE WHEN {FRACTION.format("'fam:' || family")} < 0.1 THEN 'family_test' WHEN {FRACTION.format("'fam:' || family")} < 0.2 THEN 'family_validation' ELSE 'train' END AS f FROM elig),
 cl AS (SELECT cluster_id, bool_or(coalesce(f = 'family_test', false)) AS t, bool_or(coalesce(f = 'family_validation', false)) AS v
@@ -202,47 +255,47 @@ assigned AS (
 
 
 def assigned(spark, d):
-    """Sequences with prefix clusters, families from labels, and their split (thresholds scaled to the tables)."""
+    """Sequences with their clusters, families from labels, and their split (thresholds scaled to the tables)."""
     labels = table(spark, d, "labels").select("doc_id", F.concat(F.lit("F"), F.col("doc_id") * 7 % 23).alias("model"), (F.col("quality") + F.col("toxic")).alias("score"))
     family = splits.best_hit(labels.withColumn("n", F.lit(0)), "doc_id", "model", "score", "n").select(F.col("doc_id").alias("ord"), F.col("model").alias("family_annotation"))
-    rows = unique(spark, d).join(family, "ord", "left").withColumn("cluster_id", F.substring("canonical_sequence", 1, 4))
+    rows = clustered(spark, d, unique(spark, d)).join(family, "ord", "left")
     return splits.assign_splits(rows, 10, 3)
 
 
-@query(f"WITH {FAMILY_SQL} SELECT canonical_sequence_hash, cluster_id, family AS family_annotation, eligible_family, split_membership FROM assigned")
+@query(f"WITH RECURSIVE {FAMILY_SQL} SELECT canonical_sequence_hash, cluster_id, family AS family_annotation, eligible_family, split_membership FROM assigned")
 def split_assign(spark, d):
     return assigned(spark, d).select("canonical_sequence_hash", "cluster_id", "family_annotation", "eligible_family", "split_membership")
 
 
-@query(f"WITH {FAMILY_SQL} SELECT split_membership, count(*) AS n, sum(length)::BIGINT AS letters FROM assigned GROUP BY 1")
+@query(f"WITH RECURSIVE {FAMILY_SQL} SELECT split_membership, count(*) AS n, sum(length)::BIGINT AS letters FROM assigned GROUP BY 1")
 def split_counts(spark, d):
     return assigned(spark, d).groupBy("split_membership").agg(F.count("*").alias("n"), F.sum("length").alias("letters"))
 
 
 # Leakage is looked for in a split that leaks: clusters of rows as they come, by the hash of the accession.
-LEAKY = f"""{SEQS}, names AS (SELECT unnest(['family_test', 'family_validation', 'test', 'train', 'validation']) AS s),
-leaky AS (SELECT *, substr(canonical_sequence, 1, 4) AS cluster_id,
-  CASE WHEN {FRACTION.format('accession')} < 0.6 THEN 'train' WHEN {FRACTION.format('accession')} < 0.7 THEN 'validation' ELSE 'test' END AS split_membership FROM seqs)"""
+LEAKY = f"""{CLUSTERED}, names AS (SELECT unnest(['family_test', 'family_validation', 'test', 'train', 'validation']) AS s),
+leaky AS (SELECT *,
+  CASE WHEN {FRACTION.format('accession')} < 0.6 THEN 'train' WHEN {FRACTION.format('accession')} < 0.7 THEN 'validation' ELSE 'test' END AS split_membership FROM seqs JOIN member USING (canonical_sequence_hash))"""
 
 
 def leaky(spark, d):
     split = S.stable_bucket(F.col("accession"), [("train", 0.6), ("validation", 0.1), ("test", 0.3)])
-    return seqs(spark, d).withColumn("cluster_id", F.substring("canonical_sequence", 1, 4)).withColumn("split_membership", split)
+    return seqs(spark, d).withColumn("split_membership", split)
 
 
-@query(f"""WITH {LEAKY}, h AS (SELECT DISTINCT canonical_sequence_hash AS h, split_membership AS s FROM leaky),
+@query(f"""WITH RECURSIVE {LEAKY}, h AS (SELECT DISTINCT canonical_sequence_hash AS h, split_membership AS s FROM leaky),
 j AS (SELECT a.s AS split_a, b.s AS split_b, count(*) AS n FROM h a JOIN h b ON a.h = b.h AND a.s < b.s GROUP BY 1, 2)
 SELECT x.s AS split_a, y.s AS split_b, coalesce(n, 0) AS n FROM names x JOIN names y ON x.s < y.s LEFT JOIN j ON j.split_a = x.s AND j.split_b = y.s""")
 def leakage_pairwise_overlap(spark, d):
     return splits.pairwise_overlap(leaky(spark, d))
 
 
-@query(f"WITH {LEAKY} SELECT count(*) AS n FROM (SELECT cluster_id FROM leaky GROUP BY 1 HAVING count(DISTINCT split_membership) > 1)")
+@query(f"WITH RECURSIVE {LEAKY} SELECT count(*) AS n FROM (SELECT cluster_id FROM leaky GROUP BY 1 HAVING count(DISTINCT split_membership) > 1)")
 def leakage_cluster_crossing(spark, d):
-    return splits.crossing_clusters(leaky(spark, d))
+    return splits.crossing_clusters(clustered(spark, d, leaky(spark, d)))
 
 
-@query(f"""WITH {FAMILY_SQL},
+@query(f"""WITH RECURSIVE {FAMILY_SQL},
 x AS (SELECT count(*) AS n FROM (SELECT canonical_sequence_hash FROM assigned GROUP BY 1 HAVING count(DISTINCT split_membership) > 1)),
 c AS (SELECT count(*) AS n FROM (SELECT cluster_id FROM assigned GROUP BY 1 HAVING count(DISTINCT split_membership) > 1)),
 t AS (SELECT count(*) AS n FROM assigned WHERE split_membership <> 'train' AND canonical_sequence_hash IN (SELECT canonical_sequence_hash FROM assigned WHERE split_membership = 'train'))
@@ -252,8 +305,7 @@ def leakage_gates(spark, d):
     return splits.leakage_gates(rows, rows.where("split_membership <> 'train'"))
 
 
-RELEASE = f"""{SEQS},
-rel AS (SELECT *, CASE WHEN {FRACTION.format("'rel:' || accession")} < 0.5 THEN 22 ELSE 23 END AS rel FROM seqs),
+RELEASE = f"""rel AS (SELECT *, CASE WHEN {FRACTION.format("'rel:' || accession")} < 0.5 THEN 22 ELSE 23 END AS rel FROM seqs),
 known AS (SELECT accession FROM rel WHERE rel = 22), train AS (SELECT DISTINCT canonical_sequence_hash FROM rel WHERE rel = 22)"""
 
 
@@ -262,7 +314,7 @@ def releases(spark, d):
     return rows, rows.where("rel = 22")
 
 
-@query(f"""WITH {RELEASE} SELECT r.accession, CASE WHEN k.accession IS NOT NULL THEN 'in_release22' WHEN t.canonical_sequence_hash IS NOT NULL THEN 'exact_overlap_train' ELSE 'new' END AS reason,
+@query(f"""WITH {SEQS}, {RELEASE} SELECT r.accession, CASE WHEN k.accession IS NOT NULL THEN 'in_release22' WHEN t.canonical_sequence_hash IS NOT NULL THEN 'exact_overlap_train' ELSE 'new' END AS reason,
   k.accession IS NULL AND t.canonical_sequence_hash IS NULL AS keep
 FROM rel r LEFT JOIN known k USING (accession) LEFT JOIN train t USING (canonical_sequence_hash)""")
 def release_classify(spark, d):
@@ -277,31 +329,31 @@ def release_anti_accession(spark, d):
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
-@query(f"WITH {RELEASE} SELECT accession, canonical_sequence_hash FROM rel WHERE rel = 23 AND canonical_sequence_hash NOT IN (SELECT canonical_sequence_hash FROM train)")
+@query(f"WITH {SEQS}, {RELEASE} SELECT accession, canonical_sequence_hash FROM rel WHERE rel = 23 AND canonical_sequence_hash NOT IN (SELECT canonical_sequence_hash FROM train)")
 def release_anti_hash(spark, d):
     rows, old = releases(spark, d)
     return rows.where("rel = 23").join(old, "canonical_sequence_hash", "left_anti").select("accession", "canonical_sequence_hash")
 
 
-@query(f"WITH {RELEASE} SELECT count(DISTINCT canonical_sequence_hash) AS n FROM rel WHERE rel = 23 AND canonical_sequence_hash IN (SELECT canonical_sequence_hash FROM train)")
+@query(f"WITH {SEQS}, {RELEASE} SELECT count(DISTINCT canonical_sequence_hash) AS n FROM rel WHERE rel = 23 AND canonical_sequence_hash IN (SELECT canonical_sequence_hash FROM train)")
 def overlap_semi_count(spark, d):
     rows, old = releases(spark, d)
     return splits.exact_overlap(rows.where("rel = 23"), old)
 
 
-@query(f"""WITH {RELEASE}, m AS (SELECT min(ord) OVER (PARTITION BY substr(canonical_sequence, 1, 6)) AS rep, ord, rel, accession FROM rel WHERE length >= 16),
+@query(f"""WITH RECURSIVE {CLUSTERED}, {RELEASE},
+m AS (SELECT cluster_id AS rep, ord, rel FROM rel JOIN member USING (canonical_sequence_hash) WHERE length >= 16),
 tainted AS (SELECT DISTINCT rep FROM m WHERE rel = 22)
 SELECT r.accession FROM rel r LEFT JOIN m USING (ord) WHERE r.rel = 23 AND coalesce(m.rep, r.ord) NOT IN (SELECT rep FROM tainted)""")
 def cluster_anti(spark, d):
-    """New sequences outside the prefix clusters that hold old ones; short sequences are in no cluster."""
+    """New sequences outside the clusters that hold old ones; sequences too short for a k-mer are in no cluster."""
     rows, _ = releases(spark, d)
-    long = rows.where("length >= 16").withColumn("p", F.substring("canonical_sequence", 1, 6))
-    members = long.join(long.groupBy("p").agg(F.min("ord").alias("rep")), "p").select("rep", F.col("ord").alias("member"))
+    members = clustered(spark, d, rows.where("length >= 16")).select(F.col("cluster_id").alias("rep"), F.col("ord").alias("member"))
     labels = rows.select(F.col("ord").alias("ident"), (F.col("rel") == 22).alias("is_train"))
     return splits.cluster_anti(rows.where("rel = 23"), members, labels, "ord").select("accession")
 
 
-@query(f"WITH {RELEASE} SELECT rel, count(*) AS n, sum(length)::BIGINT AS letters FROM rel GROUP BY rel")
+@query(f"WITH {SEQS}, {RELEASE} SELECT rel, count(*) AS n, sum(length)::BIGINT AS letters FROM rel GROUP BY rel")
 def union_releases_counts(spark, d):
     rows, old = releases(spark, d)
     both = union_releases([old, rows.where("rel = 23").drop("release")])
@@ -325,45 +377,6 @@ def db_map_first_wins(spark, d):
     return joined.groupBy("source_database", F.coalesce("db", F.lit("UNKNOWN_MAPPING")).alias("mapped")).agg(F.count("*").alias("n"))
 
 
-# ---- homology ----------------------------------------------------------------------------------------------------
-
-PAIRS = f"""{UNIQUE},
-km AS (SELECT DISTINCT ord, substr(canonical_sequence, i, 16) AS k FROM uniq, unnest(range(1, length - 14)) AS t(i) WHERE length >= 16),
-sz AS (SELECT ord, count(*) AS n FROM km GROUP BY ord),
-sh AS (SELECT x.ord AS a, y.ord AS b, count(*) AS shared FROM km x JOIN km y ON x.k = y.k AND x.ord < y.ord GROUP BY 1, 2),
-pairs AS (SELECT a, b, shared, shared / least(p.n, q.n) AS containment FROM sh JOIN sz p ON p.ord = a JOIN sz q ON q.ord = b WHERE shared / least(p.n, q.n) >= 0.8)"""
-
-
-def similar(spark, d):
-    return homology.containment_pairs(unique(spark, d))
-
-
-@query(f"WITH {PAIRS} SELECT a, b, shared, round(containment, 9) AS containment FROM pairs")
-def kmer_containment_pairs(spark, d):
-    return similar(spark, d).withColumn("containment", F.round("containment", 9))
-
-
-CLUSTERS = f"""{PAIRS},
-links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-reach(a, b) AS (SELECT ord, ord FROM uniq UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
-comp AS (SELECT a AS ident, min(b) AS cluster_id FROM reach GROUP BY a)"""
-
-
-@query(f"WITH RECURSIVE {CLUSTERS} SELECT ident, cluster_id FROM comp")
-def homology_components(spark, d):
-    pairs = homology.checkpointed(similar(spark, d).select("a", "b"))
-    return homology.components(unique(spark, d).select(F.col("ord").alias("ident")), pairs)
-
-
-@query(f"""WITH RECURSIVE {CLUSTERS} SELECT cluster_id, canonical_sequence_hash, length FROM comp JOIN uniq ON ord = ident
-QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY length DESC, canonical_sequence_hash) = 1""")
-def longest_per_cluster(spark, d):
-    rows = unique(spark, d)
-    clusters = homology_components(spark, d).withColumnRenamed("ident", "ord")
-    best = splits.longest_per_cluster(rows.select("ord", "canonical_sequence_hash", "length").join(clusters, "ord"))
-    return best.select("cluster_id", "canonical_sequence_hash", "length")
-
-
 @query(f"""WITH {PAIRS}, p AS (SELECT ord, {PART_SQL} AS part FROM uniq),
 h AS (SELECT x.ord AS q, y.ord AS t, count(*) AS shared FROM km x JOIN km y ON x.k = y.k JOIN p a ON a.ord = x.ord AND a.part = 'holdout' JOIN p b ON b.ord = y.ord AND b.part = 'train' GROUP BY 1, 2)
 SELECT DISTINCT q FROM h JOIN sz ON sz.ord = q WHERE shared >= 0.8 * n""")

@@ -9,7 +9,7 @@ from ..functions import sequence as S
 from ..functions import tokenizers as K
 from ..operators import arms, coding, corpus, scoring
 from ..views import SEQS, seqs, table
-from .catalog import BASE4, ENTROPY_SQL, MARKOV, Q_PREFIX, QUERIES, RATIOS, SQL, UNIQUE, markov_probs, parted, query
+from .catalog import BASE4, CLUSTERED, ENTROPY_SQL, MARKOV, Q_PREFIX, QUERIES, RATIOS, SQL, UNIQUE, clustered, markov_probs, parted, query
 
 # ---- scores of arms ----------------------------------------------------------------------------------------------
 
@@ -291,12 +291,12 @@ def representatives(spark, d):
     return rows.select("canonical_sequence_hash", "num_accessions", F.split("accessions", "\t")[0].alias("representative"))
 
 
-@query(f"""WITH {SEQS}, c AS (SELECT *, substr(canonical_sequence, 1, 4) AS cluster_id FROM seqs)
+@query(f"""WITH RECURSIVE {CLUSTERED}, c AS (SELECT * FROM seqs JOIN member USING (canonical_sequence_hash))
 SELECT 'rna_type' AS "column", rna_type AS value, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT 'length_bin', length_bin, count(*) FROM c GROUP BY 2
 UNION ALL SELECT 'cluster_id', NULL, count(DISTINCT cluster_id) FROM c""")
 def strata_summary(spark, d):
-    """Rows of each value of each column, and how many distinct clusters (by their first letters) there are."""
-    rows = seqs(spark, d).withColumn("cluster_id", F.substring("canonical_sequence", 1, 4))
+    """Rows of each value of each column, and how many distinct clusters there are."""
+    rows = clustered(spark, d, seqs(spark, d))
     return corpus.strata_summary(rows, ["rna_type", "length_bin"], "cluster_id")
 
 

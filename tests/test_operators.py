@@ -280,3 +280,23 @@ def test_two_sinks(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "p"))
     writers.write_by_alphabet(rows, str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w")).where("alphabet_status = 'primary'").count() == 2
+
+
+def test_homologs_with_different_starts_share_a_cluster_and_a_split(spark, tmp_path):
+    import random
+
+    from seqloom.plans import catalog
+
+    rng = random.Random(8)
+    base = ["".join(rng.choices("ACGU", k=300)) for _ in range(20)]
+    texts = [*base, *["".join(rng.choices("ACGU", k=9)) + s[9:] for s in base], "ACGU", "ACGU", "", None]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame([(k, t, "en", "web") for k, t in enumerate(texts)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1.0, 0.0) for k in range(40)], "doc_id long, quality double, toxic double").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = catalog.assigned(spark, str(tmp_path)).select("ord", "cluster_id", "split_membership").collect()
+    assert {r.ord: r.cluster_id for r in rows} == {k: k % 20 for k in range(40)} | {40: 40, 42: 42}
+    assert len({(r.cluster_id, r.split_membership) for r in rows}) == 22
+    old = {r.accession for r in catalog.releases(spark, str(tmp_path))[1].collect()}
+    kept = {r.accession for r in catalog.cluster_anti(spark, str(tmp_path)).collect()}
+    new = [k for k in range(44) if f"URS{k}" not in old]
+    assert kept == {f"URS{k}" for k in new if k >= 40 or f"URS{(k + 20) % 40}" not in old}
