@@ -86,6 +86,10 @@ def test_masks_join_every_pair():
         for _ in range(300):
             different = sum(1 << b for b in rng.sample(range(64), 4))
             assert any(different & m == 0 for m in metrics)
+        metrics = masks(points, 10, 8_192)
+        for _ in range(100):
+            different = sum(1 << b for b in rng.sample(range(64), 10))
+            assert any(different & m == 0 for m in metrics)
 
 
 def test_the_tree_prunes_and_loses_no_link():
@@ -123,12 +127,68 @@ def test_near_copies(spark):
     want = [(d, f"{p:016x}", least[r]) for (d, _), p, r in zip(rows, prints, root)]
     docs = spark.createDataFrame([(d, t, 1, "y") for d, t in rows], "doc_id long, text string, fp int, component_id string")
     assert sorted((tuple(r)[:3] for r in near_copies(docs).collect()), key=str) == sorted(want, key=str)
-    kept = drop_near_copies(docs)
+    kept = drop_near_copies(docs, 4, 4, 1)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _, c in want if d == c), key=str)
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def wide_rows(rng):
+    points = [rng.getrandbits(128) for _ in range(500)]
+    for c in points[:10]:
+        near = c
+        for _ in range(30):
+            near ^= sum(1 << b for b in rng.sample(range(128), 9))
+            points.append(near)
+    points += [points[20] ^ sum(1 << b for b in rng.sample(range(128), rng.choice([4, 10, 20]))) for _ in range(300)]
+    points += [points[30] ^ (1 << 64 + b) for b in range(30)]  # equal first words
+    return sorted(set(points))
+
+
+def test_wide_fingerprints_join_the_same_components(spark):
+    points = wide_rows(random.Random(12))
+    words = [[p & (1 << 64) - 1 for p in points], [p >> 64 for p in points]]
+    pairs = [(a, b) for a in range(len(points)) for b in range(a) if (points[a] ^ points[b]).bit_count() <= 20]
+    want = components(len(points), pairs)
+    signed = [np.array(w, np.uint64).view(np.int64).tolist() for w in words]
+    frame = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(zip(*signed))], "fp long, fp1 long, node long")
+    for limit, target in ((20_000, 8_192), (20_000, 100), (60, 100)):
+        links = [(r.u, r.v) for r in hamming_links(frame, 20, limit, target, 2).collect()]
+        assert set(links) <= {(a, b) for p in pairs for a, b in (p, p[::-1])}
+        assert components(len(points), links) == want
+
+
+def test_a_dense_component_is_walked(spark):
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    core = rng.getrandbits(128)
+    points = list({core ^ sum(1 << b for b in rng.sample(range(128), 5)) for _ in range(4_000)}) + [rng.getrandbits(128) for _ in range(500)]
+    x = [np.array([p >> s & (1 << 64) - 1 for p in points], np.uint64).view(np.int64) for s in (0, 64)]
+    zero = np.zeros(len(points), np.int64)
+    shards = Shards(20, [0, 0], 2)
+    found = shards.links(pa.table({"fp": x[0], "fp1": x[1], "node": np.arange(len(points)), "metric": zero, "shard": zero, "part": zero}))
+    dense = len(points) - 500
+    assert components(len(points), list(zip(*(c.to_pylist() for c in found.columns)))) == [0] * dense + list(range(dense, len(points)))
+    assert shards.compared < 0.5 * len(points) ** 2 / 2 and shards.pruned + shards.compared == len(points) * (len(points) - 1) // 2
+
+
+def test_drop_near_copies_at_a_similarity_of_0_8(spark):
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(3_000)]
+    base = [rng.choices(words, k=400) for _ in range(60)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(base)]
+    for k, t in enumerate(base):
+        own = t[:]
+        for at in (50, 150, 250, 350)[: 3 if k < 40 else 4]:
+            own[at] = "changed"
+        # 15 of 396 shingles differ: a similarity of 0.93; or a whole fourth of the text does: 0.6 at most
+        rows.append((100 + k, " ".join(own if k < 40 else own[:290] + rng.choices(words, k=110))))
+    kept = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(60))
+    assert len(kept & set(range(100, 140))) <= 2 and len(kept & set(range(140, 160))) >= 18
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     rows = []

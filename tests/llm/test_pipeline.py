@@ -33,8 +33,8 @@ def exact(rows):
 
 
 def near(rows):
-    prints = [fingerprint((r[1] or "").encode()) for r in rows]
-    root = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 4])
+    prints = [fingerprint((r[1] or "").encode(), 5, 2) for r in rows]
+    root = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 20])
     least = {}
     for r, c in zip(rows, root):
         least[c] = min(least.get(c, r[0]), r[0])
