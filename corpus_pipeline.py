@@ -8,7 +8,7 @@ the next one's are written.
 
     quality        rejects what the weak-label quality classifier finds bad
     exact_dedup    of equal normalised texts the smallest id stays
-    near_dedup     of SimHash neighbours (4 bits, 4-word shingles) the smallest id stays
+    near_dedup     of SimHash neighbours (five-word shingles, a similarity of 0.8: 20 of 128 bits) the smallest id stays
     mixing         sources at an entropy of 95 % of the largest, none read more than twice
     packing        sequences of 4096 tokens
 """
