@@ -70,8 +70,8 @@ TARGET, SHARD_LIMIT = 2_048, 20_000
 TARGET_WORDS = 8_192
 #: Points of a leaf of the tree, which are compared with each other.
 LEAF = 256
-#: Points of a side of one comparison in numpy.
-TILE = 768
+#: Points of the two sides of one comparison in numpy, which stays in a core's cache.
+ROWS, TILE = 128, 768
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -167,9 +167,10 @@ class Shards:
     def _own(self, x: np.ndarray, y: np.ndarray, metric: int) -> np.ndarray:
         """Pairs (rows of words) that no metric before theirs joins."""
         different, own = x ^ y, np.ones(len(x), bool)
+        far = np.bitwise_count(different) > self.radius // self.size
         each = len(self.masks) // self.size
         for k in range(metric):
-            own &= different[:, k // each] & self.masks[k] != 0
+            own &= (different[:, k // each] & self.masks[k] != 0) | far[:, k // each]
         return own
 
     def _far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,17 +181,26 @@ class Shards:
         return far
 
     def _cross(self, x, a, b, metric, forest) -> None:
-        """Compares all of a with all of b, or a with itself, in tiles."""
+        """Compares all of a with all of b, or a with itself, in tiles.
+
+        A metric answers for pairs within radius // size in its own word; only these are compared in all words.
+        """
         same = b is None
         b = a if same else b
         self.compared += len(a) * (len(a) - 1) // 2 if same else len(a) * len(b)
-        for i in range(0, len(a), TILE):
+        word = metric * self.size // len(self.masks)
+        xa, xb = x[a, word], x[b, word]
+        for i in range(0, len(a), ROWS):
             for j in range(i if same else 0, len(b), TILE):
-                ia, jb = a[i : i + TILE], b[j : j + TILE]
-                p, q = np.nonzero(self._far(x[ia], x[jb]) <= self.radius)
-                p, q = ia[p], jb[q]
-                if same and i == j:
+                near = np.bitwise_count(xa[i : i + ROWS, None] ^ xb[None, j : j + TILE]) <= self.radius // self.size
+                p, q = np.divmod(np.flatnonzero(near), near.shape[1])
+                p, q = p + i, q + j
+                if same:
                     p, q = p[p < q], q[p < q]
+                p, q = a[p], b[q]
+                if self.size > 1:
+                    near = np.bitwise_count(x[p] ^ x[q]).sum(axis=1) <= self.radius
+                    p, q = p[near], q[near]
                 own = self._own(x[p], x[q], metric)
                 forest.add(p[own], q[own])
 
