@@ -105,7 +105,7 @@ su AS (SELECT source_database, sum(coalesce(b, 0)) AS b, sum(coalesce(q, 0)) AS
        FROM tr LEFT JOIN bt USING (ord) WHERE part = 'holdout' GROUP BY 1)
 SELECT source_database, 0 AS coded_bits, round(q, 5) AS quantized_nll_bits, round(b, 5) AS canonical_nll_bits, round(b, 5) AS next_base_nll_bits, nt AS valid_nt, 0 AS eos_nll, n AS sequence_count,
   n AS attempted_count, 0 AS decoded_count, n - bad AS valid_count, bad AS invalid_count, 0 AS early_eos_count, cut AS truncation_count, 0 AS overshoot_count, 0 AS illegal_transition_mass,
-  CASE WHEN nt > 0 THEN 0.0 ELSE -1 END AS canonical_code_length_bpn, CASE WHEN nt > 0 THEN round(b / nt, 8) ELSE -1 END AS canonical_code_nll_bpn,
+  (CASE WHEN nt > 0 THEN 0.0 ELSE -1 END)::DOUBLE AS canonical_code_length_bpn, CASE WHEN nt > 0 THEN round(b / nt, 8) ELSE -1 END AS canonical_code_nll_bpn,
   CASE WHEN nt > 0 THEN round(q / nt, 8) ELSE -1 END AS quantized_cdf_nll_bpn, CASE WHEN nt > 0 THEN round(b / nt, 8) ELSE -1 END AS next_base_bpn FROM su""")
 def codec_diagnostics(spark, d):
     """Fifteen counters and four ratios of each source without coding a stream (a ratio without letters is -1 here)."""
