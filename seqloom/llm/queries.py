@@ -1,4 +1,4 @@
-"""The corpus queries op1 to op10, with production parameters, and their SQL."""
+"""The corpus queries op1 to op13, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .line_dedup import line_report
 from .mixing import mix_report
 from .packing import pack_documents
+from .phrases import collocations
 from .quality import quality_report
 from .secret_scan import secret_report
 from .simhash_dedup import near_copies
@@ -66,6 +67,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +84,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_token_counts,
         op10_line_dedup,
+        op12_phrase_collocations,
     )
 }
 
@@ -156,4 +162,30 @@ SQL = {
         SELECT k.doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
                sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
         FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY k.doc_id""",
+    "op12_phrase_collocations": r"""
+        WITH pieces AS (
+          SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents)),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+        f AS (
+          SELECT lang, p, count(*) AS n FROM (
+            SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS p FROM pieces, range(1, 5) AS u(k) WHERE len(w) >= k)
+          GROUP BY lang, p HAVING count(*) >= 30),
+        c AS (SELECT lang, p, n AS a FROM f WHERE len(p) > 1),
+        cuts AS (
+          SELECT c.lang, c.p, c.a, k, l.n AS l, r.n AS r, ((2000000::HUGEINT * c.a) // (l.n + r.n))::BIGINT AS score
+          FROM (SELECT *, unnest(range(1, len(p))) AS k FROM c) c
+          JOIN f l ON l.lang = c.lang AND l.p = list_slice(c.p, 1, k)
+          JOIN f r ON r.lang = c.lang AND r.p = list_slice(c.p, k + 1, len(c.p))),
+        weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        held AS (
+          SELECT lang, part, max(a) AS longer FROM (
+            SELECT lang, a, unnest(list_transform(range(1, len(p) - k + 2), lambda i: list_slice(p, i, i + k - 1))) AS part FROM c, range(2, 4) AS u(k) WHERE len(p) > k)
+          GROUP BY lang, part),
+        ranked AS (
+          SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, score
+          FROM weakest w LEFT JOIN held h ON h.lang = w.lang AND h.part = w.p WHERE h.longer IS NULL OR 100 * h.longer::HUGEINT < 80 * a::HUGEINT)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
