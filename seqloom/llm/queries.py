@@ -9,6 +9,7 @@ from .common import table
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_groups
 from .line_dedup import line_report
+from .merkle import manifest_report
 from .mixing import mix_report
 from .packing import pack_documents
 from .phrases import collocations
@@ -71,6 +72,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES = {
         op9_token_counts,
         op10_line_dedup,
         op12_phrase_collocations,
+        op13_merkle_manifest,
     )
 }
 
@@ -105,6 +111,17 @@ def _digits(parts: str) -> str:
     return f"('0x' || substr(sha256('mix-1|' || {parts}), 1, 8))::BIGINT"
 
 
+#: CRC-32 of a string of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce([4294967295::UBIGINT] || [ord(c)::UBIGINT for c in string_split({text}, '')],
+             lambda s, b: list_reduce([xor(s, b)] || [0::UBIGINT for z in range(8)],
+             lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)), 4294967295::UBIGINT)"""
+
+
+def _leaf(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
 SQL = {
     "op1_embedding_near_dedup": """
         WITH RECURSIVE v AS (
@@ -188,4 +205,32 @@ SQL = {
           SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, score
           FROM weakest w LEFT JOIN held h ON h.lang = w.lang AND h.part = w.p WHERE h.longer IS NULL OR 100 * h.longer::HUGEINT < 80 * a::HUGEINT)
         SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+          SELECT row_number() OVER () AS id, doc_id, coalesce('1' || source, '0') AS tree, {_leaf("text")} AS leaf,
+                 CASE WHEN doc_id IS NOT NULL AND {_CRC.format(text="doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS changed FROM documents),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+        nodes(tree, level, i, n, d) AS (
+          SELECT tree, 0, i, n, leaf FROM placed UNION ALL
+          SELECT tree, level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 3),
+        subroots AS (SELECT tree, d, level AS high, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        above(level, i, n, d) AS (
+          SELECT 0, i, n, d FROM subroots UNION ALL
+          SELECT level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY level, i // 3),
+        siblings AS (
+          SELECT id, 0 AS part, level, s.i, s.d FROM placed p JOIN nodes s ON s.tree = p.tree AND s.n > 1 AND s.i // 3 = p.i // (3 ** (level + 1))::BIGINT AND s.i <> p.i // (3 ** level)::BIGINT
+          UNION ALL
+          SELECT id, 1, level, s.i, s.d FROM placed p JOIN subroots r USING (tree) JOIN above s ON s.n > 1 AND s.i // 3 = r.i // (3 ** (level + 1))::BIGINT AND s.i <> r.i // (3 ** level)::BIGINT),
+        proofs AS (SELECT id, string_agg(d, '' ORDER BY part, level, i) AS proof FROM siblings GROUP BY id),
+        low(id, tree, level, i, n, d) AS (
+          SELECT id, tree, 0, i, n, coalesce(changed, leaf) FROM placed UNION ALL
+          SELECT l.id, any_value(l.tree), l.level + 1, any_value(l.i) // 3, (any_value(l.n) + 2) // 3, sha256(string_agg(CASE WHEN s.i = l.i THEN l.d ELSE s.d END, '' ORDER BY s.i))
+          FROM low l JOIN nodes s ON s.tree = l.tree AND s.level = l.level AND s.i // 3 = l.i // 3 WHERE l.n > 1 GROUP BY l.id, l.level),
+        high(id, level, i, n, d) AS (
+          SELECT l.id, 0, r.i, r.n, l.d FROM low l JOIN subroots r USING (tree) WHERE l.n = 1 UNION ALL
+          SELECT l.id, l.level + 1, any_value(l.i) // 3, (any_value(l.n) + 2) // 3, sha256(string_agg(CASE WHEN s.i = l.i THEN l.d ELSE s.d END, '' ORDER BY s.i))
+          FROM high l JOIN above s ON s.level = l.level AND s.i // 3 = l.i // 3 WHERE l.n > 1 GROUP BY l.id, l.level)
+        SELECT p.doc_id, p.leaf, r.d AS subroot, a.d AS root, sha256(coalesce(proof, '')) AS proof_sha256, h.d AS folded_root, h.d = a.d AS verified
+        FROM placed p JOIN subroots r USING (tree) JOIN (SELECT d FROM above WHERE n = 1) a ON true LEFT JOIN proofs USING (id) JOIN (SELECT id, d FROM high WHERE n = 1) h USING (id)""",
 }
