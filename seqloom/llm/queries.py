@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_groups
+from .language_id import language_report
 from .line_dedup import line_report
 from .merkle import manifest_report
 from .mixing import mix_report
@@ -68,6 +69,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_token_counts,
         op10_line_dedup,
+        op11_language_id,
         op12_phrase_collocations,
         op13_merkle_manifest,
     )
