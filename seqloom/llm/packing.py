@@ -12,8 +12,11 @@ document has one at the most; they are dealt by a hash into shards of a bounded
 number of documents, and each shard is packed by itself. Within a shard pieces go in falling length; each is put where
 the sum over gaps g of N(g)^2 becomes smallest, N(g) being the number of open
 bins with g free places (ties: the smallest gap; an open bin before a new one).
-A shard can waste a few bins, so shards are large and their number grows with
-the input: the share of waste does not.
+The rule keeps open bins of many gaps, so a few too many are left at the end. They
+are repaired: the pieces of the least filled bins, of twice as many each time, are
+packed anew by best fit until no bin is left over, all bins of the shard being the
+last try. What a shard still wastes is then in its emptiest bin; the pieces of these
+bins are dealt to shards again, and so on until one shard has them all.
 
 Null text counts as empty and gives one piece of the end id alone; a null id is
 carried through; repeated rows are packed each on its own; texts of any length
@@ -155,26 +158,88 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
+def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each length, placed in the order given into the smallest gap that holds it."""
+    gaps, stacks, bins = 0, [[] for _ in range(capacity + 1)], np.empty(len(lengths), np.int64)  # gaps: a bit for each gap of an open bin
+    n = 0
+    for i, s in enumerate(lengths.tolist()):
+        fitting = gaps >> s
+        if fitting:
+            gap = s + (fitting & -fitting).bit_length() - 1
+            b = stacks[gap].pop()
+            if not stacks[gap]:
+                gaps ^= 1 << gap
+        else:
+            gap, b, n = capacity, n, n + 1
+        bins[i] = b
+        if gap > s:
+            stacks[gap - s].append(b)
+            gaps |= 1 << gap - s
+    return bins
+
+
+def repaired(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """bins (numbers from 0) with the least filled ones packed anew where that saves some; lengths are falling."""
+    n = int(bins.max()) + 1 if len(bins) else 0
+    fewest, pool = -(-int(lengths.sum()) // capacity), 4
+    while n > fewest and pool < 2 * n:
+        used = np.bincount(bins, weights=lengths, minlength=n)
+        low = np.zeros(n, bool)
+        low[np.argsort(used, kind="stable")[:pool]] = True
+        of_low = low[bins]
+        again = best_fit(lengths[of_low], capacity)
+        if again.max() + 1 < low.sum():
+            number = np.cumsum(~low) - 1
+            bins = np.where(of_low, 0, number[bins])
+            bins[of_low] = again + int((~low).sum())
+            n = int(bins.max()) + 1
+        pool *= 2
+    return bins
+
+
+def offsets_in(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Place of each length in its bin, one after another in the order given."""
+    order = np.argsort(bins, kind="stable")
+    ends = np.cumsum(lengths[order])
+    begins = ends - lengths[order]
+    first = np.flatnonzero(np.diff(bins[order], prepend=-1))
+    out = np.empty(len(lengths), np.int64)
+    out[order] = begins - np.repeat(begins[first], np.diff(np.append(first, len(order))))
+    return out
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """pieces with sequence_id and offset: a gapless layout of sequences of at most capacity tokens.
 
-    sequence_id is the shard times 2^32 plus the bin's number in it; pieces of
+    sequence_id is the round times 2^52, the shard times 2^32 and the bin's number in it added up; pieces of
     full capacity count down from -1.
     """
     pieces = checkpointed(pieces)  # 40 bytes a row: the texts are tokenised once for both kinds
     whole, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
-    shards = max(1, -(-rest.count() // shard_docs))
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, group["offset"] = sum_of_squares(group["length"].to_numpy(), capacity)
-        group["sequence_id"] = (key[0] << 32) + bins
-        return group.drop(columns="shard")
-
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(shards)))
-    packed = dealt.groupBy("shard").applyInPandas(run, f"{PIECES}, offset bigint, sequence_id bigint")
-    alone = whole.select("*", F.lit(0).cast("long").alias("offset"), (-1 - F.monotonically_increasing_id()).alias("sequence_id"))
-    return packed.unionByName(alone)
+
+    def packer(turn: int, shards: int):
+        def run(key, group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+            lengths = group["length"].to_numpy()
+            bins = repaired(lengths, sum_of_squares(lengths, capacity)[0], capacity)
+            group["offset"] = offsets_in(lengths, bins)
+            group["sequence_id"] = (turn << 52) + (key[0] << 32) + bins
+            emptiest = np.bincount(bins, weights=lengths).argmin()
+            group["open"] = (bins == emptiest) & (shards > 1)
+            return group.drop(columns="shard")
+
+        return run
+
+    out, turn = whole.select("*", F.lit(0).cast("long").alias("offset"), (-1 - F.monotonically_increasing_id()).alias("sequence_id")), 0
+    while True:
+        shards = max(1, -(-rest.count() // shard_docs))
+        shard = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(turn)), F.lit(shards))
+        packed = rest.withColumn("shard", shard).groupBy("shard").applyInPandas(packer(turn, shards), f"{PIECES}, offset bigint, sequence_id bigint, open boolean")
+        if shards == 1:
+            return out.unionByName(packed.drop("open"))
+        packed, turn, before = checkpointed(packed), turn + 1, shards
+        out = out.unionByName(packed.where("not open").drop("open"))
+        rest = packed.where("open").drop("open", "offset", "sequence_id")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from seqloom.llm.packing import PretokenTable, pack_documents, sum_of_squares  # noqa: E402
+from seqloom.llm.packing import PretokenTable, best_fit, offsets_in, pack_documents, repaired, sum_of_squares  # noqa: E402
 from seqloom.llm.token_counts import RankMerger, token_counts  # noqa: E402
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -151,3 +151,26 @@ def test_packing_in_several_shards(spark):
             assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
         assert all(len(parts) == 1 for s, parts in sequences.items() if s < 0)
         assert len(sequences) <= -(-sum(r.length for r in out) // 4096) + (1 if out is one else 9)
+
+
+def test_best_fit_and_repair_against_plain_versions():
+    rng = np.random.default_rng(7)
+    for capacity, n in ((10, 60), (100, 300), (4096, 300), (4096, 5000)):
+        lengths = np.sort(rng.integers(1, capacity, n))[::-1]
+        used = []
+        for s, b in zip(lengths.tolist(), best_fit(lengths, capacity).tolist()):
+            fits = [capacity - u for u in used if capacity - u >= s]
+            if n <= 300:
+                assert (b < len(used)) == bool(fits) and (not fits or capacity - used[b] == min(fits))
+            if b == len(used):
+                used.append(0)
+            used[b] += s
+        before = sum_of_squares(lengths, capacity)[0]
+        bins = repaired(lengths, before, capacity)
+        full = np.bincount(bins, weights=lengths)
+        assert full.max() <= capacity and full.min() > 0 and len(full) <= min(before.max() + 1, len(used))
+        at = offsets_in(lengths, bins)
+        for b in range(0, len(full), 29):
+            o = np.argsort(at[bins == b])
+            assert (np.cumsum(lengths[bins == b][o]) - lengths[bins == b][o] == at[bins == b][o]).all()
+    assert len(repaired(np.array([], int), np.array([], int), 8)) == 0
