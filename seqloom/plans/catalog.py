@@ -12,7 +12,7 @@ from ..functions import sequence as S
 from ..functions import tokenizers as K
 from ..functions.splitmix import splitmix_draw
 from ..operators import baselines as B
-from ..operators import bpe, coding, corpus, homology, metrics, runs, segments, splits
+from ..operators import bpe, clusters, coding, corpus, homology, metrics, runs, segments, splits
 from ..sources.readers import union_releases
 from ..streaming import ingest
 from ..views import SEQS, seqs, table
@@ -146,24 +146,114 @@ def homology_components(spark, d):
     return homology.components(unique(spark, d).select(F.col("ord").alias("ident")), pairs)
 
 
-@query(f"""WITH RECURSIVE {CLUSTERS} SELECT cluster_id, canonical_sequence_hash, length FROM comp JOIN uniq ON ord = ident
-QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY length DESC, canonical_sequence_hash) = 1""")
-def longest_per_cluster(spark, d):
-    rows = unique(spark, d)
-    clusters = homology_components(spark, d).withColumnRenamed("ident", "ord")
-    best = splits.longest_per_cluster(rows.select("ord", "canonical_sequence_hash", "length").join(clusters, "ord"))
-    return best.select("cluster_id", "canonical_sequence_hash", "length")
+def kmers_sql(name: str, rows: str) -> str:
+    """Distinct 14-mers of rows, base-4, with where each is first and its hash."""
+    code = " + ".join(f"(ascii(substr(x, i + {j}, 1)) - 48) * {4 ** (13 - j)}::BIGINT" for j in range(14))
+    return f"""{name} AS (SELECT *, (code * {clusters.FACTOR} + 11) % {clusters.PRIME} AS h FROM (
+  SELECT ord, length, code, min(pos) AS pos FROM (
+    SELECT ord, length, i - 1 AS pos, {code} AS code FROM (SELECT ord, length, translate(canonical_sequence, 'ACGU', '0123') AS x FROM {rows}), unnest(range(1, length - 12)) AS t(i) WHERE length >= 14)
+  GROUP BY ord, length, code))"""
+
+
+def aligned_sql(name: str, members: str, centres: str, sent: str, top: str) -> str:
+    """Aligned pairs of the members' k-mers with the longest sequence of each k-mer."""
+    return f"""{name}_top AS (SELECT * FROM {top} QUALIFY row_number() OVER (PARTITION BY code ORDER BY length DESC, ord) = 1),
+{name}_met AS (SELECT s.ord AS member, t.ord AS centre, t.pos - s.pos AS diagonal, count(*) AS votes FROM {sent} s JOIN {name}_top t USING (code) GROUP BY 1, 2, 3),
+{name}_best AS (SELECT * FROM {name}_met QUALIFY row_number() OVER (PARTITION BY member, centre ORDER BY votes DESC, diagonal) = 1),
+{name}_over AS (SELECT member, centre, diagonal, m.canonical_sequence AS a, c.canonical_sequence AS b, m.length AS ml, c.length AS cl, greatest(0, -diagonal) AS bg,
+    least(m.length, c.length - diagonal) - greatest(0, -diagonal) AS ov
+  FROM {name}_best JOIN {members} m ON m.ord = member JOIN {centres} c ON c.ord = centre),
+{name} AS (SELECT member, centre, ml, cl, 1 - d / ov AS identity, ov / ml AS coverage FROM (
+    SELECT *, levenshtein(substr(a, bg + 1, ov), substr(b, bg + diagonal + 1, ov)) AS d FROM {name}_over WHERE ov * 100 >= ml * 80)
+  WHERE d <= ov * 20 // 100)"""
+
+
+def linear_sql(name: str, rows: str) -> str:
+    """name(ident, cluster_id): greedy set cover of the aligned pairs of rows; {name}_links are the pairs."""
+    sent = f"{name}_sent AS (SELECT * FROM {name}_km QUALIFY row_number() OVER (PARTITION BY ord ORDER BY h, code) <= 20)"
+    return f"""{kmers_sql(name + "_km", rows)}, {sent}, {aligned_sql(name + "_pairs", rows, rows, name + "_sent", name + "_sent")},
+{name}_links AS (SELECT * FROM {name}_pairs WHERE member <> centre),
+{name}_place AS (SELECT ord, row_number() OVER (ORDER BY coalesce(n, 0) DESC, length DESC, ord) AS place FROM {rows} LEFT JOIN (SELECT centre, count(*) AS n FROM {name}_links GROUP BY 1) ON centre = ord),
+{name}_ahead AS (SELECT member, centre, c.place FROM {name}_links JOIN {name}_place m ON m.ord = member JOIN {name}_place c ON c.ord = centre WHERE c.place < m.place),
+{name}_st(step, ord, rep) AS (
+  SELECT 0, ord, NULL::BIGINT FROM {rows} UNION ALL
+  SELECT s.step + 1, s.ord, CASE WHEN any_value(s.rep) IS NOT NULL THEN any_value(s.rep)
+           WHEN count(l.centre) = count(c.rep) THEN coalesce(arg_min(c.ord, l.place) FILTER (WHERE c.rep = c.ord), s.ord) END
+  FROM {name}_st s LEFT JOIN {name}_ahead l ON l.member = s.ord LEFT JOIN {name}_st c ON c.ord = l.centre
+  WHERE EXISTS (SELECT 1 FROM {name}_st WHERE rep IS NULL) GROUP BY s.step, s.ord),
+{name} AS (SELECT ord AS ident, rep AS cluster_id FROM {name}_st WHERE step = (SELECT max(step) FROM {name}_st))"""
+
+
+LINEAR = f"{UNIQUE}, {linear_sql('lin', 'uniq')}"
+
+
+def linear(rows: DataFrame) -> DataFrame:
+    return clusters.linear_clusters(rows.select(F.col("ord").alias("id"), F.col("canonical_sequence").alias("seq")))
+
+
+@query(f"""WITH RECURSIVE {LINEAR} SELECT ident, cluster_id, round(coalesce(identity, 1), 9) AS identity, round(coalesce(coverage, 1), 9) AS coverage
+FROM lin LEFT JOIN lin_links ON member = ident AND centre = cluster_id""")
+def linear_clusters(spark, d):
+    """Representatives and members at an identity and a coverage of the member of 0.8."""
+    found = linear(unique(spark, d))
+    return found.select(F.col("id").alias("ident"), F.col("representative").alias("cluster_id"), F.round("identity", 9).alias("identity"), F.round("coverage", 9).alias("coverage"))
 
 
 def clustered(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
-    """rows with cluster_id, the k-mer component of their canonical sequence."""
-    found = homology_components(spark, d).withColumnRenamed("ident", "ord")
-    found = unique(spark, d).select("ord", "canonical_sequence_hash").join(found, "ord").select("canonical_sequence_hash", "cluster_id")
+    """rows with cluster_id, the representative of their canonical sequence."""
+    uniq = homology.checkpointed(unique(spark, d).select("ord", "canonical_sequence_hash", "canonical_sequence"))
+    found = linear(uniq).select(F.col("id").alias("ord"), F.col("representative").alias("cluster_id"))
+    found = homology.checkpointed(uniq.select("ord", "canonical_sequence_hash").join(found, "ord").select("canonical_sequence_hash", "cluster_id"))
     return rows.join(found, "canonical_sequence_hash")
 
 
 #: The same for the rows of seqs.
-CLUSTERED = f"""{CLUSTERS}, member AS (SELECT canonical_sequence_hash, cluster_id FROM uniq JOIN comp ON ident = ord)"""
+CLUSTERED = f"""{LINEAR}, member AS (SELECT canonical_sequence_hash, cluster_id FROM uniq JOIN lin ON ident = ord)"""
+
+
+@query(f"""WITH RECURSIVE {CLUSTERED} SELECT cluster_id, canonical_sequence_hash, length FROM uniq JOIN member USING (canonical_sequence_hash)
+QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY length DESC, canonical_sequence_hash) = 1""")
+def longest_per_cluster(spark, d):
+    best = splits.longest_per_cluster(clustered(spark, d, unique(spark, d)).select("ord", "canonical_sequence_hash", "length", "cluster_id"))
+    return best.select("cluster_id", "canonical_sequence_hash", "length")
+
+
+SEARCH = f"""{UNIQUE}, trn AS (SELECT * FROM parted WHERE part = 'train'), cand AS (SELECT * FROM parted WHERE part = 'holdout'),
+{linear_sql("tl", "trn")}, reps AS (SELECT trn.* FROM trn JOIN tl ON ident = ord AND cluster_id = ord), sizes AS (SELECT cluster_id, count(*) AS n FROM tl GROUP BY 1),
+{kmers_sql("q_km", "cand")}, q_sent AS (SELECT * FROM q_km QUALIFY row_number() OVER (PARTITION BY ord ORDER BY h, code) <= 20),
+{kmers_sql("t_km", "reps")}, {aligned_sql("hit", "cand", "reps", "q_sent", "t_km")},
+hits AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY member ORDER BY identity DESC, coverage DESC, centre) = 1)"""
+
+
+def searched(spark, d):
+    """(candidates, the training clusters, hits of candidates on their representatives)."""
+    train, candidates = (homology.checkpointed(x.select("ord", "canonical_sequence", "length", "rna_type")) for x in parted(spark, d))
+    found = homology.checkpointed(linear(train))
+    named = lambda x: x.select(F.col("ord").alias("id"), F.col("canonical_sequence").alias("seq"))
+    reps = named(train).join(found.where("id = representative").select("id"), "id")
+    return candidates, found, homology.checkpointed(clusters.search(named(candidates), reps))
+
+
+@query(f"""WITH RECURSIVE {SEARCH} SELECT member AS query, centre AS target, round(identity, 9) AS identity, round(coverage, 9) AS coverage, n AS n_members
+FROM hits JOIN sizes ON cluster_id = centre""")
+def representative_search(spark, d):
+    """Held-out sequences against the representatives of the training clusters; a hit stands for all members of the cluster."""
+    _, found, hits = searched(spark, d)
+    sizes = found.groupBy(F.col("representative").alias("target")).agg(F.count("*").alias("n_members"))
+    return hits.join(sizes, "target").select("query", "target", F.round("identity", 9).alias("identity"), F.round("coverage", 9).alias("coverage"), "n_members")
+
+
+@query(f"""WITH RECURSIVE {SEARCH}, w AS (SELECT DISTINCT query, ident FROM (SELECT member AS query, centre FROM hits) JOIN tl ON cluster_id = centre)
+SELECT c.rna_type, count(*) AS candidates, count(h.member) AS removed, count(*) - count(h.member) AS kept, coalesce(sum(m.n), 0)::BIGINT AS similar_members
+FROM cand c LEFT JOIN hits h ON h.member = c.ord LEFT JOIN (SELECT query, count(*) AS n FROM w GROUP BY 1) m ON m.query = c.ord GROUP BY 1""")
+def search_removal(spark, d):
+    """Candidates by whether a hit removes them, and the training sequences that the hits stand for."""
+    candidates, found, hits = searched(spark, d)
+    members = hits.select("query", F.col("target").alias("representative")).join(found.select("id", "representative"), "representative").groupBy("query").agg(F.count("*").alias("n"))
+    rows = candidates.join(members, candidates["ord"] == members["query"], "left")
+    return rows.groupBy("rna_type").agg(
+        F.count("*").alias("candidates"), F.count("query").alias("removed"), F.count_if(F.col("query").isNull()).alias("kept"), F.coalesce(F.sum("n"), F.lit(0)).alias("similar_members")
+    )
 
 
 # ---- composition and samples --------------------------------------------------------------------------------------
