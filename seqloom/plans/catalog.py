@@ -520,28 +520,29 @@ def nonoverlap_kmer(spark, d):
     return each.groupBy("token").agg(F.count("*").alias("n")).withColumn("id", K.block_id(F.col("token"), 3))
 
 
-VOCAB = f"""{SEQS}, g AS (SELECT substr(canonical_sequence, i, k) AS token FROM seqs, unnest(range(2, 7)) AS u(k), unnest(range(1, length - k + 2)) AS v(i) WHERE length >= k),
-vocab AS (SELECT token, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, token LIMIT 252)"""
+VOCAB = f"""{UNIQUE}, g AS (
+  SELECT substr(canonical_sequence, i, k) AS token FROM parted, unnest(range(2, 7)) AS u(k), unnest(range(1, length - k + 2)) AS v(i) WHERE part = 'train' AND length >= k),
+vocab AS (SELECT token, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, token LIMIT 1020)"""
 
 
 @query(f"WITH {VOCAB} SELECT token, n FROM vocab")
 def unigram_vocab(spark, d):
-    """The vocabulary of 256 tokens is the feature: four letters and the 252 most frequent k-mers."""
-    return K.unigram_vocabulary(seqs(spark, d), 256)
+    """The vocabulary of 1,024 tokens is the feature: four letters and the 1,020 most frequent k-mers of the training sequences."""
+    return K.unigram_vocabulary(parted(spark, d)[0], 1024)
 
 
 @query(f"""WITH {VOCAB}, p AS (SELECT '(' || string_agg(token, '|' ORDER BY length(token) DESC, token) || '|A|C|G|U)' AS re FROM vocab),
 t AS (SELECT ord, regexp_extract_all(canonical_sequence, re) AS x FROM seqs, p)
 SELECT ord, len(x) AS n_tokens, md5(array_to_string(x, ' ')) AS tokens_md5 FROM t""")
 def unigram_encode(spark, d):
-    vocabulary = [r.token for r in unigram_vocab(spark, d).collect()]  # 252 tokens
+    vocabulary = [r.token for r in unigram_vocab(spark, d).collect()]  # 1,020 tokens
     rows = seqs(spark, d).withColumn("x", K.greedy_tokens(F.col("canonical_sequence"), vocabulary))
     return rows.select("ord", F.size("x").cast("long").alias("n_tokens"), F.md5(F.array_join("x", " ")).alias("tokens_md5"))
 
 
-def bpe_merges(spark, d, merges=64, letters=64):
-    """Merges fitted on all segments of `letters` letters (a parameter of the fit)."""
-    return bpe.fit_bpe_rows(seqs(spark, d), merges, letters)
+def bpe_merges(spark, d, merges=1020, letters=128):
+    """Merges fitted on all segments of `letters` letters (a parameter of the fit) of the distinct training sequences."""
+    return bpe.fit_bpe_rows(parted(spark, d)[0], merges, letters)
 
 
 @query()
@@ -553,7 +554,7 @@ def bpe_fit_encode(spark, d):
 
 @query(f"WITH {SEQS} SELECT tokenizer, count(*) AS n, 0::BIGINT AS bad FROM seqs, unnest(['nuc', 'block3', 'block6', 'unigram']) AS t(tokenizer) GROUP BY 1")
 def roundtrip_check(spark, d):
-    vocabulary = [r.token for r in unigram_vocab(spark, d).collect()]  # 252 tokens
+    vocabulary = [r.token for r in unigram_vocab(spark, d).collect()]  # 1,020 tokens
     c = F.col("canonical_sequence")
     kinds = {"nuc": K.nuc_tokens(c), "block3": K.block_tokens(c, 3), "block6": K.block_tokens(c, 6), "unigram": K.greedy_tokens(c, vocabulary)}
     checks = F.array(*[F.struct(F.lit(k).alias("tokenizer"), K.round_trip(t, c).alias("ok")) for k, t in kinds.items()])

@@ -125,7 +125,7 @@ def test_bpe_equals_the_naive_form(spark):
 
 def test_bpe_is_fitted_on_all_segments(spark, tmp_path):
     from seqloom.operators.bpe import fit_bpe_rows
-    from seqloom.plans.catalog import bpe_merges
+    from seqloom.plans.catalog import bpe_merges, parted
 
     rng = random.Random(9)
     words = ["".join(rng.choices("ACGU", weights=[4, 2, 1, 1], k=rng.randint(1, 90))) for _ in range(80)] + ["AAAAAAA", "A" * 64 + "AAAC", "", None]
@@ -137,7 +137,37 @@ def test_bpe_is_fitted_on_all_segments(spark, tmp_path):
     texts = ["A" + "".join(rng.choices("AC", k=63)) for _ in range(4_050)] + ["U" + "".join(rng.choices("GU", weights=[1, 3], k=63)) for _ in range(6_000)]
     docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    assert bpe_merges(spark, str(tmp_path), merges=6) == K.fit_bpe(Counter(texts), 6)
+    train = Counter(r.canonical_sequence for r in parted(spark, str(tmp_path))[0].collect())
+    assert 7_000 < len(train) < 9_000 and set(train) < set(texts)
+    passes = []
+    assert fit_bpe_rows(parted(spark, str(tmp_path))[0], 40, 64, passes) == K.fit_bpe(train, 40) and len(passes) < 30
+    assert bpe_merges(spark, str(tmp_path), merges=6) == K.fit_bpe(train, 6)
+
+
+def test_many_merges_of_a_pass_are_those_of_one_merge_a_pass():
+    import numpy as np
+
+    from seqloom.operators import bpe
+
+    for seed in range(8):
+        rng = random.Random(seed)
+        words = ["".join(rng.choices("ACGU", [5, 3, 2, 1] if seed % 2 else [1] * 4, k=rng.randint(1, 60))) for _ in range(100)]
+        if seed > 5:
+            words = ["AC" * rng.randint(1, 19) + "A" * rng.randint(0, 6) for _ in range(60)]
+        x = np.array([v for w in words for v in [*map("_ACGU".index, w), bpe.GAP]], np.int64)
+        tokens, order, near, passes = ["", *"ACGU"], [], [(a, b) for a in range(1, 5) for b in range(1, 5)], 0
+        while len(order) < 90:
+            all_of, n = x.tolist(), len(order)
+            pairs = Counter(p for p in zip(all_of, all_of[1:]) if all(p))
+            three = Counter(zip(all_of, all_of[1:], all_of[2:]))
+            ahead = bpe.Ahead(tokens, dict(pairs), {t: c for t, c in three.items() if t[1:] in near}, {t: c for t, c in three.items() if t[:2] in near}, set(near))
+            while len(order) < 90 and (step := ahead.next()):
+                order.append((tokens[step[0]], tokens[step[1]]))
+                x = bpe.merged(x, *step)
+            near, passes = sorted(ahead.pairs, key=ahead.rank, reverse=True)[: bpe.CANDIDATES], passes + 1
+            if len(order) == n:
+                break
+        assert order == K.fit_bpe(Counter(words), 90) and passes < len(order) / 3
 
 
 def test_next_token_window(spark):
