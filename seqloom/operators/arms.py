@@ -1,11 +1,11 @@
-"""Arms of a comparison: what each one's tokens, metric and boundaries are, and parameter counts of a size.
+"""Arms of a comparison: what each one's tokens, metric and boundaries are.
 
 An arm is a row of data; everything that depends on it is a lookup, so that it runs as a CASE expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Arm -> (backbone, tokenizer, vocabulary, k).
@@ -22,8 +22,8 @@ ARMS = {
     "P3": ("blt", "entropy_patch", 4, None),
     "B1": ("blt", "fixed_patch", 4, 1),
 }
-# Fixed values of the size solver.
-CONTEXT, HEAD, FF_FACTOR, TOLERANCE = 4096, 64, 4, 0.02
+# Mean length of a patch; width of a feed-forward layer in widths of the model.
+PATCH, FF_FACTOR = 6, 4
 
 
 def by_arm(arm: Column, values: dict) -> Column:
@@ -48,7 +48,7 @@ def metric(arm: Column) -> Column:
 def boundary_policy(arm: Column) -> list[Column]:
     """kind of the segment boundaries and length of fixed ones; null for arms without segments."""
     kinds = {a: x[1].removesuffix("_patch") for a, x in ARMS.items() if x[0] == "blt"}
-    return [by_arm(arm, kinds).alias("kind"), by_arm(arm, {a: x[3] or 6 for a, x in ARMS.items() if x[1] == "fixed_patch"}).alias("segment_length")]
+    return [by_arm(arm, kinds).alias("kind"), by_arm(arm, {a: x[3] or PATCH for a, x in ARMS.items() if x[1] == "fixed_patch"}).alias("segment_length")]
 
 
 def arm_rank(arm: Column) -> Column:
@@ -56,33 +56,6 @@ def arm_rank(arm: Column) -> Column:
     return F.coalesce(by_arm(arm, {a: k for k, a in enumerate(ARMS)}), F.lit(99))
 
 
-def block_parameters(d_model: Column, n_layers: Column) -> Column:
-    """Parameters without embeddings: attention, a feed-forward of FF_FACTOR times the width, two norms a layer, and one at the end."""
-    per_layer = 4 * d_model * d_model + 2 * FF_FACTOR * d_model * d_model + 4 * d_model
-    return n_layers * per_layer + 2 * d_model
-
-
-def sizes(spark: SparkSession, targets: list[int]) -> DataFrame:
-    """target, d_model, n_layers, n_heads, params: the narrowest, then shallowest size within TOLERANCE of each target."""
-    grid = spark.range(128, 4096, HEAD).select(F.col("id").alias("d_model")).crossJoin(spark.range(1, 48).select(F.col("id").alias("n_layers")))  # a fixed grid
-    total = block_parameters(F.col("d_model"), F.col("n_layers")) + (4 + CONTEXT) * F.col("d_model")
-    wanted = spark.createDataFrame([(t,) for t in targets], "target long")
-    near = grid.withColumn("params", total).join(F.broadcast(wanted), F.abs(F.col("params") - F.col("target")) <= TOLERANCE * F.col("target"))
-    best = near.groupBy("target").agg(F.min(F.struct("d_model", "n_layers", "params")).alias("s"))
-    return best.select("target", "s.d_model", "s.n_layers", (F.col("s.d_model") / HEAD).cast("long").alias("n_heads"), "s.params")
-
-
-def embeddings(sized: DataFrame, vocabularies: list[int]) -> DataFrame:
-    """Adds vocab, embed_dim, factorized: the plain embedding if it keeps to the target, else the smallest factorised one that does."""
-    rows = sized.withColumn("vocab", F.explode(F.array(*map(F.lit, vocabularies))))
-    d, base = F.col("d_model"), block_parameters(F.col("d_model"), F.col("n_layers")) + CONTEXT * F.col("d_model")
-    fits = lambda n: F.abs(n - F.col("target")) <= TOLERANCE * F.col("target")
-    tried = F.transform(F.sequence(F.lit(64).cast("long"), d - 64, F.lit(64).cast("long")), lambda e: F.when(fits(base + F.col("vocab") * e + 2 * e * d), e))
-    smallest = F.array_min(tried)
-    plain = fits(base + F.col("vocab") * d)
-    return rows.withColumn("embed_dim", F.when(plain, d).otherwise(smallest)).withColumn("factorized", ~plain)
-
-
 def attention_flops(batch: Column, length: Column, d_model: Column) -> Column:
     """Three products of length x length x width."""
     return 2.0 * batch * length * length * d_model * 3

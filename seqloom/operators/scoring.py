@@ -11,11 +11,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import is_primary
-from . import arms
-from .baselines import _count_of, context_counts, positions
+from ..functions.sequence import is_primary, sequence_id
+from ..functions.tokenizers import tokenizer
+from . import arms, letters, segments
+from .baselines import positions
 
 MAX_LEN = 4096
+#: Letters of its own patch that a letter is scored by; order of the model whose entropy cuts patches.
+PATCH_ORDER, ENTROPY_ORDER = 5, 2
+#: Shares of the lengths 1, 2, ... of patches drawn at random, and their seed.
+PATCH_LENGTHS, PATCH_SEED = [0.1, 0.2, 0.3, 0.2, 0.1, 0.1], 17
 SUMS = ("nll_bits", "valid_nt")
 
 
@@ -53,16 +58,46 @@ def canonical_path(rows: DataFrame, keys: list[str], tokens: Column, model: tupl
     return token_bits(token_steps(rows, keys, tokens), model, vocabulary, alpha).groupBy(*keys).agg(F.sum("bits").alias("nll_bits"))
 
 
-def overlap_model(train: DataFrame, k: int) -> DataFrame:
-    """Counts of the letter after each context of up to k - 1 letters (fewer near the start)."""
-    return context_counts(positions(train, [], k - 1, 0))
+def overlap_path(train: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
+    """key, nll_bits: each letter once, given the k - 1 letters before it; no mass is lost to illegal moves."""
+    return letters.letter_bits(rows, key, letters.letter_counts(train, k - 1), k - 1)
 
 
-def overlap_path(rows: DataFrame, keys: list[str], counts: DataFrame, k: int, alpha: float = 1.0) -> DataFrame:
-    """keys, nll_bits: each letter once, given the k - 1 letters before it; no mass is lost to illegal moves."""
-    at = positions(rows, keys, k - 1, 0).join(counts, "ctx", "left")
-    p = (_count_of(F.col("sym")) + alpha) / (F.coalesce("n", F.lit(0)) + 4 * alpha)
-    return at.withColumn("bits", -F.log2(p)).groupBy(*keys).agg(F.sum("bits").alias("nll_bits"))
+def patch_path(train: DataFrame, rows: DataFrame, key: str, boundary: Column | str) -> DataFrame:
+    """key, nll_bits: each letter given those before it in its patch, PATCH_ORDER at the most."""
+    cuts = F.col(boundary) if isinstance(boundary, str) else boundary
+    return letters.letter_bits(rows, key, letters.letter_counts(train, PATCH_ORDER, cuts), PATCH_ORDER, cuts)
+
+
+def arm_path(arm: str, train: DataFrame, rows: DataFrame, key: str, vocabulary: list[str] | None = None, merges: list | None = None) -> DataFrame:
+    """key, nll_bits of an arm: its tokens, or its patches with the boundaries of its policy, counted on train.
+
+    vocabulary: of a Unigram arm; merges: of a BPE arm. train and rows are from truncated().
+    """
+    backbone, kind, size, k = arms.ARMS[arm]
+    seq = F.col("canonical_sequence")
+    if backbone == "blt":
+        if kind == "fixed_patch":
+            return patch_path(train, rows, key, segments.fixed_boundaries(F.length(seq), k or arms.PATCH))
+        if kind == "random_patch":
+            drawn = segments.random_boundaries(PATCH_LENGTHS, PATCH_SEED)(F.length(seq), sequence_id(seq))
+            return patch_path(train, rows, key, F.when(F.length(seq) > 0, drawn).otherwise(F.array().cast("array<int>")))
+        counts = letters.letter_counts(train, ENTROPY_ORDER)
+        gate = arms.PATCH * letters.mean_entropy(train, counts, ENTROPY_ORDER)
+        cut = lambda x: letters.entropy_boundaries(x, [key, "canonical_sequence"], counts, ENTROPY_ORDER, gate)
+        return patch_path(cut(train), cut(rows), key, "boundary")
+    if kind == "NUC":
+        return overlap_path(train, rows, key, 2)
+    if kind == "overlap_mer":
+        return overlap_path(train, rows, key, k)
+    tokens, _ = tokenizer(kind, k, vocabulary, merges)
+    model = token_model(token_steps(train, [key], tokens(seq)))
+    return canonical_path(rows, [key], tokens(seq), model, size)
+
+
+def score_arms(train: DataFrame, rows: DataFrame, key: str, names: list[str], split: str, vocabulary: list[str] | None = None, merges: list | None = None) -> DataFrame:
+    """arm_report of the named arms over rows."""
+    return arm_report(rows, {arm: arm_path(arm, train, rows, key, vocabulary, merges) for arm in names}, key, split)
 
 
 def arm_report(rows: DataFrame, paths: dict[str, DataFrame], key: str, split: str) -> DataFrame:

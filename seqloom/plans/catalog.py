@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..functions import sequence as S
 from ..functions import tokenizers as K
 from ..functions.splitmix import splitmix_draw
 from ..operators import baselines as B
-from ..operators import bpe, clusters, coding, corpus, homology, metrics, runs, segments, splits
+from ..operators import bpe, clusters, coding, corpus, homology, letters, metrics, runs, segments, splits
 from ..sources.readers import union_releases
 from ..streaming import ingest
 from ..views import SEQS, seqs, table
@@ -620,9 +621,13 @@ def ppm_bpn(spark, d):
     return out.select(F.round("bpn", 8).alias("bpn"), "n")
 
 
-@query("SELECT 2.0::DOUBLE AS bpn")
+@query(f"WITH {UNIQUE} SELECT round(sum(2.0 * length) / sum(length), 8) AS bpn, sum(length)::BIGINT AS n FROM parted WHERE part = 'holdout'")
 def uniform_bpn(spark, d):
-    return spark.range(1).select(F.lit(B.UNIFORM_BITS).alias("bpn"))
+    """Held-out sequences under a model that has counted nothing: the same bits for each letter."""
+    holdout = parted(spark, d)[1]
+    bits = letters.letter_bits(holdout.select("ord", "length", "canonical_sequence"), "ord", np.zeros((1, 4)), 0)
+    total = holdout.select("ord", "length").join(bits, "ord").agg(F.sum("nll_bits").alias("bits"), F.sum("length").alias("n"))
+    return total.select(F.round(F.col("bits") / F.col("n"), 8).alias("bpn"), "n")
 
 
 @query(f"""WITH {MARKOV.format(unique=UNIQUE, k=2)},

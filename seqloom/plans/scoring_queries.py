@@ -9,7 +9,7 @@ from ..functions import sequence as S
 from ..functions import tokenizers as K
 from ..operators import arms, coding, corpus, scoring
 from ..views import SEQS, seqs, table
-from .catalog import BASE4, CLUSTERED, ENTROPY_SQL, MARKOV, Q_PREFIX, QUERIES, RATIOS, SQL, UNIQUE, clustered, markov_probs, parted, query
+from .catalog import BASE4, CLUSTERED, ENTROPY_SQL, MARKOV, Q_PREFIX, QUERIES, RATIOS, SQL, UNIQUE, VOCAB, bpe_merges, clustered, markov_probs, parted, query
 
 # ---- scores of arms ----------------------------------------------------------------------------------------------
 
@@ -31,29 +31,49 @@ def _letters_sql(name: str, k: int) -> str:
 {name} AS (SELECT ord, sum(-log2((coalesce(c, 0) + 1) / (coalesce(n, 0) + 4))) AS b FROM {name}_at LEFT JOIN {name}_c USING (ctx, sym) LEFT JOIN {name}_n USING (ctx) WHERE part = 'holdout' GROUP BY 1)"""
 
 
-@query(f"""WITH {MARKED}, {_letters_sql('nuc', 2)}, {_letters_sql('ov', 3)},
-tl AS (SELECT ord, part, regexp_extract_all(s, '[ACGU]{{1,3}}') AS l FROM tr),
-tk AS (SELECT ord, part, l[i] AS token, CASE WHEN i = 1 THEN '' ELSE l[i - 1] END AS ctx FROM tl, unnest(range(1, len(l) + 1)) AS u(i)),
-tc AS (SELECT ctx, token, count(*) AS c FROM tk WHERE part = 'train' GROUP BY 1, 2), tn AS (SELECT ctx, sum(c) AS n FROM tc GROUP BY 1),
-blk AS (SELECT ord, sum(-log2((coalesce(c, 0) + 1) / (coalesce(n, 0) + 84))) AS b FROM tk LEFT JOIN tc USING (ctx, token) LEFT JOIN tn USING (ctx) WHERE part = 'holdout' GROUP BY 1),
-sc AS (SELECT 'F1' AS arm, 'next_base_BPN' AS metric, ord, b FROM nuc UNION ALL SELECT 'F4', 'overlap_path_BPN', ord, b FROM ov UNION ALL SELECT 'F6', 'canonical_path_BPN', ord, b FROM blk),
-am AS (SELECT DISTINCT arm, metric FROM sc)
+def _patches_sql(name: str, size: int) -> str:
+    """Letters given those before them in a patch of so many."""
+    return f"""
+{name}_at AS (SELECT ord, part, substr(s, i - i % {size} + 1, i % {size}) AS ctx, substr(s, i + 1, 1) AS sym FROM tr, unnest(range(0, length(s))) AS u(i)),
+{name}_c AS (SELECT ctx, sym, count(*) AS c FROM {name}_at WHERE part = 'train' GROUP BY 1, 2), {name}_n AS (SELECT ctx, sum(c) AS n FROM {name}_c GROUP BY 1),
+{name} AS (SELECT ord, sum(-log2((coalesce(c, 0) + 1) / (coalesce(n, 0) + 4))) AS b FROM {name}_at LEFT JOIN {name}_c USING (ctx, sym) LEFT JOIN {name}_n USING (ctx) WHERE part = 'holdout' GROUP BY 1)"""
+
+
+def _tokens_sql(name: str, tokens: str, vocabulary: int) -> str:
+    return f"""
+{name}_l AS (SELECT ord, part, {tokens} AS l FROM tr),
+{name}_t AS (SELECT ord, part, l[i] AS token, CASE WHEN i = 1 THEN '' ELSE l[i - 1] END AS ctx FROM {name}_l, unnest(range(1, len(l) + 1)) AS u(i)),
+{name}_c AS (SELECT ctx, token, count(*) AS c FROM {name}_t WHERE part = 'train' GROUP BY 1, 2), {name}_n AS (SELECT ctx, sum(c) AS n FROM {name}_c GROUP BY 1),
+{name} AS (SELECT ord, sum(-log2((coalesce(c, 0) + 1) / (coalesce(n, 0) + {vocabulary}))) AS b FROM {name}_t LEFT JOIN {name}_c USING (ctx, token) LEFT JOIN {name}_n USING (ctx) WHERE part = 'holdout' GROUP BY 1)"""
+
+
+ROUNDED = {"nll_bits_sum": 5, "nll_nats_sum": 5, "bpn": 8}
+
+
+@query(f"""WITH {MARKED}{VOCAB[len(UNIQUE):]}, alts AS (SELECT '(' || string_agg(token, '|' ORDER BY length(token) DESC, token) || '|A|C|G|U)' AS re FROM vocab),
+{_letters_sql('f1', 2)}, {_tokens_sql('f3', 'regexp_extract_all(s, (SELECT re FROM alts))', 1024)}, {_letters_sql('f4', 3)}, {_letters_sql('f5', 6)},
+{_tokens_sql('f6', "regexp_extract_all(s, '[ACGU]{1,3}')", 84)}, {_tokens_sql('f7', "regexp_extract_all(s, '[ACGU]{1,6}')", 5460)}, {_patches_sql('p1', 6)},
+am AS (SELECT unnest(['F1', 'F3', 'F4', 'F5', 'F6', 'F7', 'P1']) AS arm,
+              unnest(['next_base_BPN', 'canonical_path_BPN', 'overlap_path_BPN', 'overlap_path_BPN', 'canonical_path_BPN', 'canonical_path_BPN', 'next_base_BPN']) AS metric),
+sc AS ({' UNION ALL '.join(f"SELECT '{x.upper()}' AS arm, ord, b FROM {x}" for x in ('f1', 'f3', 'f4', 'f5', 'f6', 'f7', 'p1'))})
 SELECT a.arm, 'holdout' AS split, a.metric, count(*) AS n_sequences, count(*) FILTER (WHERE invalid) AS n_invalid, count(*) FILTER (WHERE cut) AS n_truncated,
   round(sum(coalesce(b, 0)), 5) AS nll_bits_sum, round(sum(coalesce(b, 0)) * ln(2), 5) AS nll_nats_sum, sum(length(s))::BIGINT AS valid_nt_count,
   round(sum(coalesce(b, 0)) / greatest(1, sum(length(s))), 8) AS bpn
 FROM tr CROSS JOIN am a LEFT JOIN sc ON sc.arm = a.arm AND sc.ord = tr.ord WHERE part = 'holdout' GROUP BY 1, 2, 3""")
 def score_arms(spark, d):
-    """Letters, overlapping and disjoint k-mers scored by their own metric over the same sequences."""
+    """Letters, overlapping and disjoint k-mers, unigram tokens and fixed patches, each by its own metric over the same sequences."""
     train, rows = marked(spark, d)
-    blocks = lambda c: K.block_tokens(c, 3)
-    model = scoring.token_model(scoring.token_steps(train, ["ord"], blocks(F.col("canonical_sequence"))))
-    paths = {
-        "F1": scoring.overlap_path(rows, ["ord"], scoring.overlap_model(train, 2), 2),
-        "F4": scoring.overlap_path(rows, ["ord"], scoring.overlap_model(train, 3), 3),
-        "F6": scoring.canonical_path(rows, ["ord"], blocks(F.col("canonical_sequence")), model, 84),
-    }
-    out = scoring.arm_report(rows, paths, "ord", "holdout")
-    return out.withColumns({c: F.round(c, 8 if c == "bpn" else 5) for c in ("nll_bits_sum", "nll_nats_sum", "bpn")})
+    vocabulary = [r.token for r in QUERIES["unigram_vocab"](spark, d).collect()]  # 1,020 tokens
+    out = scoring.score_arms(train, rows, "ord", ["F1", "F3", "F4", "F5", "F6", "F7", "P1"], "holdout", vocabulary=vocabulary)
+    return out.withColumns({c: F.round(c, n) for c, n in ROUNDED.items()})
+
+
+@query()
+def score_fitted_arms(spark, d):
+    """The same for merged pairs, and patches drawn at random and by entropy; tests hold the sums against a plain version."""
+    train, rows = marked(spark, d)
+    out = scoring.score_arms(train, rows, "ord", ["F2", "P2", "P3"], "holdout", merges=bpe_merges(spark, d))
+    return out.withColumns({c: F.round(c, n) for c, n in ROUNDED.items()})
 
 
 @query(f"""WITH {UNIQUE},
@@ -213,31 +233,27 @@ def token_offsets(spark, d):
 # ---- arms and small functions ------------------------------------------------------------------------------------
 
 
-@query("""SELECT * FROM (VALUES ('F1', 'NUC', 4, 'next_base_BPN', NULL, NULL, 1), ('F2', 'BPE', 1024, 'canonical_path_BPN', NULL, NULL, 2), ('F3', 'Unigram', 1024, 'canonical_path_BPN', NULL, NULL, 3),
+@query(f"""WITH {SEQS}, a AS (SELECT * FROM (VALUES ('F1', 'NUC', 4, 'next_base_BPN', NULL, NULL, 1), ('F2', 'BPE', 1024, 'canonical_path_BPN', NULL, NULL, 2), ('F3', 'Unigram', 1024, 'canonical_path_BPN', NULL, NULL, 3),
 ('F4', 'overlap_mer', 64, 'overlap_path_BPN', NULL, NULL, 4), ('F5', 'overlap_mer', 4096, 'overlap_path_BPN', NULL, NULL, 5), ('F6', 'nonoverlap_mer', 84, 'canonical_path_BPN', NULL, NULL, 6),
 ('F7', 'nonoverlap_mer', 5460, 'canonical_path_BPN', NULL, NULL, 7), ('P1', 'fixed_patch', 4, 'next_base_BPN', 'fixed', 6, 8), ('P2', 'random_patch', 4, 'next_base_BPN', 'random', NULL, 9),
-('P3', 'entropy_patch', 4, 'next_base_BPN', 'entropy', NULL, 10), ('B1', 'fixed_patch', 4, 'next_base_BPN', 'fixed', 1, 11)) AS t(arm, tokenizer, vocab_size, metric, kind, segment_length, place)""")
+('P3', 'entropy_patch', 4, 'next_base_BPN', 'entropy', NULL, 10), ('B1', 'fixed_patch', 4, 'next_base_BPN', 'fixed', 1, 11)) AS t(arm, tokenizer, vocab_size, metric, kind, segment_length, place)),
+r AS (SELECT list_sort(list(arm)) AS l FROM a)
+SELECT arm, tokenizer, vocab_size, metric, kind, segment_length, place, count(*) AS n, sum(length)::BIGINT AS letters, round(sum((6.0 * length * length * 512)::DOUBLE), 1) AS attention
+FROM (SELECT length, l[ord % 11 + 1] AS arm FROM seqs, r) JOIN a USING (arm) GROUP BY 1, 2, 3, 4, 5, 6, 7""")
 def arm_table(spark, d):
-    """Each arm with its tokenizer, metric and boundaries, numbered in the order of reports."""
-    rows = spark.createDataFrame([(a, x[1], x[2]) for a, x in sorted(arms.ARMS.items())], "arm string, tokenizer string, vocab_size int")
-    rows = rows.select("*", arms.metric(F.col("arm")).alias("metric"), *arms.boundary_policy(F.col("arm")), arms.arm_rank(F.col("arm")).alias("rank"))
+    """Sequences dealt to arms: each arm's tokenizer, metric and boundaries, its place in reports, and operations of attention over its sequences."""
+    names = sorted(arms.ARMS)
+    arm = F.get(F.array(*map(F.lit, names)), (F.col("ord") % len(names)).cast("int"))
+    rows = seqs(spark, d).select(arm.alias("arm"), "length").groupBy("arm").agg(
+        F.count("*").alias("n"), F.sum("length").alias("letters"), F.round(F.sum(arms.attention_flops(F.lit(1.0), F.col("length").cast("double"), F.lit(512.0))), 1).alias("attention")
+    )
+    rows = rows.select(
+        "arm", arms.by_arm(F.col("arm"), {a: x[1] for a, x in arms.ARMS.items()}).alias("tokenizer"), arms.by_arm(F.col("arm"), {a: x[2] for a, x in arms.ARMS.items()}).alias("vocab_size"),
+        arms.metric(F.col("arm")).alias("metric"), *arms.boundary_policy(F.col("arm")), "n", "letters", "attention", arms.arm_rank(F.col("arm")).alias("rank"),
+    )
     return rows.withColumn("place", F.row_number().over(Window.orderBy("rank", "arm"))).drop("rank")  # eleven rows
 
 
-@query("""WITH g AS (SELECT d, n, n * (12 * d * d + 4 * d) + 2 * d AS body FROM unnest(range(128, 4096, 64)) AS x(d), unnest(range(1, 48)) AS y(n)),
-t AS (SELECT unnest([10000000, 50000000, 120000000]) AS target), m AS (SELECT target, d, n, body, body + 4100 * d AS params FROM g JOIN t ON abs(body + 4100 * d - target) <= 0.02 * target),
-b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY target ORDER BY d, n) = 1), v AS (SELECT b.*, vocab FROM b, unnest([4, 84, 1024, 5460]) AS u(vocab)),
-e AS (SELECT *, abs(body + 4096 * d + vocab * d - target) <= 0.02 * target AS plain, list_min([x for x in range(64, d, 64) if abs(body + 4096 * d + vocab * x + 2 * x * d - target) <= 0.02 * target]) AS small FROM v)
-SELECT target::BIGINT AS target, d AS d_model, n AS n_layers, d // 64 AS n_heads, params, vocab, CASE WHEN plain THEN d ELSE small END AS embed_dim, NOT plain AS factorized,
-  (24.0 * d * d * n * 4096 + 12.0 * d * 4096 * n)::DOUBLE AS flops, (6.0 * 4096 * 4096 * d)::DOUBLE AS attention FROM e""")
-def model_sizes(spark, d):
-    """Sizes and embeddings that keep to a number of parameters, with their operations."""
-    out = arms.embeddings(arms.sizes(spark, [10_000_000, 50_000_000, 120_000_000]), [4, 84, 1024, 5460])
-    length = F.lit(arms.CONTEXT).cast("double")
-    width, layers = F.col("d_model").cast("double"), F.col("n_layers").cast("double")
-    return out.select("*", arms.arm_flops(width, layers, length).alias("flops"), arms.attention_flops(F.lit(1.0), length, width).alias("attention"))
-
-
 @query("""SELECT o_orderkey, round(o_totalprice * log2(exp(1)), 4) AS bits, 'F' || (o_custkey % 7 + 1) || '_s' || (o_orderkey % 50) || '_small_b' || 4096 AS run,
   CASE WHEN o_orderkey % 11 = 0 THEN '-' ELSE (o_orderkey % 100)::VARCHAR || '.' || lpad((o_orderkey % 10 * 1000)::VARCHAR, 4, '0') END AS text,
   round(CASE WHEN o_orderkey % 1200 < 100 THEN 0.0003 * (o_orderkey % 1200 + 1) / 100 ELSE 0.0003 * 0.5 * (1 + cos(pi() * least(1.0, (o_orderkey % 1200 - 100) / 900.0))) END, 12) AS rate FROM orders""")

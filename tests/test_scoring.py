@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
 from seqloom.functions import tokenizers as K
-from seqloom.operators import arms, coding, corpus, scoring
+from seqloom.operators import arms, coding, corpus, scoring, segments
 from seqloom.sources import readers
 from seqloom.streaming import ingest
 
@@ -46,7 +46,7 @@ def test_paths_against_plain_python(spark):
     for s in train:
         for i in range(len(s)):
             seen[s[max(0, i - 2) : i], s[i]] += 1
-    path = {r.ord: r.nll_bits for r in scoring.overlap_path(rows, ["ord"], scoring.overlap_model(rows_of(spark, train), 3), 3).collect()}
+    path = {r.ord: r.nll_bits for r in scoring.overlap_path(rows_of(spark, train), rows, "ord", 3).collect()}
     for k, s in enumerate(cut):
         want = 0.0
         for i in range(len(s)):
@@ -58,6 +58,75 @@ def test_paths_against_plain_python(spark):
     assert report.bpn == pytest.approx(sum(got.values()) / sum(map(len, cut)))
 
 
+def plain_bits(train, held, steps, choices):
+    """Bits of each sequence: steps gives its (context, symbol) pairs, out of so many symbols, smoothed by one."""
+    pairs, totals = Counter(), Counter()
+    for s in train:
+        for c, x in steps(s):
+            pairs[c, x] += 1
+            totals[c] += 1
+    return [sum(-math.log2((pairs[p] + 1) / (totals[p[0]] + choices)) for p in steps(s)) for s in held]
+
+
+def test_all_arms_against_plain_python(spark):
+    rng = random.Random(8)
+    train, held = [letters(rng, n) for n in (5, 40, 90, 0, 1) * 6], [letters(rng, n) for n in (0, 1, 2, 30, 80, 200)]
+    vocabulary, merges = ["AC", "GU", "ACG", "UUUUUU"], K.fit_bpe(Counter(train), 30)
+    rank = {p: k for k, p in enumerate(merges)}
+
+    def tokens_of(f):
+        return lambda s: list(zip(["", *f(s)], f(s)))
+
+    def greedy(s):
+        out = []
+        while s:
+            out.append(next(s[:n] for n in range(6, 0, -1) if s[:n] in {*vocabulary, *"ACGU"}))
+            s = s[len(out[-1]) :]
+        return out
+
+    def within(cuts, order=5):
+        """Letters given those since the last cut."""
+
+        def steps(s):
+            begin = 0
+            for i, cut in enumerate(cuts(s)):
+                begin = i if cut else begin
+                yield s[max(begin, i - order) : i], s[i]
+
+        return lambda s: list(steps(s))
+
+    counts = Counter((s[i - 2 : i], s[i]) for s in train for i in range(2, len(s)))
+
+    def entropy(s, i):
+        p = [(counts[s[i - 2 : i], x] + 1) / (sum(counts[s[i - 2 : i], y] for y in "ACGU") + 4) for x in "ACGU"] if i > 1 else [0.25] * 4
+        return -sum(x * math.log(x) for x in p)
+
+    every = [entropy(s, i) for s in train for i in range(len(s))]
+    gate = 6 * sum(every) / len(every)
+
+    def gated(s):
+        out, total = [], math.inf
+        for i in range(len(s)):
+            out.append(total >= gate)
+            total = entropy(s, i) + (0 if out[-1] else total)
+        return out
+
+    drawn = segments.random_boundaries(scoring.PATCH_LENGTHS, scoring.PATCH_SEED)
+    df = rows_of(spark, sorted({*train, *held}))
+    random_cuts = {r.canonical_sequence: r.b for r in df.select("canonical_sequence", drawn(F.length("canonical_sequence"), S.sequence_id(F.col("canonical_sequence"))).alias("b")).collect()}
+    plain = {
+        "F1": (within(lambda s: [0] * len(s), 1), 4), "F2": (tokens_of(lambda s: K.bpe_encode(s, rank)), 1024), "F3": (tokens_of(greedy), 1024),
+        "F4": (within(lambda s: [0] * len(s), 2), 4), "F5": (within(lambda s: [0] * len(s), 5), 4), "F6": (tokens_of(blocks), 84), "F7": (tokens_of(lambda s: blocks(s, 6)), 5460),
+        "P1": (within(lambda s: [i % 6 == 0 for i in range(len(s))]), 4), "P2": (within(lambda s: random_cuts[s][: len(s)]), 4), "P3": (within(gated), 4), "B1": (within(lambda s: [1] * len(s)), 4),
+    }
+    a, b = (scoring.truncated(rows_of(spark, x)) for x in (train, held))
+    report = {r.arm: r for r in scoring.score_arms(a, b, "ord", list(plain), "x", vocabulary, merges).collect()}
+    assert set(report) == set(plain)
+    for arm, (steps, choices) in plain.items():
+        assert report[arm].nll_bits_sum == pytest.approx(sum(plain_bits(train, held, steps, choices))), arm
+        assert report[arm].valid_nt_count == sum(map(len, held))
+
+
 def test_suffix_code_length(spark):
     train = rows_of(spark, ["ACGACGUUU", "ACGUUUACG"])
     tokens = lambda c: K.block_tokens(c, 3)
