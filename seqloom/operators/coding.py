@@ -1,11 +1,10 @@
-"""Range-coded streams, and token-budget batching: the operators that walk a group in order."""
+"""Range-coded streams: the operators that walk a group in order."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.codec import TOTAL, consistency, decodes, encode_stream, quantise
 from ..functions.sequence import ALPHABET
@@ -53,21 +52,3 @@ def codec_totals(coded: DataFrame) -> DataFrame:
     for name, c in (("code_length_bpn", "stream_bits"), ("quantised_bpn", "quantised_bits"), ("nll_bpn", "nll_bits")):
         out = out.withColumn(name, F.when(F.col("valid_nt") > 0, F.col(c) / F.col("valid_nt")))
     return out
-
-
-def budget_batches(rows: DataFrame, shard: str, order: str, length: str, budget: int) -> DataFrame:
-    """Adds batch: within each shard, in order, rows join a batch while rows times the longest stays in the budget."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order).reset_index(drop=True)
-        batch, n, longest, out = 0, 0, 0, []
-        for x in group[length]:
-            if n and (n + 1) * max(longest, x) > budget:
-                batch, n, longest = batch + 1, 0, 0
-            n, longest = n + 1, max(longest, x)
-            out.append(batch)
-        group["batch"] = pd.Series(out, dtype="int32")
-        return group
-
-    return rows.groupBy(shard).applyInPandas(run, schema)

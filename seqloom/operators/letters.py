@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.sequence import ALPHABET
+from . import scans
 
 #: Largest order: 4^11 counts, 32 MB of them.
 MOST_ORDER = 10
@@ -129,3 +130,19 @@ def entropy_boundaries(rows: DataFrame, keep: list[str], counts: np.ndarray, ord
 
     part = rows.select(*keep)
     return part.mapInArrow(run, StructType([*part.schema.fields, StructField("boundary", ArrayType(IntegerType()))]))
+
+
+def stream_patches(rows: DataFrame, by: list[str], counts: np.ndarray, order: int, gate: float) -> DataFrame:
+    """length, n of the patches that the gate cuts from all sequences as one stream, in order of by; the last patch counts too."""
+    entropy, at = context_entropies(counts, order), rows.columns.index("canonical_sequence")
+
+    def items(batch):
+        code, _, sizes = contexts(batch.column(at).to_pylist(), order)
+        values, ends = entropy[code], np.cumsum(sizes)
+        return [values[e - n : e].tolist() for e, n in zip(ends.tolist(), sizes.tolist())]
+
+    out, last = scans.resetting_scan(rows, by, items, scans.gate_rule(gate))
+    sizes = out.select(F.explode("closed").alias("length"))
+    if last:
+        sizes = sizes.union(rows.sparkSession.range(1).select(F.lit(last[1]).cast("long")))
+    return sizes.groupBy("length").agg(F.count("*").alias("n"))

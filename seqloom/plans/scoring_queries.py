@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sequence as S
 from ..functions import tokenizers as K
-from ..operators import arms, coding, corpus, scoring
+from ..operators import arms, coding, corpus, letters, scans, scoring
 from ..views import SEQS, seqs, table
 from .catalog import BASE4, CLUSTERED, ENTROPY_SQL, MARKOV, Q_PREFIX, QUERIES, RATIOS, SQL, UNIQUE, VOCAB, bpe_merges, clustered, markov_probs, parted, query
 
@@ -181,17 +181,29 @@ SELECT drawn, given, e <= 0.5 AS gate_total, e <= 5 AS gate_flops, s.ok AS gate_
 # ---- batches -----------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {SEQS}, l AS (SELECT source_database, ord // 65536 AS block, list(length ORDER BY ord) AS x FROM seqs GROUP BY 1, 2),
-f AS (SELECT source_database, block, x, list_reduce([{{'n': 0::BIGINT, 'm': 0::BIGINT, 'k': 0::BIGINT, 'o': []::BIGINT[]}}] || [{{'n': 0::BIGINT, 'm': v, 'k': 0::BIGINT, 'o': []::BIGINT[]}} for v in x],
+@query(f"""WITH {SEQS}, l AS (SELECT list(length ORDER BY ord) AS x FROM seqs),
+f AS (SELECT x, list_reduce([{{'n': 0::BIGINT, 'm': 0::BIGINT, 'k': 0::BIGINT, 'o': []::BIGINT[]}}] || [{{'n': 0::BIGINT, 'm': v, 'k': 0::BIGINT, 'o': []::BIGINT[]}} for v in x],
   lambda a, b: CASE WHEN a.n > 0 AND (a.n + 1) * greatest(a.m, b.m) > 16384 THEN {{'n': 1::BIGINT, 'm': b.m, 'k': a.k + 1, 'o': list_append(a.o, a.k + 1)}}
                     ELSE {{'n': a.n + 1, 'm': greatest(a.m, b.m), 'k': a.k, 'o': list_append(a.o, a.k)}} END).o AS o FROM l),
-r AS (SELECT source_database, block, unnest(x) AS length, unnest(o) AS batch FROM f)
-SELECT source_database, block, batch::INT AS batch, count(*) AS n, max(length) AS longest FROM r GROUP BY 1, 2, 3""")
+r AS (SELECT unnest(x) AS length, unnest(o) AS batch FROM f)
+SELECT batch, count(*) AS n, max(length) AS longest FROM r GROUP BY 1""")
 def budget_batches(spark, d):
-    """Batches of at most 16,384 letters (rows times the longest) within each source and block of 65,536 ids."""
-    rows = seqs(spark, d).select(F.struct("source_database", F.floor(F.col("ord") / 65_536).alias("block")).alias("shard"), "ord", "length")
-    out = coding.budget_batches(rows, "shard", "ord", "length", 16_384)
-    return out.groupBy("shard.source_database", "shard.block", "batch").agg(F.count("*").alias("n"), F.max("length").alias("longest"))
+    """Batches of at most 16,384 letters (rows times the longest) over all sequences in order."""
+    rows = seqs(spark, d).select("ord", "length")
+    out, _ = scans.resetting_scan(rows, ["ord"], lambda batch: [[x] for x in batch.column(1).to_pylist()], scans.budget_rule(16_384))
+    return out.groupBy(F.col("number").alias("batch")).agg(F.count("*").alias("n"), F.max("length").alias("longest"))
+
+
+@query()
+def calibrated_patches(spark, d):
+    """The gate for patches of six letters on average, and the lengths of the patches that it cuts from all training sequences as one stream."""
+    train = parted(spark, d)[0]
+    counts = letters.letter_counts(train, 2)
+    gate = 6 * letters.mean_entropy(train, counts, 2)
+    sizes = letters.stream_patches(train.select("ord", "canonical_sequence"), ["ord"], counts, 2, gate)
+    total = sizes.agg(F.sum("n").alias("patches"), F.sum(F.col("n") * F.col("length")).alias("nt"))
+    out = sizes.crossJoin(total)  # one row
+    return out.select("length", "n", F.round(F.col("n") / F.col("patches"), 9).alias("share"), F.round(F.col("nt") / F.col("patches"), 9).alias("mean_length"), F.round(F.lit(gate), 8).alias("gate"))
 
 
 # ---- tokens ------------------------------------------------------------------------------------------------------

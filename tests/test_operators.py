@@ -207,8 +207,6 @@ def test_streams_of_codes(spark):
     assert values(coded, "stream_id", "sequence_count", "valid_nt", "decoded") == [("s", 2, 204, True), ("t", 1, 4, True)]
     total = coding.codec_totals(coded).first()
     assert total.nll_bpn == pytest.approx(2.0) and total.decoded
-    sizes = spark.createDataFrame([("x", k, n) for k, n in enumerate([5, 5, 5, 30, 1])], "s string, ord long, length long")
-    assert values(coding.budget_batches(sizes, "s", "ord", "length", 12), "ord", "batch") == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
 
 
 def test_generation_and_continuation(spark):
