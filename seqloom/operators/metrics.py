@@ -1,11 +1,12 @@
-"""Generation and continuation metrics, nearest neighbours, contamination."""
+"""Generation and continuation metrics, contamination."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import is_primary, kmer_recovery, nucleotide_accuracy, positional_identity
+from ..functions.sequence import is_primary, kmer_recovery, nucleotide_accuracy
+from .nearest import nearest_sequences
 
 
 def continuation_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,8 +19,9 @@ def continuation_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def nearest_identity_all(rows: DataFrame, train: DataFrame, key: str = "ord") -> DataFrame:
     """key, best: the largest positional identity with any of all training sequences, for a stated set of queries."""
-    pairs = rows.select(key, F.col("canonical_sequence").alias("x")).crossJoin(train.select(F.col("canonical_sequence").alias("y")))
-    return pairs.groupBy(key).agg(F.max(positional_identity(F.col("x"), F.col("y"))).alias("best"))
+    queries = rows.select(F.col(key).alias("id"), F.col("canonical_sequence").alias("item"))
+    others = train.select(F.xxhash64("canonical_sequence").alias("id"), F.col("canonical_sequence").alias("item"))  # which one is not asked
+    return nearest_sequences(queries, others).select(F.col("query").alias(key), F.col("value").alias("best"))
 
 
 def generation_stats(generated: DataFrame, train: DataFrame, best: DataFrame | None = None) -> DataFrame:
@@ -44,17 +46,6 @@ def generation_stats(generated: DataFrame, train: DataFrame, best: DataFrame | N
     return out.withColumn("validity_rate", rate("valid", "total")).withColumn("uniqueness", rate("unique_valid", "total"))
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """vec_id, neighbour, cosine: the closest other vector of each query, ties to the smaller id; every pair is compared."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    q = queries.select(F.col("vec_id"), F.col("embedding").alias("x"), norm("embedding").alias("nx"))
-    v = vectors.select(F.col("vec_id").alias("neighbour"), F.col("embedding").alias("y"), norm("embedding").alias("ny"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(v, F.col("vec_id") != F.col("neighbour")).select("vec_id", "neighbour", F.round(dot / (F.col("nx") * F.col("ny")), 9).alias("cosine"))
-    best = F.max_by(F.struct("neighbour", "cosine"), F.struct("cosine", -F.col("neighbour")))
-    return pairs.groupBy("vec_id").agg(best.alias("b")).select("vec_id", "b.neighbour", "b.cosine")
-
-
 def contained_items(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """doc_id, item_id where a document's text contains an item's whole text.
 

@@ -13,7 +13,7 @@ from ..functions import sequence as S
 from ..functions import tokenizers as K
 from ..functions.splitmix import splitmix_draw
 from ..operators import baselines as B
-from ..operators import bpe, clusters, coding, corpus, homology, letters, metrics, runs, segments, splits
+from ..operators import bpe, clusters, coding, corpus, homology, letters, metrics, nearest, runs, segments, splits
 from ..sources.readers import union_releases
 from ..streaming import ingest
 from ..views import SEQS, seqs, table
@@ -815,7 +815,7 @@ SELECT vec_id, neighbour, cosine FROM p QUALIFY row_number() OVER (PARTITION BY
 def nearest_neighbor(spark, d):
     """Queries are the vectors whose id is divisible by 20, against all."""
     v = table(spark, d, "embeddings")
-    return metrics.nearest_vectors(v.where("vec_id % 20 = 0"), v)
+    return nearest.nearest_vectors(v.where("vec_id % 20 = 0"), v).drop("compared")
 
 
 # ---- run records -------------------------------------------------------------------------------------------------
