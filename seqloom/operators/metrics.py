@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,22 +47,63 @@ def generation_stats(generated: DataFrame, train: DataFrame, best: DataFrame | N
     return out.withColumn("validity_rate", rate("valid", "total")).withColumn("uniqueness", rate("unique_valid", "total"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
-    """doc_id, item_id where a document's text contains an item's whole text.
+#: Bytes of items that a task may hold as one pattern set, some 50 bytes of automaton for each.
+MOST_PATTERN_BYTES = 4 << 20
 
-    Pairs are found by the hash of a run of `words` words (the item's second to the next ones), so only ids
-    and hashes meet; their texts are then brought back and compared. Items of fewer words are compared with
-    all documents.
+
+def contained_items(docs: DataFrame, items: DataFrame, words: int = 8, most: int = MOST_PATTERN_BYTES) -> DataFrame:
+    """doc_id, item_id where a document's text contains an item's whole text; null texts neither contain nor are contained.
+
+    Items of at most `most` bytes in all are one pattern set, and each text is read once for all of them. Beyond that
+    pairs are found by the hash of a run of `words` words (the item's second to the next ones), so only ids and hashes
+    meet, and their texts are then brought back and compared; items of too few words still are pattern sets, one for
+    each part of them that keeps to the bound.
     """
+    items = items.where("text is not null").select("item_id", "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total <= most:
+        return _scanned(docs, items)
     split = lambda c: F.split(c, " ")
-    items = items.select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("w"))
+    items = items.withColumn("w", split(F.col("text")))
     long = items.where(F.size("w") >= words + 2)
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.slice("w", i, words)))
     d = docs.select("doc_id", split(F.col("text")).alias("w"))
     each = d.where(F.size("w") >= words).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
     found = each.join(long.select("item_id", F.xxhash64(F.slice("w", 2, words)).alias("run")), "run").select("doc_id", "item_id").distinct()
-    met = found.join(long.select("item_id", "item"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    met = met.where(F.contains("text", "item")).select("doc_id", "item_id")
-    short = items.where(F.size("w") < words + 2).select("item_id", "item")
-    rest = docs.select("doc_id", "text").join(short, F.contains("text", "item")).select("doc_id", "item_id")
-    return met.union(rest).distinct()
+    met = found.join(long.select("item_id", F.col("text").alias("item")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    out = met.where(F.contains("text", "item")).select("doc_id", "item_id")
+    short = items.where(F.size("w") < words + 2).withColumn("size", F.octet_length("text"))
+    parts = -(-2 * (short.agg(F.sum("size")).first()[0] or 0) // most)
+    for k in range(parts):
+        out = out.union(_scanned(docs, short.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)))
+    return out.distinct()
+
+
+def _scanned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same by one automaton of all items, whose size the caller bounds."""
+    patterns: dict[str, list[int]] = {}
+    everywhere: list[int] = []
+    for r in items.collect():
+        (patterns.setdefault(r.text, []) if r.text else everywhere).append(r.item_id)
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for text, ids in patterns.items():
+            automaton.add_word(text, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                ids = set(everywhere)
+                if patterns:
+                    for _, more in automaton.iter(text):
+                        ids.update(more)
+                rows += [k] * len(ids)
+                found += ids
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64())], ["doc_id", "item_id"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long").distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.sequence import AUDIT_STRATA, audit_stratum, bin_of, entropy_nats, token_flops
 from ..functions.splitmix import splitmix_draw
 from .baselines import positions
+from .homology import checkpointed
 
 #: Bounds of the boundary rates that count as supported, and the coverage they must have (fixed values).
 SUPPORT_LOW, SUPPORT_HIGH, SUPPORT_COVERAGE = 0.05, 0.95, 0.8
@@ -113,11 +116,40 @@ def running_means(values: DataFrame, key: str) -> DataFrame:
     return out.withColumn("mean", F.avg("value").over(inside))
 
 
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Linear quantiles of a column's values (nulls left out), exact at any size; NaN without values.
+
+    Distinct values are counted first and sorted by range; the driver sees the count of each partition, and only
+    the partitions that hold a wanted rank are looked into, each for itself.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(counts.repartitionByRange(n, "value").withColumn("part", F.spark_partition_id()))
+    sizes = {r.part: r.n for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row a partition
+    before = dict(zip(sorted(sizes), accumulate([0] + [sizes[p] for p in sorted(sizes)])))
+    total = sum(sizes.values())
+    if not total:
+        return [math.nan] * len(shares)
+    wanted = sorted({r for q in shares for r in (math.floor((total - 1) * q), math.ceil((total - 1) * q))})
+    owner = {r: max(p for p in before if before[p] <= r) for r in wanted}
+    starts = F.create_map(*[F.lit(x) for p in sorted(set(owner.values())) for x in (p, before[p])])
+    inside = dealt.where(F.col("part").isin(*set(owner.values())))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) + starts[F.col("part")]
+    ranked = inside.withColumn("upto", upto).withColumn("rank", F.explode(F.array(*map(F.lit, wanted))))
+    hit = ranked.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    value = {r.rank: r.value for r in hit.select("rank", "value").collect()}  # a row a rank
+    out = []
+    for q in shares:
+        at = (total - 1) * q
+        low, high = value[math.floor(at)], value[math.ceil(at)]
+        out.append(low + (high - low) * (at - math.floor(at)))
+    return out
+
+
 def entropy_edges(entropy: DataFrame, bins: int = 8) -> DataFrame:
     """One row: edges, the exact linear quantiles at 0, 1/bins, ... 1, the last a little raised."""
-    cuts = F.percentile("entropy", F.array(*[F.lit(k / bins) for k in range(bins + 1)]))
-    row = entropy.agg(cuts.alias("q"))
-    return row.select(F.transform("q", lambda x, i: F.when(i == bins, x + 1e-9).otherwise(x)).alias("edges"))
+    cuts = exact_quantiles(entropy, "entropy", [k / bins for k in range(bins + 1)])
+    return entropy.sparkSession.range(1).select(F.array(*[F.lit(x + 1e-9 if k == bins else x) for k, x in enumerate(cuts)]).alias("edges"))
 
 
 def rate_table(at: DataFrame, prefix_edges: list[int], edges: DataFrame) -> DataFrame:

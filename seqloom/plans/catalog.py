@@ -942,7 +942,7 @@ def stream_event_windows(spark, d):
 @query("""SELECT user_id, event_type, arg_min(event_id, {'v': value, 'e': event_id}) AS event_id, min(value) AS value FROM events GROUP BY 1, 2""")
 def stream_best_events(spark, d):
     events = ingest.stream_table(spark, f"{d}/events.parque[t]").select("event_id", "user_id", "event_type", "value")
-    return streamed(spark, ingest.best_so_far(events, ["user_id", "event_type"]), "complete")
+    return ingest.latest(streamed(spark, ingest.best_so_far(events, ["user_id", "event_type"]), "update"), ["user_id", "event_type"])
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")

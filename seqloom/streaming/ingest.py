@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.corpus import canonicalise
+from ..operators.homology import checkpointed
 
 
 def stream_table(spark: SparkSession, path: str, per_trigger: int = 4) -> DataFrame:
@@ -31,9 +34,12 @@ def two_sinks(records: DataFrame, primary: str, ambiguous: str, checkpoint: str)
 
 
 def new_against(stream: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
-    """Rows of the stream whose key the frozen table does not hold (a stream-static left join)."""
-    known = frozen.select(key).distinct().withColumn("_known", F.lit(True))
-    return stream.join(known, key, "left").where("_known is null").drop("_known")
+    """Rows of the stream whose key the frozen table does not hold (a stream-static left join).
+
+    The frozen keys are made distinct once and checkpointed; each batch reads only these. A row with a null key is new.
+    """
+    known = checkpointed(frozen.select(F.col(key).alias("frozen key")).distinct())
+    return stream.join(known, F.col(key) == F.col("frozen key"), "left").where("`frozen key` is null").drop("frozen key")
 
 
 def timed(events: DataFrame, column: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -62,7 +68,8 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "complete", poll: s
     """Runs a stream over all that is there into Parquet under a shared folder and returns the result table.
 
     Each batch has its own directory, which a batch that is run again replaces. In append mode they are the
-    table together; in complete mode the last one is. poll: a processing-time interval at which the stream
+    table together; in complete mode the last one is; in update mode a batch has the changed keys only, the table
+    is all of them with their batch (column version), and latest() has each key's last row. poll: a processing-time interval at which the stream
     looks for input as a daemon would; it is stopped once everything that is there has been taken.
     """
     numbers = []
@@ -81,5 +88,16 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "complete", poll: s
     spark = stream.sparkSession
     if not numbers:
         return spark.createDataFrame([], stream.schema)
-    wanted = sorted(set(numbers)) if mode == "append" else [max(numbers)]
+    wanted = [max(numbers)] if mode == "complete" else sorted(set(numbers))
+    read = [spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch={n}") for n in wanted]
+    if mode == "update":
+        read = [rows.withColumn("version", F.lit(n)) for n, rows in zip(wanted, read)]
+        return reduce(DataFrame.unionByName, read)
     return spark.read.schema(stream.schema).parquet(*[f"{folder}/rows/batch={n}" for n in wanted])
+
+
+def latest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the largest version of each key, without the version."""
+    others = [c for c in versions.columns if c not in (*keys, "version")]
+    last = F.max_by(F.struct(*others), "version").alias("last")
+    return versions.groupBy(*keys).agg(last).select(*keys, *[F.col(f"last.{c}").alias(c) for c in others])
