@@ -75,18 +75,37 @@ class Encoder:
             self._shift()
         return bytes(self.out)
 
+    def ready(self) -> bytes:
+        """The bytes that nothing to come can change, each once; what is still open stays."""
+        out, self.out = bytes(self.out), bytearray()
+        return out
+
 
 class Decoder:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.span, self.code = data, 1, MASK, 0  # behind the leading byte
-        for _ in range(8):
-            self.code = self.code << 8 | self._byte()
+    """Bytes may come in parts: a symbol can be taken while more than ROOM bytes are there, or all have come."""
+
+    ROOM = 16
+
+    def __init__(self, data: bytes = b""):
+        self.data, self.at, self.span, self.code, self.begun = bytearray(data), 1, MASK, 0, False  # behind the leading byte
+
+    def feed(self, data: bytes) -> None:
+        del self.data[: self.at - 1]
+        self.at = 1
+        self.data += data
+
+    def can_take(self) -> bool:
+        return len(self.data) - self.at > self.ROOM
 
     def _byte(self) -> int:
         self.at += 1
         return self.data[self.at - 1] if self.at <= len(self.data) else 0
 
     def take(self, cdf: Sequence[int]) -> int:
+        if not self.begun:
+            self.begun = True
+            for _ in range(8):
+                self.code = self.code << 8 | self._byte()
         step = self.span // cdf[-1]
         target = min(cdf[-1] - 1, self.code // step)
         low, high = 0, len(cdf) - 1

@@ -65,39 +65,6 @@ def bits_per_letter(bits: DataFrame) -> DataFrame:
     return bits.agg(F.coalesce(total, F.lit(math.nan)).alias("bpn"), F.count("*").alias("n"))
 
 
-def ppm_fit(train: DataFrame, order: int) -> DataFrame:
-    """Counts of all contexts of 0 to order letters, each row of `train` giving each position once per context length."""
-    at = positions(train, [], order, 0).select("ctx", "sym")
-    lengths = F.sequence(F.lit(0), F.length("ctx"))
-    each = at.select(F.explode(F.transform(lengths, lambda d: F.right(F.col("ctx"), d))).alias("ctx"), "sym")
-    return context_counts(each)
-
-
-def ppm_bits(rows: DataFrame, counts: DataFrame, keys: list[str], order: int) -> DataFrame:
-    """keys, pos, bits by partial matching with escape method C.
-
-    Contexts of order, order - 1, ... 0 letters are tried in turn; near the start of a sequence the
-    same short context is met at several orders and escapes each time; a symbol that order 0 has not
-    seen costs 2 bits. The figure is a proxy, not a code length.
-    """
-    at = positions(rows, keys, order, 0)
-    kinds = sum(((F.col(f"n{s}") > 0).cast("int") for s in ALPHABET), F.lit(0))
-    small = F.broadcast(counts.withColumn("t", kinds).select(F.col("ctx").alias("c"), *[f"n{s}" for s in ALPHABET], "n", "t"))  # at most sum of 4^d rows
-    for d in range(order, -1, -1):
-        own = small.select(F.col("c").alias(f"c{d}"), *[F.col(f"n{s}").alias(f"n{s}{d}") for s in ALPHABET], F.col("n").alias(f"n{d}"), F.col("t").alias(f"t{d}"))
-        at = at.withColumn(f"want{d}", F.right("ctx", F.lit(d))).join(own, F.col(f"want{d}") == F.col(f"c{d}"), "left")
-    log_p, done = F.lit(0.0), F.lit(False)
-    for d in range(order, -1, -1):
-        hit = F.when(F.lit(False), F.lit(0))
-        for s in ALPHABET:
-            hit = hit.when(F.col("sym") == s, F.col(f"n{s}{d}"))
-        known = F.col(f"n{d}").isNotNull()
-        total = F.col(f"n{d}") + F.col(f"t{d}")
-        log_p = F.when(done | ~known, log_p).when(hit > 0, log_p + F.log2(hit / total)).otherwise(log_p + F.log2(F.col(f"t{d}") / total))
-        done = done | (known & (hit > 0))
-    return at.select(*keys, "pos", F.when(done, -log_p).otherwise(F.lit(2.0)).alias("bits"))
-
-
 def score_sums(rows: DataFrame, bits: DataFrame, key: str, max_len: int = 4096) -> DataFrame:
     """Mergeable sums of each row: nll_bits, nll_nats, valid_nt, sequence_count, invalid_count, truncation_count.
 

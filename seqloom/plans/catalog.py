@@ -601,7 +601,7 @@ def markov(order: int) -> Query:
 for _k in range(4):
     query(f"WITH {MARKOV.format(unique=UNIQUE, k=_k)} SELECT round(sum(bits) / count(*), 8) AS bpn, count(*) AS n FROM bits")(markov(_k))
 
-_D = 3
+_D = 5
 PPM = f"""{UNIQUE},
 att AS (SELECT part, ord, i AS pos, substr(canonical_sequence, greatest(0, i - {_D}) + 1, i - greatest(0, i - {_D})) AS ctx, substr(canonical_sequence, i + 1, 1) AS sym
        FROM parted, unnest(range(0, length)) AS u(i)),
@@ -617,8 +617,8 @@ bits AS (SELECT ord, pos, CASE WHEN any_value(hit) IS NULL THEN 2.0 ELSE -sum(CA
 @query(f"WITH {PPM} SELECT round(sum(bits) / count(*), 8) AS bpn, count(*) AS n FROM bits")
 def ppm_bpn(spark, d):
     train, holdout = parted(spark, d)
-    out = B.bits_per_letter(B.ppm_bits(holdout, B.ppm_fit(train, _D), ["ord"], _D))
-    return out.select(F.round("bpn", 8).alias("bpn"), "n")
+    out = letters.ppm_bits(holdout, "ord", letters.nested_counts(train, _D), _D).agg(F.sum("nll_bits").alias("bits"), F.sum("nt").alias("n"))
+    return out.select(F.round(F.col("bits") / F.col("n"), 8).alias("bpn"), "n")
 
 
 @query(f"WITH {UNIQUE} SELECT round(sum(2.0 * length) / sum(length), 8) AS bpn, sum(length)::BIGINT AS n FROM parted WHERE part = 'holdout'")
@@ -669,7 +669,7 @@ def range_codec_roundtrip(spark, d):
     model = {r.ctx: list(r.probs) for r in markov_probs(spark, d).collect()}  # 16 contexts
     stream = F.concat_ws("/", "source_database", F.floor(F.col("ord") / 65_536).cast("string"))
     streams = parted(spark, d)[1].select(stream.alias("stream_id"), "ord", "canonical_sequence")
-    return coding.code_streams(streams, model, 2).drop("bits")
+    return coding.code_streams(streams, model, 2)
 
 
 @query()

@@ -3,11 +3,12 @@
 import gzip
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import baselines, coding, corpus, homology, metrics, runs, segments, splits
+from seqloom.operators import baselines, coding, corpus, homology, letters, metrics, runs, segments, splits
 from seqloom.sources import readers, writers
 from seqloom.streaming import ingest
 
@@ -156,7 +157,7 @@ def test_markov_and_ppm(spark):
     assert bpn(flat, flat, 0) < 0.1 and bpn(cycle, cycle, 0) > 1.9 and bpn(cycle, cycle, 1) <= bpn(cycle, cycle, 0) - 1
     assert bpn(flat, sequences(spark, "CCCC"), 1) == pytest.approx(2.0)
     assert math.isnan(bpn(flat, sequences(spark), 1))
-    ppm = baselines.bits_per_letter(baselines.ppm_bits(cycle, baselines.ppm_fit(cycle, 3), ["ord"], 3)).first()
+    ppm = letters.ppm_bits(cycle, "ord", letters.nested_counts(cycle, 3), 3).agg((F.sum("nll_bits") / F.sum("nt")).alias("bpn"), F.sum("nt").alias("n")).first()
     assert ppm.bpn < 0.5 and ppm.n == 2000
 
 
@@ -205,6 +206,20 @@ def test_streams_of_codes(spark):
     rows = spark.createDataFrame([("s", 1, "ACGU" * 50), ("s", 0, "AAAC"), ("t", 0, "GGGG")], "stream_id string, ord long, canonical_sequence string")
     coded = coding.code_streams(rows, {}, 1)
     assert values(coded, "stream_id", "sequence_count", "valid_nt", "decoded") == [("s", 2, 204, True), ("t", 1, 4, True)]
+    from seqloom.functions import codec
+
+    rng, model = random.Random(1), {a + b: [0.7, 0.1, 0.1, 0.1] for a in "AC" for b in "ACGU"}
+    many = [(f"s{k % 3}", k, "".join(rng.choices("ACGU", [6, 2, 1, 1], k=rng.choice([0, 1, 50, 4000])))) for k in range(120)]
+    df = spark.createDataFrame(many, "stream_id string, ord long, canonical_sequence string").repartition(4)
+    parts = coding.stream_parts(df, model, 2).collect()
+    for name in ("s0", "s1", "s2"):
+        seqs = [["ACGU".index(c) for c in s] for n, _, s in many if n == name]
+        data, sums = codec.encode_stream(seqs, lambda c: model.get("".join("ACGU"[x] for x in c), [0.25] * 4), 2)
+        own = sorted((r for r in parts if r.stream_id == name and r.part is not None), key=lambda r: r.part)
+        assert b"".join(bytes(r.bits) for r in own) == data
+        (end,) = (r for r in parts if r.stream_id == name and r.part is None)
+        assert (end.sequence_count, end.valid_nt, end.stream_bits, end.decoded) == (sums["sequence_count"], sums["token_count"], 8 * len(data), True)
+        assert end.quantised_bits == pytest.approx(sums["quantised_bits"]) and end.nll_bits == pytest.approx(sums["nll_bits"])
     total = coding.codec_totals(coded).first()
     assert total.nll_bpn == pytest.approx(2.0) and total.decoded
 
