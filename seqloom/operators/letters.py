@@ -108,24 +108,26 @@ def mean_entropy(rows: DataFrame, counts: np.ndarray, order: int) -> float:
     return sums[0] / sums[1] if sums[1] else 0.0
 
 
+def gated(values: list[float], gate: float) -> list[int]:
+    """1 at 0, and where the sum since the last boundary has reached the gate."""
+    out, total = [], gate
+    for e in values:
+        cut = total >= gate or not out
+        total = e if cut else total + e
+        out.append(int(cut))
+    return out
+
+
 def entropy_boundaries(rows: DataFrame, keep: list[str], counts: np.ndarray, order: int, gate: float) -> DataFrame:
     """keep (with canonical_sequence) and boundary: 1 at 0, and where the entropy since the last boundary reaches the gate."""
     entropy = context_entropies(counts, order)
     names = [*keep, "boundary"]
 
-    def one(values: list[float]) -> list[int]:
-        out, total = [], gate
-        for e in values:
-            cut = total >= gate or not out
-            total = e if cut else total + e
-            out.append(int(cut))
-        return out
-
     def run(batches):
         for batch in batches:
             code, _, sizes = contexts(batch.column(keep.index("canonical_sequence")).to_pylist(), order)
             values, ends = entropy[code], np.cumsum(sizes)
-            cuts = [one(values[e - n : e].tolist()) for e, n in zip(ends.tolist(), sizes.tolist())]
+            cuts = [gated(values[e - n : e].tolist(), gate) for e, n in zip(ends.tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cuts, pa.list_(pa.int32()))], names)
 
     part = rows.select(*keep)
@@ -200,3 +202,30 @@ def ppm_bits(rows: DataFrame, key: str, counts: np.ndarray, order: int) -> DataF
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, *_columns(rows, None)).mapInArrow(run, f"`{key}` {kind}, nll_bits double, nt long")
+
+
+def entropy_steps(rows: DataFrame, key: str, counts: np.ndarray, order: int, gate: float | None = None) -> DataFrame:
+    """key, pos, entropy of each letter, and boundary where a gate is given; a row a letter, made where the sequences are read."""
+    entropy = context_entropies(counts, order)
+    names = [key, "pos", "entropy", *(["boundary"] if gate is not None else [])]
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):  # so that the letters of a few sequences are held
+                part = batch.slice(begin, 64)
+                code, _, sizes = contexts(part.column(1).to_pylist(), order)
+                ends = np.cumsum(sizes)
+                values = entropy[code]
+                at = np.arange(len(code)) - np.repeat(ends - sizes, sizes)
+                owner = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                columns = [owner, pa.array(at.astype(np.int32)), pa.array(values)]
+                if gate is not None:
+                    cuts: list[int] = []
+                    for e, n in zip(ends.tolist(), sizes.tolist()):
+                        cuts += gated(values[e - n : e].tolist(), gate)
+                    columns.append(pa.array(cuts, pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, pos int, entropy double" + (", boundary int" if gate is not None else "")
+    return rows.select(key, *_columns(rows, None)).mapInArrow(run, schema)

@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.sequence import AUDIT_STRATA, audit_stratum, bin_of, entropy_nats, token_flops
+from ..functions.sequence import AUDIT_STRATA, audit_stratum, bin_of, token_flops
 from ..functions.splitmix import splitmix_draw
-from .baselines import positions
 from .homology import checkpointed
 
 #: Bounds of the boundary rates that count as supported, and the coverage they must have (fixed values).
@@ -81,24 +80,6 @@ def gated_boundaries_arrow(gate: float):
     return run
 
 
-def context_entropy(rows: DataFrame, probs: DataFrame, key: str, order: int) -> DataFrame:
-    """key, pos, entropy (nats) of the model's distribution at each position; log 4 where the context is new or short."""
-    at = positions(rows, [key], order, 0).drop("sym")
-    known = probs.select("ctx", entropy_nats(F.col("probs")).alias("entropy"))
-    return at.join(known, "ctx", "left").select(key, "pos", F.coalesce("entropy", F.log(F.lit(4.0))).alias("entropy"))
-
-
-def entropy_arrays(entropy: DataFrame, key: str) -> DataFrame:
-    """key, entropy array in order of position."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "entropy")))
-    return entropy.groupBy(key).agg(F.transform(ordered, lambda x: x["entropy"]).alias("entropy"))
-
-
-def calibrated_gate(entropy: DataFrame, target: int) -> DataFrame:
-    """gate = target length times mean entropy."""
-    return entropy.agg((F.avg("entropy") * target).alias("gate"))
-
-
 def segment_lengths(boundaries: DataFrame, key: str) -> DataFrame:
     """length, n, share over all segments of all rows (array column boundary)."""
     starts = F.filter(F.transform("boundary", lambda b, i: F.when(b == 1, i)), lambda i: i.isNotNull())

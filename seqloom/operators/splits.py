@@ -108,3 +108,8 @@ def longest_per_cluster(rows: DataFrame) -> DataFrame:
     rest = [c for c in rows.columns if c != "cluster_id"]
     best = rows.groupBy("cluster_id").agg(F.min_by(F.struct(*rest), F.struct(-F.col("length"), F.col("canonical_sequence_hash"))).alias("r"))
     return best.select("cluster_id", *[F.col(f"r.{c}") for c in rest])
+
+
+def removal_counts(rows: DataFrame, flag: str, keys: list[str]) -> DataFrame:
+    """keys, candidates, removed, kept of rows that a filter marks with a column that is null where it keeps."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("candidates"), F.count(flag).alias("removed"), F.count_if(F.col(flag).isNull()).alias("kept"))

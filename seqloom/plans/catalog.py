@@ -426,6 +426,15 @@ def release_anti_hash(spark, d):
     return rows.where("rel = 23").join(old, "canonical_sequence_hash", "left_anti").select("accession", "canonical_sequence_hash")
 
 
+@query(f"""WITH {SEQS}, {RELEASE} SELECT rna_type, count(*) AS candidates, count(*) FILTER (WHERE canonical_sequence_hash IN (SELECT canonical_sequence_hash FROM train)) AS removed,
+  count(*) FILTER (WHERE canonical_sequence_hash NOT IN (SELECT canonical_sequence_hash FROM train)) AS kept FROM rel WHERE rel = 23 GROUP BY 1""")
+def release_removal_counts(spark, d):
+    """How many rows of the new release the frozen hashes remove."""
+    rows, old = releases(spark, d)
+    known = old.select("canonical_sequence_hash").distinct().withColumn("known", F.lit(True))
+    return splits.removal_counts(rows.where("rel = 23").join(known, "canonical_sequence_hash", "left"), "known", ["rna_type"])
+
+
 @query(f"WITH {SEQS}, {RELEASE} SELECT count(DISTINCT canonical_sequence_hash) AS n FROM rel WHERE rel = 23 AND canonical_sequence_hash IN (SELECT canonical_sequence_hash FROM train)")
 def overlap_semi_count(spark, d):
     rows, old = releases(spark, d)
@@ -708,7 +717,7 @@ ent AS (SELECT ord, i AS pos, coalesce(CASE WHEN i >= 2 THEN h END, ln(4.0)) AS
 
 
 def entropies(spark, d):
-    return segments.context_entropy(unique(spark, d), markov_probs(spark, d), "ord", 2)
+    return letters.entropy_steps(unique(spark, d), "ord", letters.letter_counts(parted(spark, d)[0], 2), 2)
 
 
 @query(f"WITH {ENTROPY_SQL} SELECT round(6 * avg(entropy), 8) AS gate, count(*) AS n FROM ent")
@@ -718,11 +727,8 @@ def entropy_gate(spark, d):
 
 def gated(spark, d):
     """ord, pos, entropy, boundary of the gate at six times the mean entropy."""
-    ent = homology.checkpointed(entropies(spark, d))
-    gate = segments.calibrated_gate(ent, 6).first().gate
-    arrays = segments.entropy_arrays(ent, "ord").withColumn("boundary", segments.gated_boundaries_arrow(gate or 0.0)(F.col("entropy")))
-    each = F.posexplode(F.arrays_zip("entropy", "boundary"))
-    return arrays.select("ord", each.alias("pos", "x")).select("ord", "pos", "x.entropy", "x.boundary")
+    rows, counts = unique(spark, d), letters.letter_counts(parted(spark, d)[0], 2)
+    return letters.entropy_steps(rows, "ord", counts, 2, 6 * letters.mean_entropy(rows, counts, 2))
 
 
 @query()
