@@ -11,6 +11,12 @@ the next one's are written.
     near_dedup     of SimHash neighbours (five-word shingles, a similarity of 0.8: 20 of 128 bits) the smallest id stays
     mixing         sources at an entropy of 95 % of the largest, none read more than twice
     packing        sequences of 4096 tokens
+
+Null texts count as empty, null ids and sources are values of their own; rows that
+repeat each other are rows of their own until exact_dedup leaves the first, and texts
+of any length are taken whole. Of equal or near texts the smallest id stays (a null id
+only among null ids). An empty table passes through all stages and gives no rows.
+Extra columns of docs, whatever their names, come through all stages but the last.
 """
 
 from __future__ import annotations
