@@ -1,18 +1,16 @@
 """Removal of byte strings of a given length that start more than once in a corpus.
 
-A suffix sort that only has to tell prefixes of LENGTH bytes apart, distributed
-after the difference-cover scheme: sort a sample of the suffixes by names,
-settle the remaining suffixes through the next sampled position, and compare
-neighbours in the sorted order.
-
-Sample. A fixed-period cover (every position but each third, for triples of
-bytes) makes two thirds of all bytes into rows and six rounds of renaming to
-reach 400 bytes: over ten times the corpus in shuffles. The cover used here is
-content-defined: each window of LENGTH bytes samples the position of its
-smallest 64-byte gram (by a mixed rolling hash, leftmost of equals). Like a
-difference cover it has a sampled position at the same offset in any two equal
-windows, but it holds only about 2 of 337 positions. Consecutive windows with
-one sampled position form a run.
+Strings of LENGTH bytes that are equal are found by names of a sample of positions,
+settled through the sampled position and compared with their neighbours. This is
+not the difference-cover suffix sort as published: no ranks, no merge of suffixes.
+
+Sample. The cover is not one of a fixed period but content-defined: each window of
+LENGTH bytes samples the position of its smallest 64-byte gram (by a mixed rolling
+hash, leftmost of equals). Like a difference cover it has a sampled position at the
+same offset in any two equal windows, but it holds only about 2 of 337 positions,
+where the sparsest fixed cover that leaves 64 bytes behind each position holds 22.
+The README has what that cover's first round was measured to cost; its later rounds
+were not built. Consecutive windows with one sampled position form a run.
 
 Names. A run is named twice: by the gram, and by a 128-bit fingerprint of all
 bytes its windows cover. Fingerprints are names that need no global ranking.
