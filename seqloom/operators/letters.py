@@ -72,19 +72,8 @@ def letter_counts(rows: DataFrame, order: int, boundary: Column | None = None) -
 
 def letter_bits(rows: DataFrame, key: str, counts: np.ndarray, order: int, boundary: Column | None = None, alpha: float = 1.0) -> DataFrame:
     """key, nll_bits of each sequence under add-alpha smoothed counts."""
-    _check(order)
     bits = -np.log2((counts + alpha) / (counts.sum(axis=1, keepdims=True) + 4 * alpha))
-
-    def run(batches):
-        for batch in batches:
-            code, x, sizes = contexts(batch.column(1).to_pylist(), order, batch.column(2).to_pylist() if batch.num_columns > 2 else None)
-            each = np.zeros(len(x) + 1)
-            np.cumsum(bits[code, x], out=each[1:])
-            ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each[ends] - each[ends - sizes])], [key, "nll_bits"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *_columns(rows, boundary)).mapInArrow(run, f"`{key}` {kind}, nll_bits double")
+    return table_bits(rows, key, {"nll_bits": bits}, order, boundary)
 
 
 def context_entropies(counts: np.ndarray, order: int) -> np.ndarray:
@@ -229,3 +218,22 @@ def entropy_steps(rows: DataFrame, key: str, counts: np.ndarray, order: int, gat
     kind = rows.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, pos int, entropy double" + (", boundary int" if gate is not None else "")
     return rows.select(key, *_columns(rows, None)).mapInArrow(run, schema)
+
+
+def table_bits(rows: DataFrame, key: str, tables: dict[str, np.ndarray], order: int, boundary: Column | None = None) -> DataFrame:
+    """key, and for each name the sum over a sequence's letters of its (contexts, 4) table of bits."""
+    _check(order)
+    names = list(tables)
+
+    def run(batches):
+        for batch in batches:
+            code, x, sizes = contexts(batch.column(1).to_pylist(), order, batch.column(2).to_pylist() if batch.num_columns > 2 else None)
+            ends, sums = np.cumsum(sizes), []
+            for name in names:
+                each = np.zeros(len(x) + 1)
+                np.cumsum(tables[name][code, x], out=each[1:])
+                sums.append(pa.array(each[ends] - each[ends - sizes]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sums], [key, *names])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, *_columns(rows, boundary)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in names))

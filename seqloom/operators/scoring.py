@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codec import quantise
 from ..functions.sequence import is_primary, sequence_id
 from ..functions.tokenizers import tokenizer
 from . import arms, letters, segments
@@ -162,10 +164,28 @@ def diagnostic_sums(rows: DataFrame, tables: DataFrame, key: str, order: int) ->
     model = -F.log2(F.get("probs", F.col("s")))
     share = (F.get("cdf", F.col("s") + 1) - F.get("cdf", F.col("s"))) / F.element_at("cdf", -1)
     per = at.groupBy(key).agg(F.sum(F.coalesce(model, F.lit(2.0))).alias("nll"), F.sum(F.coalesce(-F.log2(share), F.lit(2.0))).alias("quantized_nll_bits"))
+    return _counters(rows.join(per.withColumnRenamed("quantized_nll_bits", "quantized"), key, "left"), F.col("nll"), F.col("quantized"))
+
+
+def patch_diagnostics(train: DataFrame, rows: DataFrame, key: str, boundary: Column | str) -> DataFrame:
+    """Counters of each row of a patch arm that need no coding; every context has its quantised distribution.
+
+    train, rows: from truncated(). Contexts are those of patch_path.
+    """
+    cuts = F.col(boundary) if isinstance(boundary, str) else boundary
+    counts = letters.letter_counts(train, PATCH_ORDER, cuts)
+    probs = (counts + 1) / (counts.sum(axis=1, keepdims=True) + 4)
+    cdf = np.array([quantise(p) for p in probs.tolist()])
+    tables = {"nll": -np.log2(probs), "quantized": -np.log2(np.diff(cdf, axis=1) / cdf[:, -1:])}
+    per = letters.table_bits(rows, key, tables, PATCH_ORDER, cuts)
+    return _counters(rows.join(per, key, "left"), F.col("nll"), F.col("quantized"))
+
+
+def _counters(rows: DataFrame, nll: Column, quantised_bits: Column) -> DataFrame:
     good = ~F.col("invalid")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.join(per, key, "left").select(
-        *rows.columns, zero("nll").alias("canonical_nll_bits"), zero("nll").alias("next_base_nll_bits"), zero("quantized_nll_bits").alias("quantized_nll_bits"),
+    return rows.select(
+        "*", zero(nll).alias("canonical_nll_bits"), zero(nll).alias("next_base_nll_bits"), zero(quantised_bits).alias("quantized_nll_bits"),
         F.length("canonical_sequence").alias("valid_nt"), F.lit(1).alias("sequence_count"), F.lit(1).alias("attempted_count"),
         good.cast("int").alias("valid_count"), (~good).cast("int").alias("invalid_count"), F.col("truncated").cast("int").alias("truncation_count"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sequence as S
 from ..functions import tokenizers as K
-from ..operators import arms, coding, corpus, letters, scans, scoring
+from ..operators import arms, coding, corpus, letters, scans, scoring, segments
 from ..views import SEQS, seqs, table
 from .catalog import BASE4, CLUSTERED, ENTROPY_SQL, MARKOV, Q_PREFIX, QUERIES, RATIOS, SQL, UNIQUE, VOCAB, bpe_merges, clustered, markov_probs, parted, query
 
@@ -105,11 +105,11 @@ def suffix_token_length(spark, d):
 # ---- codec -------------------------------------------------------------------------------------------------------
 
 # four symbols: floors of the shares of 2^24 - 4, the rest to the largest remainders, one more for each symbol
-CDF_SQL = f"""{MARKOV.format(unique=UNIQUE, k=2)},
-sy AS (SELECT t.ctx, s.s AS sym, instr('ACGU', s.s) - 1 AS id, (coalesce(c, 0) + 1) / (n + 4) AS p FROM tot t CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'U']) AS s) s LEFT JOIN cnt ON cnt.ctx = t.ctx AND cnt.sym = s.s),
+CDF_PARTS = """sy AS (SELECT t.ctx, s.s AS sym, instr('ACGU', s.s) - 1 AS id, (coalesce(c, 0) + 1) / (n + 4) AS p FROM {n} t CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'U']) AS s) s LEFT JOIN {c} cn ON cn.ctx = t.ctx AND cn.sym = s.s),
 sh AS (SELECT *, p / sum(p) OVER (PARTITION BY ctx) * 16777212 AS share FROM sy),
 fl AS (SELECT *, floor(share)::BIGINT AS f, row_number() OVER (PARTITION BY ctx ORDER BY floor(share) - share, id) AS rk, 16777212 - sum(floor(share)::BIGINT) OVER (PARTITION BY ctx) AS short FROM sh),
 fr AS (SELECT ctx, sym, id, p, f + (rk <= short)::INT + 1 AS freq FROM fl)"""
+CDF_SQL = f"{MARKOV.format(unique=UNIQUE, k=2)}, {CDF_PARTS.format(c='cnt', n='tot')}"
 
 SQL["quantized_cdf"] = f"""WITH {CDF_SQL},
 cu AS (SELECT *, sum(freq) OVER (PARTITION BY ctx ORDER BY id) AS top FROM fr)
@@ -117,25 +117,40 @@ SELECT ctx, '0,' || string_agg(top::BIGINT::VARCHAR, ',' ORDER BY id) AS cdf, ro
   count(*) FILTER (WHERE top <= 8388608)::INT AS middle FROM cu GROUP BY 1"""
 
 
-@query(f"""WITH {CDF_SQL}, {MARKED[len(UNIQUE) + 1 :]},
-ps AS (SELECT ord, substr(s, i - 1, 2) AS ctx, i, substr(s, i + 1, 1) AS sym FROM tr, unnest(range(0, length(s))) AS u(i) WHERE part = 'holdout'),
-bt AS (SELECT ord, sum(CASE WHEN i >= 2 THEN coalesce(-log2(p), 2) ELSE 2 END) AS b, sum(CASE WHEN i >= 2 THEN coalesce(-log2(freq / 16777216.0), 2) ELSE 2 END) AS q
-       FROM ps LEFT JOIN fr ON i >= 2 AND fr.ctx = ps.ctx AND fr.sym = ps.sym GROUP BY 1),
-su AS (SELECT source_database, sum(coalesce(b, 0)) AS b, sum(coalesce(q, 0)) AS q, sum(length(s))::BIGINT AS nt, count(*) AS n, count(*) FILTER (WHERE invalid) AS bad, count(*) FILTER (WHERE cut) AS cut
+DIAGNOSED = """su AS (SELECT source_database, sum(coalesce(b, 0)) AS b, sum(coalesce(q, 0)) AS q, sum(length(s))::BIGINT AS nt, count(*) AS n, count(*) FILTER (WHERE invalid) AS bad, count(*) FILTER (WHERE cut) AS cut
        FROM tr LEFT JOIN bt USING (ord) WHERE part = 'holdout' GROUP BY 1)
 SELECT source_database, 0 AS coded_bits, round(q, 5) AS quantized_nll_bits, round(b, 5) AS canonical_nll_bits, round(b, 5) AS next_base_nll_bits, nt AS valid_nt, 0 AS eos_nll, n AS sequence_count,
   n AS attempted_count, 0 AS decoded_count, n - bad AS valid_count, bad AS invalid_count, 0 AS early_eos_count, cut AS truncation_count, 0 AS overshoot_count, 0 AS illegal_transition_mass,
   (CASE WHEN nt > 0 THEN 0.0 ELSE -1 END)::DOUBLE AS canonical_code_length_bpn, CASE WHEN nt > 0 THEN round(b / nt, 8) ELSE -1 END AS canonical_code_nll_bpn,
-  CASE WHEN nt > 0 THEN round(q / nt, 8) ELSE -1 END AS quantized_cdf_nll_bpn, CASE WHEN nt > 0 THEN round(b / nt, 8) ELSE -1 END AS next_base_bpn FROM su""")
+  CASE WHEN nt > 0 THEN round(q / nt, 8) ELSE -1 END AS quantized_cdf_nll_bpn, CASE WHEN nt > 0 THEN round(b / nt, 8) ELSE -1 END AS next_base_bpn FROM su"""
+
+
+@query(f"""WITH {CDF_SQL}, {MARKED[len(UNIQUE) + 1 :]},
+ps AS (SELECT ord, substr(s, i - 1, 2) AS ctx, i, substr(s, i + 1, 1) AS sym FROM tr, unnest(range(0, length(s))) AS u(i) WHERE part = 'holdout'),
+bt AS (SELECT ord, sum(CASE WHEN i >= 2 THEN coalesce(-log2(p), 2) ELSE 2 END) AS b, sum(CASE WHEN i >= 2 THEN coalesce(-log2(freq / 16777216.0), 2) ELSE 2 END) AS q
+       FROM ps LEFT JOIN fr ON i >= 2 AND fr.ctx = ps.ctx AND fr.sym = ps.sym GROUP BY 1),
+{DIAGNOSED}""")
 def codec_diagnostics(spark, d):
     """Fifteen counters and four ratios of each source without coding a stream (a ratio without letters is -1 here)."""
     tables = coding.quantised(markov_probs(spark, d))
-    out = scoring.codec_sums(scoring.diagnostic_sums(marked(spark, d)[1], tables, "ord", 2), ["source_database"])
+    return _diagnosed(scoring.diagnostic_sums(marked(spark, d)[1], tables, "ord", 2))
+
+
+def _diagnosed(rows):
+    out = scoring.codec_sums(rows, ["source_database"])
     sums = {c: F.round(c, 5) for c in ("quantized_nll_bits", "canonical_nll_bits", "next_base_nll_bits")}
     ratios = {c: F.round(F.when(F.isnan(c), -1.0).otherwise(F.col(c)), 8) for c in ("canonical_code_length_bpn", "canonical_code_nll_bpn", "quantized_cdf_nll_bpn", "next_base_bpn")}
     return out.withColumns(sums | ratios)
 
 
+@query(f"""WITH {MARKED}, {_patches_sql('p1', 6)}, {CDF_PARTS.format(c='p1_c', n='p1_n')},
+bt AS (SELECT ord, sum(coalesce(-log2(p), 2)) AS b, sum(coalesce(-log2(freq / 16777216.0), 2)) AS q FROM p1_at LEFT JOIN fr USING (ctx, sym) WHERE part = 'holdout' GROUP BY 1), {DIAGNOSED}""")
+def patch_diagnostics(spark, d):
+    """The same counters for fixed patches of six, each letter given those before it in its patch."""
+    train, rows = marked(spark, d)
+    return _diagnosed(scoring.patch_diagnostics(train, rows, "ord", segments.fixed_boundaries(F.length("canonical_sequence"), 6)))
+
+
 # ---- ids and draws -----------------------------------------------------------------------------------------------
 
 CRC = """tab AS (SELECT [list_reduce([c::UBIGINT] || [0::UBIGINT for i in range(8)], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) for c in range(256)] AS t),
