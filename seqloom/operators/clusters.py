@@ -3,8 +3,8 @@
 Every sequence sends a fixed number of its k-mers, those with the smallest hashes.
 The longest sequence that sends a k-mer is that k-mer's centre; only (centre,
 member) pairs are looked at, so there are never more pairs than k-mers sent, however
-many copies a sequence has. A pair is aligned in the overlap on its most frequent
-diagonal, by an edit distance whose band is as wide as the identity allows:
+many copies a sequence has. A pair with VOTES k-mers on one diagonal is aligned in the
+overlap on its most frequent diagonal, by an edit distance whose band is as wide as the identity allows:
 
     coverage   overlap / length of the member     at least `coverage` per cent
     identity   1 - edit distance / overlap        at least `identity` per cent
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .homology import checkpointed
 
-K, SENT = 14, 20
+K, SENT = 14, 40
+#: Shared k-mers on one diagonal that a pair must have to be aligned: one is often a matter of a common word.
+VOTES = 2
 #: hash of a k-mer, as a base-4 number: (code * FACTOR + 11) % PRIME.
 FACTOR, PRIME = 48271, 2147483647
 SALTS = 32
@@ -81,7 +83,7 @@ def _centres(members: DataFrame, among: DataFrame) -> DataFrame:
     met = salted.join(asked, ["code", "salt"]).select(F.col("id").alias("member"), (-F.col("top.less")).alias("centre"), (F.col("top.pos") - F.col("pos")).alias("diagonal"))
     votes = met.groupBy("member", "centre", "diagonal").agg(F.count("*").alias("votes"))
     best = F.max(F.struct("votes", (-F.col("diagonal")).alias("less"))).alias("best")
-    return votes.groupBy("member", "centre").agg(best).select("member", "centre", (-F.col("best.less")).alias("diagonal"), F.col("best.votes").alias("votes"))
+    return votes.where(F.col("votes") >= VOTES).groupBy("member", "centre").agg(best).select("member", "centre", (-F.col("best.less")).alias("diagonal"), F.col("best.votes").alias("votes"))
 
 
 def _aligned(pairs: DataFrame, members: DataFrame, centres: DataFrame, identity: int, coverage: int) -> DataFrame:

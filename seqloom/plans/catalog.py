@@ -160,7 +160,7 @@ def aligned_sql(name: str, members: str, centres: str, sent: str, top: str) -> s
     """Aligned pairs of the members' k-mers with the longest sequence of each k-mer."""
     return f"""{name}_top AS (SELECT * FROM {top} QUALIFY row_number() OVER (PARTITION BY code ORDER BY length DESC, ord) = 1),
 {name}_met AS (SELECT s.ord AS member, t.ord AS centre, t.pos - s.pos AS diagonal, count(*) AS votes FROM {sent} s JOIN {name}_top t USING (code) GROUP BY 1, 2, 3),
-{name}_best AS (SELECT * FROM {name}_met QUALIFY row_number() OVER (PARTITION BY member, centre ORDER BY votes DESC, diagonal) = 1),
+{name}_best AS (SELECT * FROM {name}_met WHERE votes >= {clusters.VOTES} QUALIFY row_number() OVER (PARTITION BY member, centre ORDER BY votes DESC, diagonal) = 1),
 {name}_over AS (SELECT member, centre, diagonal, m.canonical_sequence AS a, c.canonical_sequence AS b, m.length AS ml, c.length AS cl, greatest(0, -diagonal) AS bg,
     least(m.length, c.length - diagonal) - greatest(0, -diagonal) AS ov
   FROM {name}_best JOIN {members} m ON m.ord = member JOIN {centres} c ON c.ord = centre),
@@ -171,7 +171,7 @@ def aligned_sql(name: str, members: str, centres: str, sent: str, top: str) -> s
 
 def linear_sql(name: str, rows: str) -> str:
     """name(ident, cluster_id): greedy set cover of the aligned pairs of rows; {name}_links are the pairs."""
-    sent = f"{name}_sent AS (SELECT * FROM {name}_km QUALIFY row_number() OVER (PARTITION BY ord ORDER BY h, code) <= 20)"
+    sent = f"{name}_sent AS (SELECT * FROM {name}_km QUALIFY row_number() OVER (PARTITION BY ord ORDER BY h, code) <= {clusters.SENT})"
     return f"""{kmers_sql(name + "_km", rows)}, {sent}, {aligned_sql(name + "_pairs", rows, rows, name + "_sent", name + "_sent")},
 {name}_links AS (SELECT * FROM {name}_pairs WHERE member <> centre),
 {name}_place AS (SELECT ord, row_number() OVER (ORDER BY coalesce(n, 0) DESC, length DESC, ord) AS place FROM {rows} LEFT JOIN (SELECT centre, count(*) AS n FROM {name}_links GROUP BY 1) ON centre = ord),
@@ -221,7 +221,7 @@ def longest_per_cluster(spark, d):
 
 SEARCH = f"""{UNIQUE}, trn AS (SELECT * FROM parted WHERE part = 'train'), cand AS (SELECT * FROM parted WHERE part = 'holdout'),
 {linear_sql("tl", "trn")}, reps AS (SELECT trn.* FROM trn JOIN tl ON ident = ord AND cluster_id = ord), sizes AS (SELECT cluster_id, count(*) AS n FROM tl GROUP BY 1),
-{kmers_sql("q_km", "cand")}, q_sent AS (SELECT * FROM q_km QUALIFY row_number() OVER (PARTITION BY ord ORDER BY h, code) <= 20),
+{kmers_sql("q_km", "cand")}, q_sent AS (SELECT * FROM q_km QUALIFY row_number() OVER (PARTITION BY ord ORDER BY h, code) <= {clusters.SENT}),
 {kmers_sql("t_km", "reps")}, {aligned_sql("hit", "cand", "reps", "q_sent", "t_km")},
 hits AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY member ORDER BY identity DESC, coverage DESC, centre) = 1)"""
 
