@@ -94,6 +94,8 @@ def _aligned(pairs: DataFrame, members: DataFrame, centres: DataFrame, identity:
     overlap = F.least("member_length", F.col("centre_length") - F.col("diagonal")) - F.greatest(F.lit(0), -F.col("diagonal"))
     both = pairs.join(m, "member").join(c, "centre").withColumn("begin", begin).withColumn("overlap", overlap)
     both = both.where(F.col("overlap") * 100 >= F.col("member_length") * coverage)
+    # few bytes, much work: dealt to all tasks whatever the sizes say
+    both = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "member", "centre")
     distance = F.expr(
         f"levenshtein(substr(a, int(begin + 1), int(overlap)), substr(b, int(begin + diagonal + 1), int(overlap)), int(overlap * {100 - identity} div 100))"
     )
