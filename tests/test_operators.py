@@ -173,7 +173,7 @@ def test_homology_against_all_pairs(spark):
 
 
 def test_homology_sends_no_set_per_pair(spark):
-    """Thirty near copies of 20,000 letters: what is shuffled follows the sequences, not the k-mers of 435 pairs (34 MB in this run before, 6 MB now)."""
+    """Thirty near copies of 20,000 letters: what is shuffled follows the sequences, not the k-mers of 435 pairs (34 MB here before)."""
     rng = random.Random(6)
     base = "".join(rng.choices("ACGU", k=20_000))
     copies = [(i, base[: 600 * i] + rng.choice("ACGU") + base[600 * i + 1 :]) for i in range(30)]
