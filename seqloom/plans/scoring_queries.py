@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import sequence as S
 from ..functions import tokenizers as K
 from ..operators import arms, coding, corpus, letters, scans, scoring, segments
+from ..operators.homology import checkpointed
 from ..views import SEQS, seqs, table
 from .catalog import BASE4, CLUSTERED, ENTROPY_SQL, MARKOV, Q_PREFIX, QUERIES, RATIOS, SQL, UNIQUE, VOCAB, bpe_merges, clustered, markov_probs, parted, query
 
@@ -71,7 +72,8 @@ def score_arms(spark, d):
 @query()
 def score_fitted_arms(spark, d):
     """The same for merged pairs, and patches drawn at random and by entropy; tests hold the sums against a plain version."""
-    train, rows = marked(spark, d)
+    # each arm reads both tables several times
+    train, rows = (checkpointed(x.select("ord", "canonical_sequence", "invalid", "truncated")) for x in marked(spark, d))
     out = scoring.score_arms(train, rows, "ord", ["F2", "P2", "P3"], "holdout", merges=bpe_merges(spark, d))
     return out.withColumns({c: F.round(c, n) for c, n in ROUNDED.items()})
 

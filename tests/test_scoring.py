@@ -198,3 +198,15 @@ def test_removed_rows_and_polling(spark, tmp_path):
     stream = ingest.stream_table(spark, str(tmp_path / "in"), 1)
     assert ingest.run_to_table(stream, str(tmp_path / "a"), "append", poll="1 second").count() == 50
     assert ingest.run_to_table(stream.groupBy((F.col("id") % 2).alias("k")).count(), str(tmp_path / "b")).count() == 2
+
+
+def test_fitted_arms_read_kept_tables(spark, monkeypatch):
+    """Every arm reads both tables several times: they are kept, not made anew from the documents each time."""
+    from seqloom.plans import scoring_queries as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "bpe_merges", lambda *_: [])
+    monkeypatch.setattr(Q.scoring, "score_arms", lambda train, rows, *_, **__: seen.extend([train, rows]) or spark.createDataFrame([(0.0, 0.0, 0.0)], ", ".join(f"{c} double" for c in Q.ROUNDED)))
+    Q.score_fitted_arms(spark, "/root/testdata/sf0.001")
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in seen]
+    assert len(plans) == 2 and all("parquet" not in p and "RDD" in p for p in plans), plans
