@@ -3,7 +3,9 @@
 import hashlib
 import random
 
-from seqloom.llm.suffix_dedup import remove_repeats, repeat_report
+import pyarrow as pa
+
+from seqloom.llm.suffix_dedup import _name_runs, remove_repeats, repeat_report
 
 
 def brute(rows, length):
@@ -62,3 +64,19 @@ def test_repeats(spark):
         texts = [bytes(b for b, x in zip((t or "").encode(), g) if not x).decode(errors="replace") for (_, t), g in zip(rows, gone)]
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((d, t) for (d, _), t in zip(rows, texts)), key=str)
     assert repeat_report(docs.limit(0)).count() == 0
+
+
+def test_a_line_repeated_within_a_document_is_sent_once(spark):
+    rng = random.Random(9)
+    line = "".join(rng.choices("abcdeé ", k=70)) + "\n"
+    noise = ["".join(rng.choices("abcde ", k=600)) for _ in range(3)]
+    rows = [(1, line * 300), (2, noise[0] + line * 40 + noise[1] + line * 40), (3, noise[2] + line * 3), (4, "z" * 5000), (5, line * 9), (6, "ab" * 199)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 4]), pa.array([0, 0], pa.int32()), pa.array([rows[0][1], rows[3][1]])], ["doc_id", "text_hash", "text"])
+    sent = sum(b.num_rows for b in _name_runs(400, 64)([batch]))
+    assert sent <= 6  # 300 periods of a line and 4,600 of a letter
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute(rows, 400)
+    assert sorted(tuple(r) for r in repeat_report(docs).collect()) == sorted(want)
+    alone = rows[3:4]  # repeated by itself only
+    got = repeat_report(spark.createDataFrame(alone, "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == brute(alone, 400)[0]
