@@ -5,7 +5,8 @@ import random
 
 import pyarrow as pa
 
-from seqloom.llm.suffix_dedup import _name_runs, remove_repeats, repeat_report
+from seqloom.llm import suffix_dedup
+from seqloom.llm.suffix_dedup import CONTEXTS, _name_runs, _narrowed, remove_repeats, repeat_report
 
 
 def brute(rows, length):
@@ -80,3 +81,23 @@ def test_a_line_repeated_within_a_document_is_sent_once(spark):
     alone = rows[3:4]  # repeated by itself only
     got = repeat_report(spark.createDataFrame(alone, "doc_id long, text string")).collect()
     assert [tuple(r) for r in got] == brute(alone, 400)[0]
+
+
+def test_joins_on_ranges_can_be_split(spark, monkeypatch):
+    """No join on names of ranges has an aggregate in its stage, which would keep a range of many contexts in one task."""
+    rng = random.Random(4)
+    line, plans = bytes(rng.choices(range(97, 123), k=500)), []
+    rows = [(1, k, 0, 300, 0, True, bytes(rng.choices(range(97, 123), k=200)) + line) for k in range(40)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    written = suffix_dedup.checkpointed
+    monkeypatch.setattr(suffix_dedup, "checkpointed", lambda df: (plans.append(plan(df)), written(df))[1])
+    found = _narrowed(spark.createDataFrame(rows, CONTEXTS), 400, 337)
+    plans.append(plan(found))
+    assert any("Join" in p for p in plans)
+    assert not [p for p in plans if "Join" in p and "Aggregate" in p]
+    reach = {}
+    for r in found.collect():
+        a, b = reach.get(r.doc_id, (r.start, r.end))
+        reach[r.doc_id] = min(a, r.start), max(b, r.end)
+    assert sorted(reach) == list(range(40))
+    assert all((a, b) == (200, 700) or a < 200 and b == 700 for a, b in reach.values())
