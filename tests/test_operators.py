@@ -194,6 +194,27 @@ def test_homology_sends_no_set_per_pair(spark):
     assert 0 < used < 15e6
 
 
+def test_homology_cells_do_not_bound_sequences(spark, monkeypatch):
+    """Groups are of many slabs and slices: sequences are sent once for each of few groups, and the links are those of all pairs."""
+    assert homology.GROUP >= 10 * homology.SLICE and homology.GROUP > homology.SLAB  # a group was 8 million letters: 214 copies of 1.7 billion
+    rng = random.Random(8)
+    base = ["".join(rng.choices("ACGU", k=k)) for k in (400, 500, 900)]
+    texts = [b[rng.randrange(40) :] + "".join(rng.choices("ACGU", k=rng.randrange(40))) for b in base for _ in range(12)] + ["ACGU" * 30, "A" * 50, "CA" * 40]
+    texts = list(dict.fromkeys(texts))
+    for k in (16, 20):  # k-mers over 16 letters are found by a hash
+        table = spark.createDataFrame(list(enumerate(texts)), "ord long, canonical_sequence string")
+        seqs = homology.packed(table, "ord", k).withColumn("role", F.lit(homology.BOTH)).withColumn("g", F.lit(0)).toArrow()
+        sets = [kmers_of(t, k) for t in texts]
+        want = {(a, b): len(sets[a] & sets[b]) for a in range(len(sets)) for b in range(len(sets)) if (len(sets[a]), a) < (len(sets[b]), b)}
+        want = {pair: n for pair, n in want.items() if n >= 0.8 * len(sets[pair[0]])}
+        for name, most in (("SLAB", 3000), ("SLICE", 2000), ("NEEDLES", 700)):
+            monkeypatch.setattr(homology, name, most)
+        cell = homology._Cell(seqs, k, 0.8)
+        every = slice(0, len(texts))
+        found = [(int(cell.ids[a]), int(cell.ids[b]), int(n)) for x, y, m in cell.links(every, every, True) for a, b, n in zip(x, y, m)]
+        assert len(want) > 100 and len(found) == len(want) and {(a, b): n for a, b, n in found} == want
+
+
 def sequences(spark, *texts):
     return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "ord long, canonical_sequence string")
 
