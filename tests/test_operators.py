@@ -215,6 +215,22 @@ def test_homology_cells_do_not_bound_sequences(spark, monkeypatch):
         assert len(want) > 100 and len(found) == len(want) and {(a, b): n for a, b, n in found} == want
 
 
+def test_homology_components_send_forests(spark):
+    """Of 40 near copies that are all linked a cell sends fewer rows than it has sequences; the components are those of all pairs."""
+    rng = random.Random(9)
+    base = "".join(rng.choices("ACGU", k=2000))
+    texts = [base[: 40 * i] + "A" + base[40 * i :] for i in range(40)] + ["".join(rng.choices("ACGU", k=300)) for _ in range(20)] + ["ACG", ""]
+    texts += [t[:200] for t in texts[45:50]]
+    rows = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "ord long, canonical_sequence string")
+    pairs = homology.checkpointed(homology.containment_pairs(rows))
+    sent = homology.checkpointed(homology.forest(homology.packed(rows, "ord", 16).withColumn("role", F.lit(homology.BOTH)), 16, 0.8))
+    assert pairs.count() > 700 and sent.count() < 0.5 * pairs.count()
+    assert sent.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() <= sent.count()
+    want = values(homology.components(rows.select(F.col("ord").alias("ident")), pairs), "ident", "cluster_id")
+    assert values(homology.containment_components(rows), "ident", "cluster_id") == want
+    assert len({c for _, c in want}) == 23
+
+
 def sequences(spark, *texts):
     return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "ord long, canonical_sequence string")
 
