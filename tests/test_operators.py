@@ -231,6 +231,18 @@ def test_homology_components_send_forests(spark):
     assert len({c for _, c in want}) == 23
 
 
+def test_homology_hits_are_sent_once_a_cell(spark):
+    """Queries with many linked targets: what leaves the cells grows with the queries, not with the links."""
+    rng = random.Random(10)
+    base = "".join(rng.choices("ACGU", k=300))
+    texts = [base[:i] + "A" + base[i:] for i in range(0, 300, 3)] + ["".join(rng.choices("ACGU", k=200))]
+    rows = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "ord long, canonical_sequence string")
+    hits = homology.cross_hits(rows.where("ord % 10 = 0"), rows.where("ord % 10 <> 0"))
+    assert values(hits, "q") == [(q,) for q in range(0, rows.count() - 1, 10)]
+    plan = hits._jdf.queryExecution().analyzed().toString()
+    assert "shared" not in plan  # no row a link
+
+
 def sequences(spark, *texts):
     return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "ord long, canonical_sequence string")
 
